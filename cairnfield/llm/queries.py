@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnfield.llm import quality_rules, url_filter
-from cairnfield.llm.common import table
+from cairnfield.llm import language_id, order_minhash, quality_gam, quality_rules, url_filter
+from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,10 @@ URL_RULES = [
 ]
 
 
+#: One fold in so many is held out; a document with at least this score is kept.
+FOLDS, KEEP_FROM = 5, 0.3
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     found = url_filter.filter_urls(pages, rules=URL_RULES)
@@ -34,10 +39,33 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality_gam.train(docs, labels.where(crc_mod(F.col("doc_id"), FOLDS) != 0))
+    rows = docs.withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == 0)
+    scored = quality_gam.score(rows, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = docs.withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == 0)
+    model = language_id.train(rows.where(~F.col("held_out")))
+    return language_id.identify(rows.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_url_filter": op2_url_filter,
         "op3_quality_rules": op3_quality_rules,
+        "op7_quality_gam": op7_quality_gam,
+        "op8_language_id": op8_language_id,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 

@@ -80,11 +80,14 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word in ``data``, and the first word of each text (one entry more)."""
     inside = ~SPACE[data]
-    before = np.ones(len(data) + 1, dtype=bool)
-    before[1:] = ~inside
-    before[at] = True  # a text's end ends its last word
-    starts = np.flatnonzero(inside & before[:-1])
-    ends = np.flatnonzero(inside & before[1:]) + 1
+    edge = np.zeros(len(data) + 1, dtype=bool)  # a text begins here, or the last one has ended
+    edge[at] = True
+    edge[-1] = True
+    opens, closes = edge[:-1].copy(), edge[1:].copy()
+    opens[1:] |= ~inside[:-1]
+    closes[:-1] |= ~inside[1:]
+    starts = np.flatnonzero(inside & opens)
+    ends = np.flatnonzero(inside & closes) + 1
     return starts, ends, np.searchsorted(starts, at)
 
 
