@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import language_id, order_minhash, quality_gam, quality_rules, url_filter
+from cairnfield.llm import language_id, order_minhash, packing, ppm, quality_gam, quality_rules, url_filter
 from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ URL_RULES = [
 
 
 #: One fold in so many is held out; a document with at least this score is kept.
-FOLDS, KEEP_FROM = 5, 0.3
+FOLDS, LM_FOLDS, KEEP_FROM = 5, 10, 0.3
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), LM_FOLDS) == 0
+    scored = ppm.score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -55,6 +62,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,8 +77,10 @@ def queries() -> dict[str, Query]:
     return {
         "op2_url_filter": op2_url_filter,
         "op3_quality_rules": op3_quality_rules,
+        "op6_ppm": op6_ppm,
         "op7_quality_gam": op7_quality_gam,
         "op8_language_id": op8_language_id,
+        "op9_packing": op9_packing,
         "op10_order_minhash": op10_order_minhash,
     }
 
