@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import language_id, order_minhash, packing, ppm, quality_gam, quality_rules, url_filter
+from cairnfield.llm import language_id, order_minhash, packing, ppm, quality_gam, quality_rules, substring_dedup, url_filter
 from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ URL_RULES = [
 FOLDS, LM_FOLDS, KEEP_FROM = 5, 10, 0.3
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     found = url_filter.filter_urls(pages, rules=URL_RULES)
@@ -75,6 +79,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_url_filter": op2_url_filter,
         "op3_quality_rules": op3_quality_rules,
         "op6_ppm": op6_ppm,
