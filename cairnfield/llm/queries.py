@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import language_id, order_minhash, packing, ppm, quality_gam, quality_rules, substring_dedup, url_filter
+from cairnfield.llm import jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, substring_dedup, url_filter
 from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod(F.col("doc_id"), LM_FOLDS) == 0
@@ -82,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_url_filter": op2_url_filter,
         "op3_quality_rules": op3_quality_rules,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_ppm": op6_ppm,
         "op7_quality_gam": op7_quality_gam,
         "op8_language_id": op8_language_id,
