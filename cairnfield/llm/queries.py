@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, substring_dedup, url_filter
+from cairnfield.llm import byte_bpe, jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, substring_dedup, url_filter
 from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -86,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_url_filter": op2_url_filter,
         "op3_quality_rules": op3_quality_rules,
+        "op4_byte_bpe": op4_byte_bpe,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_ppm": op6_ppm,
         "op7_quality_gam": op7_quality_gam,
