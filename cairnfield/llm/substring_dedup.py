@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.llm import textops
-from cairnfield.llm.common import ship
+from cairnfield.llm.common import ship, written
 
 WINDOW = 35
 ANCHOR_WORDS = 8
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: Bits of a place among the words of a chunk; the other bits of a key hold its hash.
 PLACE_BITS = np.uint64(28)
 
@@ -153,7 +155,7 @@ def duplicate_ranges(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORD
     shared = blocks.groupBy("anchor").count().where("count > 1")
     blocks = _semi(blocks, shared, ["anchor"])
     whole = blocks.groupBy("anchor", "block").agg(F.count("*").alias("count")).where("count > 1")
-    parsed = _flagged(blocks, whole, ["anchor", "block"], "known")
+    parsed = written(_flagged(blocks, whole, ["anchor", "block"], "known"), "blocks")
     factors = parsed.where("known").select("doc_id", "check", "start", "n")
     # at the ends of factors: single windows, and one copy of each indexed block with such an anchor
     open_blocks = parsed.where("NOT known")
@@ -177,9 +179,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
     """
     ship(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.hash(body).alias("check"))
+    known = F.col(key).cast("long")
+    # neither part of a row's key is ever null, so each join below deals the texts out alike and shares one exchange
+    rows = docs.select(F.coalesce(known, F.lit(NO_ID)).alias("doc_id"), F.hash(known, body).alias("check"), body.alias("text"))
     ranges = duplicate_ranges(rows, window)
-    both = rows.join(ranges, ["doc_id", "check"], "left").select("doc_id", "text", "ranges")
+    both = rows.join(ranges, ["doc_id", "check"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "ranges")
 
     def cut(batches):
         for batch in batches:
