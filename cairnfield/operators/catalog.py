@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
+from cairnfield.operators.scalars import with_scalars
 
 #: The label schema of the damage masks.
 CLASSES = {0: "background", 1: "intact", 2: "damaged", 3: "destroyed"}
@@ -83,7 +84,7 @@ def class_weights(counts: DataFrame, cls: str = "label", n: str = "n", classes:
     scaffold = counts.sparkSession.createDataFrame([(c,) for c in classes], f"{cls} int")
     full = scaffold.join(counts.select(F.col(cls).cast("int").alias(cls), n), cls, "left").select(cls, F.coalesce(n, F.lit(0)).cast("long").alias(n))
     total = full.agg(F.sum(n).alias("total"), (F.sum(1.0 / F.nullif(F.col(n), F.lit(0))) / len(classes)).alias("mean_inverse"), F.min(n).alias("least"))
-    joined = full.join(F.broadcast(total))  # one row
+    joined = with_scalars(full, total)
     weight = F.when(F.col("least") == 0, F.raise_error(F.lit("a class is absent")).cast("double")).otherwise(1.0 / F.col(n) / F.col("mean_inverse"))
     return joined.select(cls, n, weight.alias("weight"))
 
@@ -92,7 +93,7 @@ def damage_weights(weights: DataFrame, cls: str = "label") -> DataFrame:
     """Weights of the damage classes alone, divided by their mean."""
     some = weights.where(F.col(cls) > 0)
     mean = some.agg(F.avg("weight").alias("mean"))
-    return some.join(F.broadcast(mean)).select(cls, (F.col("weight") / F.col("mean")).alias("weight"))
+    return with_scalars(some, mean).select(cls, (F.col("weight") / F.col("mean")).alias("weight"))
 
 
 def event_audit(tiles: DataFrame, files: list[str] = (), crs: str | None = None, bounds: str | None = None) -> DataFrame:
@@ -111,7 +112,7 @@ def type_eligibility(events: DataFrame) -> DataFrame:
     """Events of each type and of the others; a type can be left out if two others remain."""
     counts = events.groupBy("disaster_type").agg(F.count("*").alias("n_events"))
     total = events.agg(F.count("*").alias("total"))
-    rows = counts.join(F.broadcast(total))
+    rows = with_scalars(counts, total)
     others = F.col("total") - F.col("n_events")
     reason = F.when(others >= 2, "test type plus distinct train and validation events are non-empty").otherwise("insufficient non-test events for distinct train and validation groups")
     return rows.select("disaster_type", "n_events", others.alias("other_events"), (others >= 2).alias("leave_one_type_out_eligible"), reason.alias("reason"))

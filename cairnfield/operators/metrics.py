@@ -86,7 +86,7 @@ def bootstrap_events(counts: DataFrame, samples: int, seed: int = 42, level: flo
     n = ranked.count()
     slots = counts.sparkSession.range(samples * max(n, 1)).select((F.col("id") / max(n, 1)).cast("long").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
     drawn = slots.withColumn("e", F.floor(uniform(f"bootstrap{seed}", F.col("draw"), F.col("slot")) * n).cast("int"))
-    picked = drawn.join(F.broadcast(ranked), "e").groupBy("draw", "event_id").agg(F.count("*").alias("times"))
+    picked = drawn.join(ranked, "e").groupBy("draw", "event_id").agg(F.count("*").alias("times"))
     cells = picked.join(counts, "event_id").groupBy("draw", "target", "pred").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
     scores = from_confusion(cells, ["draw"])
     names = ("macro_f1", "miou", "f1_localization", "f1_damage")

@@ -116,7 +116,7 @@ def balanced_sample(tiles: DataFrame, size: int, seed: int = 42, epoch: int = 0)
     ranked = hashed_rank(tiles, "event_id", F.md5(F.concat(F.lit(f"{tag}:"), "tile_id")), "tile_id", "place")
     draw = tiles.sparkSession.range(size).withColumnRenamed("id", "draw")
     draw = draw.withColumn("e", F.floor(C.uniform(f"event{tag}", F.col("draw")) * n_events).cast("int"))
-    draw = draw.join(F.broadcast(events), "e")
+    draw = draw.join(events, "e")
     draw = draw.withColumn("place", F.floor(C.uniform(f"tile{tag}", F.col("draw")) * F.col("n")).cast("long") + 1)
     return draw.join(ranked.select("event_id", "place", "tile_id"), ["event_id", "place"]).select("draw", "event_id", "tile_id")
 

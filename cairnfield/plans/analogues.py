@@ -19,10 +19,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tile catalogue: customers by nation (event) and region (disaster type)."""
-    nation = load(spark, sf_dir, "nation").join(F.broadcast(load(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     event = F.concat(F.lower("n_name"), F.lit("-"), F.lower("r_name"))
     places = nation.select("n_nationkey", event.alias("event_id"), F.lower("r_name").alias("disaster_type"))
-    rows = load(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = load(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(
         F.concat("event_id", F.lit("_"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("tile_id"),
         "event_id",
