@@ -12,8 +12,8 @@ Texts with equal sets collapse to one representative, the one with the smallest
 
 No step emits all pairs of a group. Large buckets and groups are cut into chunks of at most
 ``BLOCK`` members, and each pair of chunks is a small piece of work of its own; it returns the
-number of links of each member, and a tree over each set of linked members. Class ids follow
-from those trees. So every link between different sets is verified, counted and kept.
+number of links of each member, and joins each set of linked members to its smallest. Class ids
+follow from those edges. So every link between different sets is verified, counted and kept.
 
 Defined results: a null text has no words; a text without words has no set, is a class of its
 own and has no links; repeated rows are copies of one class (ids are otherwise taken as unique);
@@ -194,11 +194,11 @@ class Forest:
                 self.parent[max(a, b)] = min(a, b)
 
     def edges(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """A binary tree over each set, smaller ids above, so that no node has many edges."""
+        """Each member of a set with the set's smallest id: blocks of one group repeat few others."""
         sets: dict[int, list[int]] = {}
         for i in range(len(self.parent)):
             sets.setdefault(self.root(i), []).append(int(ids[i]))
-        return [(own[(k - 1) // 2], own[k]) for own in (sorted(set(s)) for s in sets.values()) for k in range(1, len(own))]
+        return [(min(own), v) for own in sets.values() for v in set(own) - {min(own)}]
 
 
 def _pruned(blocks: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def intersections(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
-    """Exact links: edges (a, b) of trees over linked members, and links of each member."""
+    """Exact links: edges (a, b) that join linked members, and the number of links of each member."""
 
     def verify(batches):
         for block in _groups(batches, ["label", "x", "y"]):
