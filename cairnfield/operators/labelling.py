@@ -13,13 +13,14 @@ def connected_components(mask: DataFrame, connectivity: int = 8, width: int = 1
 
     Each round takes the least label of a pixel and its neighbours within the same tile, and then
     the label of that label's pixel, so that rounds grow with the logarithm of a component's length.
-    Tiles are never gathered in one task.
+    Tiles are never gathered in one task. ``width`` is more than any column number.
     """
     steps = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0) and (connectivity == 8 or 0 in (r, c))]
     number = F.col("row").cast("long") * width + F.col("col")
     pixels = kept(mask.select("tile_id", "row", "col").distinct().withColumn("pixel", number))
     near = F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in steps])
     moved = pixels.select("tile_id", F.col("pixel").alias("from"), F.explode(near).alias("to"))
+    moved = moved.where((F.col("to.col") >= 0) & (F.col("to.col") < width))
     moved = moved.select("tile_id", "from", (F.col("to.row").cast("long") * width + F.col("to.col")).alias("pixel")).where("pixel >= 0")
     edges = kept(moved.join(pixels.select("tile_id", "pixel"), ["tile_id", "pixel"]))
     labels = pixels.select("tile_id", "pixel", F.col("pixel").alias("label"))
