@@ -1,0 +1,71 @@
+"""Configuration trees from YAML: overrides, environment references, range checks."""
+
+from __future__ import annotations
+
+import os
+import re
+from typing import Any
+
+_REFERENCE = re.compile(r"\$\{oc\.env:([A-Za-z_][A-Za-z0-9_]*)(?:,([^}]*))?\}")
+#: Choices of a run, no values of the tree.
+_CHOICES = ("data", "split")
+
+
+def resolved(value: Any) -> Any:
+    """Environment references replaced, by their default where the variable is unset."""
+    if isinstance(value, dict):
+        return {k: resolved(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [resolved(v) for v in value]
+    if isinstance(value, str):
+        return _REFERENCE.sub(lambda m: os.environ.get(m[1], m[2] or ""), value)
+    return value
+
+
+def load(path: str, overrides: list[str] = ()) -> dict[str, Any]:
+    """A YAML file with ``a.b=value`` overrides, whose values are YAML too; ``dataset.root`` names ``root``."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        tree = yaml.safe_load(f) or {}
+    for text in overrides:
+        key, sign, value = text.partition("=")
+        if not sign:
+            raise ValueError(f"An override needs key=value: {text}")
+        if key in _CHOICES:
+            continue
+        *parents, leaf = ("root" if key == "dataset.root" else key).split(".")
+        node = tree
+        for name in parents:
+            node = node.setdefault(name, {})
+        node[leaf] = yaml.safe_load(value)
+    return resolved(tree)
+
+
+def section(overrides: list[str], name: str) -> list[str]:
+    """Overrides of one section without its prefix, and those without any prefix."""
+    return [o.removeprefix(f"{name}.") for o in overrides if o.startswith(f"{name}.") or "." not in o.partition("=")[0]]
+
+
+def check_priority(config: dict[str, Any]) -> None:
+    """Fail on values out of range."""
+    low, high = config["normalization"]["lower_quantile"], config["normalization"]["upper_quantile"]
+    bands = config["bands"]
+    rules = {
+        "quantiles must satisfy 0 <= lower < upper <= 1": 0 <= low < high <= 1,
+        "the grid size must be positive": config.get("grid_size_m", 1) > 0,
+        "the destroyed multiplier must not be negative": config["damage"]["destroyed_multiplier"] >= 0,
+        "bands must rise within (0, 1)": 0 < bands["moderate"] < bands["high"] < bands["critical"] < 1,
+        "the top fraction is 0.10": abs(config["top_fraction"] - 0.10) < 1e-12,
+        "simulations must be positive": config["monte_carlo"]["simulations"] > 0,
+        "samples must be positive": config["sensitivity"]["samples"] > 0,
+        "weight ranges must satisfy 0 <= low <= high": all(0 <= a <= b for a, b in config["sensitivity"]["ranges"].values()),
+    }
+    broken = [text for text, fine in rules.items() if not fine]
+    if broken:
+        raise ValueError("; ".join(broken))
+
+
+def check_bbox(west: float, south: float, east: float, north: float) -> None:
+    if not (-180 <= west < east <= 180 and -90 <= south < north <= 90):
+        raise ValueError("A box is west, south, east, north in degrees")
