@@ -17,7 +17,7 @@ follow from those edges. So every link between different sets is verified, count
 
 Defined results: a null text has no words; a text without words has no set, is a class of its
 own and has no links; repeated rows are copies of one class (ids are otherwise taken as unique);
-an empty table gives no rows; other columns are left out.
+a row without an id represents nothing, and has the class of an equal set or else none; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     sketches = written(_sketches(rows), "sketches")
-    copies = sketches.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min_by("sig", "doc_id").alias("sig"))
+    copies = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min_by("sig", "doc_id").alias("sig"))
     reps = written(copies, "representatives")
     keys = _band_keys(reps)
     hashed = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in range(2)]
