@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.llm import textops
-from cairnfield.llm.common import ship
+from cairnfield.llm.common import ship, written
 
 FREQUENT_WORDS = 1 << 20
 #: Longer words are never broadcast; words that a worker remembers besides.
-FREQUENT_BYTES, MEMO_WORDS = 32, 700_000
+FREQUENT_BYTES, MEMO_WORDS = 32, 1_000_000
 BUCKETS = 1 << 14
 #: Beyond this length the pairs wait in a heap.
 LONG_BYTES = 48
@@ -146,8 +146,8 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word") ->
 def frequent_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """Words (binary) that make up at least one in FREQUENT_WORDS of all; their number is bounded."""
     found = F.regexp_extract_all(F.col(f"`{text}`"), F.lit("(?U)" + pattern), F.lit(0))
-    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    total = docs.agg(F.sum(F.size(found)).alias("n")).first()["n"] or 0
+    counts = written(docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "words")
+    total = counts.agg(F.sum("c").alias("n")).first()["n"] or 0
     least = max(1, -(-total // FREQUENT_WORDS))
     return counts.where((F.col("c") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)).select(F.col("word").cast("binary"))
 
@@ -178,10 +178,12 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         words = self.split(text)
         found = list(map(self.memo.get, words))
-        if None in found:
-            found = [self._learn(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        try:
+            joined = b"".join(found)
+        except TypeError:  # a word that isn't known yet
+            joined = b"".join([self._learn(w) if ids is None else ids for w, ids in zip(words, found, strict=True)])
         out = array("I")
-        out.frombytes(b"".join(found))
+        out.frombytes(joined)
         return out.tolist()
 
     def decode(self, ids: list[int]) -> bytes:
