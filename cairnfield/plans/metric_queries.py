@@ -236,7 +236,7 @@ FROM m LEFT JOIN region ON r_regionkey = event_id WHERE event_id IS NOT NULL""",
 SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS count, round(i / 15.0::DOUBLE, 6) AS bin_lower, round((i + 1) / 15.0::DOUBLE, 6) AS bin_upper, round(coalesce(a, 0), 6) AS accuracy, round(coalesce(c, 0), 6) AS confidence FROM range(15) t(i) LEFT JOIN b ON b.bin = i""",
     "pixel_ece": f"{with_sql('pixels')}, {_P4}, {_S4}, {_ECE4} SELECT event_id, round(ece, 6) AS ece FROM ece4",
     "building_scores": f"{with_sql('scored_buildings')}, {_P3}, {_S3}, m AS ({_scores_sql('s3', '', '1')}) SELECT n_buildings, round(nll, 6) AS nll, round(brier, 6) AS brier, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy FROM m",
-    "temperature_grid": with_sql("scored_buildings") + " " + " UNION ALL ".join(f"SELECT {t} AS temperature, round(avg(-ln(greatest(({softmax_sql('logits', 3, str(t))})[target + 1], 1e-12))), 6) AS nll FROM scored_buildings" for t in GRID),
+    "temperature_grid": with_sql("scored_buildings") + " " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS temperature, round(avg(-ln(greatest(({softmax_sql('logits', 3, str(t))})[target + 1], 1e-12))), 6) AS nll FROM scored_buildings" for t in GRID),
     "bootstrap_ci_event": f"""{with_sql('pixels')}, {_CM}, ev AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS e FROM (SELECT DISTINCT event_id FROM pixels)),
 draws AS (SELECT d AS draw, CAST(floor({sql_uniform("'bootstrap42:' || d || ':' || s")} * (SELECT count(*) FROM ev)) AS BIGINT) AS e FROM range({DRAWS}) t(d), range((SELECT count(*) FROM ev)) u(s)),
 cells AS (SELECT draw, target, pred, sum(n) AS n FROM draws JOIN ev USING (e) JOIN cm ON cm.event_id = ev.event_id GROUP BY 1, 2, 3),

@@ -336,7 +336,7 @@ SELECT cell_id, round(h, 6) AS hazard_score, round(score, 6) AS priority_score,
   round(CASE WHEN dn.cost > 0 THEN least(greatest((dr.cost - dn.cost) / dn.cost, 0), 1) ELSE 1 END, 6) AS accessibility_penalty,
   CASE WHEN dn.cost > 0 THEN 'estimated accessibility risk' ELSE 'estimated isolation under current risk model' END AS accessibility_status FROM nn LEFT JOIN dn USING (node) LEFT JOIN dr USING (node)""",
     "connected_components": f"{_CC} SELECT * FROM cc",
-    "component_boxes": f"""{_CC} SELECT tile_id, component, count(*) AS pixel_count, round(min(col) * 10.0, 6) AS minx, round(min("row") * 10.0, 6) AS miny, round((max(col) + 1) * 10.0, 6) AS maxx, round((max("row") + 1) * 10.0, 6) AS maxy, round((avg(col) + 0.5) * 10.0, 6) AS x, round((avg("row") + 0.5) * 10.0, 6) AS y FROM cc GROUP BY 1, 2""",
+    "component_boxes": f"""{_CC} SELECT tile_id, component, count(*) AS pixel_count, round(min(col) * 10.0::DOUBLE, 6) AS minx, round(min("row") * 10.0::DOUBLE, 6) AS miny, round((max(col) + 1) * 10.0::DOUBLE, 6) AS maxx, round((max("row") + 1) * 10.0::DOUBLE, 6) AS maxy, round((avg(col) + 0.5) * 10.0, 6) AS x, round((avg("row") + 0.5) * 10.0, 6) AS y FROM cc GROUP BY 1, 2""",
     "display_stretch": """WITH q AS (SELECT event_type, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events GROUP BY 1)
 SELECT event_id, round(CASE WHEN hi <= lo THEN 0 ELSE least(greatest((coalesce(value, 0) - lo) / (hi - lo), 0), 1) END, 6) AS stretched FROM events JOIN q USING (event_type)""",
     "mosaic_first": "SELECT o_custkey % 60 AS x, o_orderkey % 50 AS y, arg_min(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1, 2",
