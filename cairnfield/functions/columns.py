@@ -57,9 +57,12 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Probabilities of an array of logits; the greatest logit is subtracted first."""
     if temperature <= 0:
         raise ValueError("the temperature must be positive")
-    scaled = F.transform(logits, lambda z: F.exp((z.cast("double") - F.array_max(logits).cast("double")) / temperature))
-    total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(scaled, lambda e: e / total)
+
+    def let(value: Column, body) -> Column:  # a lambda's variable is computed once
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    scaled = let(F.array_max(logits).cast("double"), lambda top: F.transform(logits, lambda z: F.exp((z.cast("double") - top) / temperature)))
+    return let(scaled, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(values: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
 from cairnfield.operators import graph, labelling, priority, spatial
+from cairnfield.operators.iterate import kept
 from cairnfield.plans.analogues import CELL, buildings, junctions, load, mask, population, roads, sql_uniform, tiles, with_sql
 
 RADIUS = 125.0
@@ -56,7 +57,8 @@ def zonal_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scorable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with an accessibility penalty (drawn by cell) and a hazard that a fifth of them lack."""
     c = _cells(spark, sf_dir).withColumn("accessibility_penalty", C.uniform("acc", F.col("cell")))
-    return c.withColumn("hazard", F.when(F.col("cell") % 5 != 0, C.uniform("hazard", F.col("cell"))))
+    c = c.withColumn("hazard", F.when(F.col("cell") % 5 != 0, C.uniform("hazard", F.col("cell"))))
+    return kept(c)  # quantiles and rows are taken from the same cells
 
 
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
