@@ -114,3 +114,53 @@ def lovasz(pixels: DataFrame, group: str, target: str = "target", p: str = "p",
     rows = rows.withColumn("step", F.col("jac") - F.coalesce(F.lag("jac").over(order), F.lit(0.0)))
     by_class = rows.where("total > 0").groupBy(*key).agg(F.sum(F.col("err") * F.col("step")).alias("loss"))
     return by_class.groupBy(group).agg(F.avg("loss").alias("lovasz"))
+
+
+def cross_entropy(pixels: DataFrame, group: list[str], weights: dict[int, float] | None = None, gamma: float = 0.0, target: str = "target", logits: str = "logits") -> DataFrame:
+    """Weighted cross entropy of each group, or its focal form with ``gamma``.
+
+    The sum of weighted losses is divided by the sum of the weights of the targets, as is usual for
+    a weighted mean; the focal factor is no part of the denominator.
+    """
+    from cairnfield.functions.columns import log_softmax
+
+    rows = pixels.where((F.col(target) != IGNORED) & F.col(target).isNotNull())
+    rows = rows.withColumn("__lp", F.get(log_softmax(F.col(logits)), F.col(target).cast("int")))
+    w = F.lit(1.0)
+    if weights:
+        w = F.create_map(*[F.lit(v) for k, x in weights.items() for v in (int(k), float(x))])[F.col(target).cast("int")]
+    loss = -F.col("__lp") * (F.pow(1 - F.exp("__lp"), F.lit(gamma)) if gamma else F.lit(1.0))
+    return rows.groupBy(*group).agg((F.sum(w * loss) / F.sum(w)).alias("cross_entropy"))
+
+
+def head_targets(pixels: DataFrame, target: str = "target") -> DataFrame:
+    """Targets of two heads: building or not, and the damage class of building pixels; IGNORED elsewhere."""
+    t = F.col(target)
+    fine = t != IGNORED
+    return pixels.withColumns(
+        {
+            "location_target": F.when(fine, (t > 0).cast("int")).otherwise(IGNORED),
+            "damage_target": F.when(fine & (t > 0), t - 1).otherwise(IGNORED).cast("int"),
+        }
+    )
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, samples: int, seed: int = 42, metric: str = "f1_damage", level: float = 0.95) -> DataFrame:
+    """Interval of a metric's difference between two models (a - b), over the same draws of events (an addition).
+
+    ``a`` and ``b`` are confusion counts over the same events.
+    """
+    from cairnfield.functions.columns import uniform
+
+    both = a.where("event_id IS NOT NULL").withColumn("model", F.lit(0)).unionByName(b.where("event_id IS NOT NULL").withColumn("model", F.lit(1)))
+    events = both.select("event_id").distinct()
+    ranked = events.withColumn("e", F.row_number().over(Window.orderBy("event_id")) - 1)  # a dimension table
+    n = ranked.count()
+    slots = a.sparkSession.range(samples * max(n, 1)).select((F.col("id") / max(n, 1)).cast("long").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
+    drawn = slots.withColumn("e", F.floor(uniform(f"paired{seed}", F.col("draw"), F.col("slot")) * n).cast("int"))
+    picked = drawn.join(ranked, "e").groupBy("draw", "event_id").agg(F.count("*").alias("times"))
+    cells = picked.join(both, "event_id").groupBy("draw", "model", "target", "pred").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    scores = from_confusion(cells, ["draw", "model"])
+    gaps = scores.groupBy("draw").agg(F.sum(F.when(F.col("model") == 0, F.col(metric)).otherwise(-F.col(metric))).alias("gap"))
+    low, high = (1 - level) / 2, (1 + level) / 2
+    return gaps.agg(F.avg("gap").alias("mean"), F.percentile("gap", F.lit(low)).alias("lower"), F.percentile("gap", F.lit(high)).alias("upper"))

@@ -153,7 +153,44 @@ def lovasz_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.lovasz(rows, "event_id").select("event_id", *_r("lovasz"))
 
 
-QUERIES = {f.__name__: f for f in (softmax_probs, entropy_severity, dual_heads, probability_validity, confusion_by_event, segmentation_metrics, building_f1, event_summary, disaster_lookup, ece_reliability, pixel_ece, building_scores, temperature_grid, temperature_fit, bootstrap_ci_event, bootstrap_ci_building, component_aggregate, component_probabilities, majority_class, building_rows, buildings_per_mask, lovasz_metric)}
+WEIGHTS, GAMMA = {0: 0.5, 1: 1.0, 2: 2.0, 3: 4.0}, 2.0
+
+
+def segmentation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted cross entropy and its focal form by event."""
+    px = pixels(spark, sf_dir)
+    plain = metrics.cross_entropy(px, ["event_id"], WEIGHTS)
+    focal = metrics.cross_entropy(px, ["event_id"], WEIGHTS, GAMMA).withColumnRenamed("cross_entropy", "focal")
+    return plain.join(focal, "event_id").select("event_id", *_r("cross_entropy", "focal"))
+
+
+def dual_head_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross entropy of the two heads over all pixels that count for each."""
+    rows = metrics.head_targets(pixels(spark, sf_dir)).withColumns({"location": F.slice("logits", 1, 2), "damage": F.slice("logits", 2, 3), "k": F.lit(0)})
+    a = metrics.cross_entropy(rows, ["k"], target="location_target", logits="location").withColumnRenamed("cross_entropy", "localization")
+    b = metrics.cross_entropy(rows, ["k"], {0: 1.0, 1: 2.0, 2: 3.0}, target="damage_target", logits="damage").withColumnRenamed("cross_entropy", "damage")
+    return a.join(b, "k").select(*_r("localization", "damage"), F.round(F.col("localization") + F.col("damage"), 6).alias("total"))
+
+
+def class_frequencies_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth classes of each event with their share (an addition to the global histogram)."""
+    counts = pixels(spark, sf_dir).groupBy("event_id", "target").agg(F.count("*").alias("n"))
+    total = counts.groupBy("event_id").agg(F.sum("n").alias("total"))
+    return counts.join(total, "event_id").select("event_id", "target", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of the first four logits against the next four, over the same draws of events."""
+    e = load(spark, sf_dir, "embeddings")
+    models = []
+    for first in (0, 4):
+        logits = F.array(*[F.get("embedding", first + i) for i in range(4)])
+        rows = e.select((F.col("vec_id") % 8).alias("event_id"), (F.col("label") % 4).alias("target"), C.argmax(logits).alias("pred"))
+        models.append(metrics.confusion(rows))
+    return metrics.paired_bootstrap(*models, DRAWS, metric="accuracy").select(*_r("mean", "lower", "upper"))
+
+
+QUERIES = {f.__name__: f for f in (softmax_probs, entropy_severity, dual_heads, probability_validity, confusion_by_event, segmentation_metrics, building_f1, event_summary, disaster_lookup, ece_reliability, pixel_ece, building_scores, temperature_grid, temperature_fit, bootstrap_ci_event, bootstrap_ci_building, component_aggregate, component_probabilities, majority_class, building_rows, buildings_per_mask, lovasz_metric, segmentation_loss, dual_head_loss, class_frequencies_by_event, paired_bootstrap)}
 
 _P4 = f"p4 AS (SELECT vec_id, event_id, target, {softmax_sql('logits', 4, str(TEMPERATURE))} AS p FROM pixels)"
 _P3 = f"p3 AS (SELECT vec_id, event_id, target, {softmax_sql('logits', 3, str(TEMPERATURE))} AS p FROM scored_buildings)"
@@ -215,7 +252,27 @@ draws AS (SELECT d AS draw, CAST(floor({sql_uniform("'building42:' || d || ':' |
   FROM range({DRAWS}) t(d), range((SELECT count(*) FROM s3)) u(s)),
 picked AS (SELECT * FROM draws JOIN places USING (place))"""
 
+_WT = "CASE target " + " ".join(f"WHEN {k} THEN {w}::DOUBLE" for k, w in WEIGHTS.items()) + " END"
+
+
+def _ce(values: str, n: int, target: str) -> str:
+    """Minus the log probability of a target."""
+    total = " + ".join(f"exp({values}[{i}] - list_max({values}))" for i in range(1, n + 1))
+    return f"(ln({total}) - ({values}[{target} + 1] - list_max({values})))"
+
+
 ORACLES = {
+    "segmentation_loss": f"""{with_sql('pixels')}, l AS (SELECT event_id, {_WT} AS w, {_ce('logits', 4, 'target')} AS ce FROM pixels)
+SELECT event_id, round(sum(w * ce) / sum(w), 6) AS cross_entropy, round(sum(w * ce * (1 - exp(-ce)) * (1 - exp(-ce))) / sum(w), 6) AS focal FROM l GROUP BY 1""",
+    "dual_head_loss": f"""{with_sql('pixels')}, h AS (SELECT target, logits[1:2] AS a, logits[2:4] AS b FROM pixels),
+l AS (SELECT avg({_ce('a', 2, 'CAST(target > 0 AS INTEGER)')}) AS v FROM h), d AS (SELECT sum(target * {_ce('b', 3, '(target - 1)')}) / sum(target) AS v FROM h WHERE target > 0)
+SELECT round(l.v, 6) AS localization, round(d.v, 6) AS damage, round(l.v + d.v, 6) AS total FROM l, d""",
+    "class_frequencies_by_event": f"""{with_sql('pixels')} SELECT event_id, target, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY event_id), 6) AS share FROM pixels GROUP BY 1, 2""",
+    "paired_bootstrap": f"""WITH ev AS (SELECT k AS event_id, row_number() OVER (ORDER BY k) - 1 AS e FROM (SELECT DISTINCT vec_id % 8 AS k FROM embeddings)),
+h AS (SELECT vec_id % 8 AS event_id, count(*) AS n, sum(CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) - 1 = label % 4 THEN 1.0::DOUBLE ELSE 0 END) AS a, sum(CASE WHEN list_position(embedding[5:8], list_max(embedding[5:8])) - 1 = label % 4 THEN 1.0::DOUBLE ELSE 0 END) AS b FROM embeddings GROUP BY 1),
+draws AS (SELECT d AS draw, CAST(floor({sql_uniform("'paired42:' || d || ':' || s")} * (SELECT count(*) FROM ev)) AS BIGINT) AS e FROM range({DRAWS}) t(d), range((SELECT count(*) FROM ev)) u(s)),
+g AS (SELECT draw, sum(a) / sum(n) - sum(b) / sum(n) AS gap FROM draws JOIN ev USING (e) JOIN h USING (event_id) GROUP BY 1)
+SELECT round(avg(gap), 6) AS mean, round(quantile_cont(gap, 0.025), 6) AS lower, round(quantile_cont(gap, 0.975), 6) AS upper FROM g""",
     "softmax_probs": f"""{with_sql('pixels')}, {_P4}, {_S4} SELECT vec_id, {', '.join(f'round(p[{k + 1}], 6) AS p{k}' for k in range(4))}, CAST(pred AS INTEGER) AS pred, round(confidence, 6) AS confidence FROM s4""",
     "entropy_severity": f"""{with_sql('scored_buildings')}, {_P3}, {_S3} SELECT vec_id, round(-({' + '.join(f'p[{k}] * ln(greatest(p[{k}], 1e-12))' for k in (1, 2, 3))}) / ln(3), 6) AS entropy,
   round(p[2] + 2 * p[3], 6) AS severity, ['intact', 'damaged', 'destroyed'][pred + 1] AS predicted_class FROM s3""",
