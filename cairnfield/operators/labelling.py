@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.operators.iterate import kept, same
@@ -47,3 +47,21 @@ def component_boxes(components: DataFrame, size: float = 1.0) -> DataFrame:
         ((F.avg("col") + 0.5) * size).alias("x"),
         ((F.avg("row") + 0.5) * size).alias("y"),
     )
+
+
+def component_runs(components: DataFrame, size: float = 1.0) -> DataFrame:
+    """The exact area of each component as boxes, one for each run of pixels in a row.
+
+    Together the boxes of a component are its polygon set, in map units of ``size``.
+    """
+    key = ["tile_id", "component", "row"]
+    placed = components.withColumn("__island", F.col("col") - F.row_number().over(Window.partitionBy(*key).orderBy("col")))
+    runs = placed.groupBy(*key, "__island").agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    return runs.select(
+        "tile_id",
+        "component",
+        (F.col("first") * size).alias("minx"),
+        (F.col("row") * size).alias("miny"),
+        ((F.col("last") + 1) * size).alias("maxx"),
+        ((F.col("row") + 1) * size).alias("maxy"),
+    )

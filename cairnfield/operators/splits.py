@@ -179,5 +179,24 @@ def apply_plan(pixels: DataFrame, crop: int | None) -> DataFrame:
     return rows.withColumns({"row": turned_r, "col": turned_c, "height": F.when(odd, w).otherwise(h), "width": F.when(odd, h).otherwise(w)})
 
 
+def padded(pixels: DataFrame, crop: int, mode: str = "edge", value: str = "value", key: str = "tile_id") -> DataFrame:
+    """Long-form pixels of tiles that are smaller than a crop, filled up to it below and to the right.
+
+    edge: the nearest pixel's value; zero: 0. Larger tiles stay as they are.
+    """
+    if mode not in ("edge", "zero"):
+        raise ValueError(f"unknown mode {mode}")
+    sizes = pixels.groupBy(key).agg(F.max("height").alias("h"), F.max("width").alias("w"))
+    rows = F.explode(F.sequence(F.lit(0), F.greatest(F.col("h"), F.lit(crop)) - 1))
+    cols = F.explode(F.sequence(F.lit(0), F.greatest(F.col("w"), F.lit(crop)) - 1))
+    target = sizes.withColumn("row", rows).withColumn("col", cols)
+    target = target.withColumns({"__r": F.least("row", F.col("h") - 1), "__c": F.least("col", F.col("w") - 1)})
+    source = pixels.select(key, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v"))
+    full = target.join(source, [key, "__r", "__c"])
+    outside = (F.col("row") >= F.col("h")) | (F.col("col") >= F.col("w"))
+    v = F.when(outside, F.lit(0).cast(pixels.schema[value].dataType)).otherwise(F.col("__v")) if mode == "zero" else F.col("__v")
+    return full.select(key, "row", "col", F.greatest("h", F.lit(crop)).alias("height"), F.greatest("w", F.lit(crop)).alias("width"), v.alias(value))
+
+
 def top_count(n: int, fraction: float) -> int:
     return max(1, math.ceil(fraction * n))

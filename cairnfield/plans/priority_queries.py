@@ -197,6 +197,12 @@ def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("tile_id", "component", "pixel_count", *_r("minx", "miny", "maxx", "maxy", "x", "y"))
 
 
+def component_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygon sets of components, as boxes."""
+    runs = labelling.component_runs(labelling.connected_components(mask(spark, sf_dir), width=40), 10.0)
+    return runs.select("tile_id", "component", *_r("minx", "miny", "maxx", "maxy"))
+
+
 def display_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spatial.stretch(load(spark, sf_dir, "events").select("event_id", "event_type", "value"), ["event_type"], "value")
     return rows.select("event_id", *_r("stretched"))
@@ -223,7 +229,7 @@ def utm_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("s_suppkey", "zone", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
 
 
-QUERIES = {f.__name__: f for f in (decision_grid, building_cells, cell_aggregates, zonal_population, robust_scale, exposure_proxy, priority_score, priority_bands, priority_with_hazard, hazard_renormalise, app_reweighting, band_report, monte_carlo_priority, weight_sensitivity, weight_stability, sensitivity_medians, road_risk, road_edges, nearest_node, facility_distance, accessibility, connected_components, component_boxes, display_stretch, mosaic_first, raster_normalise, utm_positions)}
+QUERIES = {f.__name__: f for f in (decision_grid, building_cells, cell_aggregates, zonal_population, robust_scale, exposure_proxy, priority_score, priority_bands, priority_with_hazard, hazard_renormalise, app_reweighting, band_report, monte_carlo_priority, weight_sensitivity, weight_stability, sensitivity_medians, road_risk, road_edges, nearest_node, facility_distance, accessibility, connected_components, component_boxes, component_runs, display_stretch, mosaic_first, raster_normalise, utm_positions)}
 
 _G = with_sql("buildings", "population") + f""",
 e AS (SELECT floor(min(x) / {CELL}) * {CELL} AS x0, floor(min(y) / {CELL}) * {CELL} AS y0, max(x) AS x1, max(y) AS y1 FROM buildings),
@@ -339,6 +345,8 @@ SELECT cell_id, round(h, 6) AS hazard_score, round(score, 6) AS priority_score,
   CASE WHEN dn.cost > 0 THEN 'estimated accessibility risk' ELSE 'estimated isolation under current risk model' END AS accessibility_status FROM nn LEFT JOIN dn USING (node) LEFT JOIN dr USING (node)""",
     "connected_components": f"{_CC} SELECT * FROM cc",
     "component_boxes": f"""{_CC} SELECT tile_id, component, count(*) AS pixel_count, round(min(col) * 10.0::DOUBLE, 6) AS minx, round(min("row") * 10.0::DOUBLE, 6) AS miny, round((max(col) + 1) * 10.0::DOUBLE, 6) AS maxx, round((max("row") + 1) * 10.0::DOUBLE, 6) AS maxy, round((avg(col) + 0.5) * 10.0, 6) AS x, round((avg("row") + 0.5) * 10.0, 6) AS y FROM cc GROUP BY 1, 2""",
+    "component_runs": f"""{_CC}, i AS (SELECT *, col - row_number() OVER (PARTITION BY tile_id, component, "row" ORDER BY col) AS k FROM cc)
+SELECT tile_id, component, round(min(col) * 10.0::DOUBLE, 6) AS minx, round("row" * 10.0::DOUBLE, 6) AS miny, round((max(col) + 1) * 10.0::DOUBLE, 6) AS maxx, round(("row" + 1) * 10.0::DOUBLE, 6) AS maxy FROM i GROUP BY tile_id, component, "row", k""",
     "display_stretch": """WITH q AS (SELECT event_type, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events GROUP BY 1)
 SELECT event_id, round(CASE WHEN hi <= lo THEN 0 ELSE least(greatest((coalesce(value, 0) - lo) / (hi - lo), 0), 1) END, 6) AS stretched FROM events JOIN q USING (event_type)""",
     "mosaic_first": "SELECT o_custkey % 60 AS x, o_orderkey % 50 AS y, arg_min(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1, 2",

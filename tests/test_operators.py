@@ -168,6 +168,28 @@ def test_centre_crop_and_turns(spark):
     assert got == {(i, j): int(want[i, j]) for i in range(3) for j in range(2)}
 
 
+def test_small_tiles_are_padded(spark):
+    cells = [("t", r, c, 6, 7, r * 7 + c) for r in range(6) for c in range(7)]
+    px = frame(spark, "tile_id string, row int, col int, height int, width int, value int", *cells)
+    edge = {(r.row, r.col): r.value for r in splits.padded(px, 8).collect()}
+    assert len(edge) == 64 and edge[7, 7] == 41 and edge[0, 7] == 6 and edge[7, 0] == 35 and edge[2, 3] == 17
+    zero = {(r.row, r.col): (r.value, r.height, r.width) for r in splits.padded(px, 8, "zero").collect()}
+    assert zero[7, 7] == (0, 8, 8) and zero[5, 6] == (41, 8, 8)
+    assert splits.padded(px, 4).count() == 42
+
+
+def test_weighted_losses(spark):
+    rows = frame(spark, "g int, target int, logits array<double>", (1, 0, [0.0, 0.0]), (1, 1, [0.0, math.log(3)]), (1, 255, [5.0, 0.0]))
+    plain = metrics.cross_entropy(rows, ["g"]).first().cross_entropy
+    assert plain == pytest.approx((math.log(2) + math.log(4 / 3)) / 2)
+    weighted = metrics.cross_entropy(rows, ["g"], {0: 1.0, 1: 3.0}).first().cross_entropy
+    assert weighted == pytest.approx((math.log(2) + 3 * math.log(4 / 3)) / 4)
+    focal = metrics.cross_entropy(rows, ["g"], gamma=1.0).first().cross_entropy
+    assert focal == pytest.approx((math.log(2) / 2 + math.log(4 / 3) / 4) / 2)
+    heads = metrics.head_targets(frame(spark, "target int", (0,), (2,), (255,))).collect()
+    assert [(r.location_target, r.damage_target) for r in heads] == [(0, 255), (1, 1), (255, 255)]
+
+
 def test_components_touch_diagonally(spark):
     mask = frame(spark, "tile_id long, row int, col int", (1, 0, 0), (1, 1, 1), (1, 3, 3), (2, 0, 0), (1, 0, 4), (1, 1, 0))
     eight = {(r.tile_id, r.row, r.col): r.component for r in labelling.connected_components(mask, width=5).collect()}
