@@ -35,8 +35,8 @@ from cairnfield.llm import textops
 from cairnfield.llm.common import ship, written
 
 FREQUENT_WORDS = 1 << 20
-#: Longer words are never broadcast; words that a worker remembers besides.
-FREQUENT_BYTES, MEMO_WORDS = 32, 1_000_000
+#: Longer words are never broadcast; words that either half of a worker's table holds besides.
+FREQUENT_BYTES, MEMO_WORDS = 32, 250_000
 BUCKETS = 1 << 14
 #: Beyond this length the pairs wait in a heap.
 LONG_BYTES = 48
@@ -163,15 +163,15 @@ class Encoder:
         self.pieces: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-        self.known = {word.decode("utf-8", "surrogateescape"): ids for word, ids in known.items()}
-        self.memo: dict[str, bytes] = dict(self.known)
+        known = {word.decode("utf-8", "surrogateescape"): ids for word, ids in known.items()}
+        self.known, self.memo, self.older = known, dict(known), {}
 
     def _learn(self, word: str) -> bytes:
-        data = word.encode()
-        ids = array("I", fold(data, self.ranks)).tobytes()
-        if len(data) <= 2 * FREQUENT_BYTES:
-            if len(self.memo) >= len(self.known) + MEMO_WORDS:
-                self.memo = dict(self.known)
+        """Ids of a word that isn't in the younger half of the table."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", fold(word.encode(), self.ranks)).tobytes()
+        if len(word) <= 2 * FREQUENT_BYTES:
             self.memo[word] = ids
         return ids
 
@@ -182,6 +182,8 @@ class Encoder:
             joined = b"".join(found)
         except TypeError:  # a word that isn't known yet
             joined = b"".join([self._learn(w) if ids is None else ids for w, ids in zip(words, found, strict=True)])
+            if len(self.memo) > len(self.known) + MEMO_WORDS:  # what isn't asked for again before the next turn goes
+                self.older, self.memo = self.memo, dict(self.known)
         out = array("I")
         out.frombytes(joined)
         return out.tolist()

@@ -51,11 +51,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts reach from a few bytes to megabytes; batches of more rows would take too much memory.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application.
+    """Make this package importable in Python workers, once per application, and bound their batches.
 
     Executors get the code from Spark's own file server, so nothing has to be installed there.
+    Batches between the JVM and Python hold at most ``BATCH_ROWS`` rows in this session; a lower
+    setting of the session stays.
     """
+    rows = int(spark.conf.get(BATCH_SETTING))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_cairnfield_shipped", False):
         return

@@ -58,6 +58,16 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return parsed.run(first, np.minimum(first + k, parsed.of[owner + 1])), at
 
 
+def chunked_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any number of long texts: only a chunk of them is in work at once."""
+    hashes, counts = [np.empty(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    for first, last in textops.chunks(texts):
+        own, at = shingle_sets(texts.slice(first, last - first))
+        hashes.append(own)
+        counts.append(np.diff(at))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
+
+
 def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """SIZE MinHash values of 16 bits for each text (zero for one without a set)."""
     out = np.zeros((len(at) - 1, SIZE), dtype=np.uint16)
@@ -270,7 +280,7 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
                 block = block.filter(pa.array(first))
                 ids = block["rep"].to_numpy()
             own = block["own"].to_numpy()
-            size, both = intersections(*shingle_sets(textops.as_strings(block["text"])))
+            size, both = intersections(*chunked_sets(textops.as_strings(block["text"])))
             linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
             linked &= (both > 0) & ~np.eye(len(ids), dtype=bool)
             if block["x"][0].as_py() != block["y"][0].as_py():
