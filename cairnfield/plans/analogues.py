@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
+from cairnfield.sources.tables import table, widened
 
 EXTENT, CELL = 10_000.0, 500.0
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widened(table(spark, sf_dir, name))
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
