@@ -11,12 +11,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.sources import tables
+
 #: `[^\x20\x09-\x0D]+` as Spark's and DuckDB's regular expressions write the complement.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A Parquet table, dealt over all cores where its files are fewer than half of them."""
+    return tables.widened(tables.table(spark, sf_dir, name))
 
 
 def ascii_lower(column: Column) -> Column:
