@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Smaller tables are left as they are, and so are tables of larger files, which split.
-WORTH_BYTES, SPLIT_BYTES = 4 << 20, 256 << 20
+WORTH_BYTES, SPLIT_BYTES = 2 << 20, 256 << 20
 
 
 def widened(df: DataFrame) -> DataFrame:
