@@ -161,8 +161,8 @@ def centre_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tiles(spark, sf_dir).select("tile_id", F.concat(F.lit("/data/bright/pre-event/"), "tile_id", F.lit("_pre.tif")).alias("path"))
-    relative = C.relative_path(F.col("path"), "/data/bright")
+    p = tiles(spark, sf_dir).select("tile_id", F.concat(F.lit("/data/tiles/pre-event/"), "tile_id", F.lit("_pre.tif")).alias("path"))
+    relative = C.relative_path(F.col("path"), "/data/tiles")
     return p.select("tile_id", relative.alias("relative"), C.absolute_path(relative, "/mnt/copy").alias("absolute"))
 
 

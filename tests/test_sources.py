@@ -112,7 +112,7 @@ def test_metrics_and_digests(spark, tmp_path):
 def test_config(tmp_path, monkeypatch):
     path = tmp_path / "c.yaml"
     path.write_text("root: ${oc.env:DATA_ROOT,/default}\nmodel: {depth: 3}\n")
-    assert config.load(str(path), ["model.depth=5", "data=bright", "train.lr=0.1"]) == {"root": "/default", "model": {"depth": 5}, "train": {"lr": 0.1}}
+    assert config.load(str(path), ["model.depth=5", "data=tiles", "train.lr=0.1"]) == {"root": "/default", "model": {"depth": 5}, "train": {"lr": 0.1}}
     monkeypatch.setenv("DATA_ROOT", "/mnt")
     assert config.load(str(path))["root"] == "/mnt"
     assert config.load(str(path), ["dataset.root=/x"])["root"] == "/x"
