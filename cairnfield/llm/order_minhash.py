@@ -6,9 +6,8 @@ the ``TUPLE`` elements with the smallest hashes are put back into text order, an
 ordered tuple is one entry of the fingerprint. Moving or replacing a passage changes the order
 or the members of tuples; the share of equal entries is the likeness of two texts.
 
-To bound the work, the hash functions compete for the ``CANDIDATES`` elements of smallest base
-hash only. That choice depends on the elements alone, so it is alike in like texts. All k-mers
-of the whole text take part in it.
+All k-mers of the whole text are numbered, and every hash function takes its smallest over all
+the numbered elements, in blocks of ``BLOCK``.
 
 Defined results: a null text is an empty one; all empty texts have the same fingerprint; a text
 shorter than a k-mer is one element; equal texts have equal fingerprints; rows with equal ids
@@ -28,12 +27,14 @@ from pyspark.sql import functions as F
 from cairnfield.llm import textops
 from cairnfield.llm.common import ship
 
-K, TUPLE, SKETCHES, CANDIDATES = 8, 2, 32, 160
+K, TUPLE, SKETCHES = 8, 2, 32
+#: Elements that all hash functions see at once.
+BLOCK = 4096
 #: Rows of one run of neighbouring ids, about; and most split points that are collected.
 RUN_ROWS, MOST_RUNS = 1000, 20_000
 
 _SEEDS = textops.mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
-_BITS = np.uint64((1 << 64) - 256)
+_LAST = np.uint64((1 << 64) - 1)
 
 
 def kmers(data: bytes) -> np.ndarray:
@@ -50,33 +51,47 @@ def kmers(data: bytes) -> np.ndarray:
     return textops.mix64(out)
 
 
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """For each k-mer, how many equal ones come before it in the text."""
+    n = len(hashes)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    packed = np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64))  # a plain sort is much faster than argsort
+    by = (packed & low).astype(np.int64)
+    alike = (packed[1:] ^ packed[:-1]) <= low
+    if not alike.any():
+        return np.zeros(n, dtype=np.uint64)
+    ordered = hashes[by]
+    same = ordered[1:] == ordered[:-1]
+    if (alike & ~same).any():  # different hashes with equal upper bits may be mixed up
+        by = np.argsort(hashes, kind="stable")
+        ordered = hashes[by]
+        same = ordered[1:] == ordered[:-1]
+    first = np.flatnonzero(np.append(True, ~same))
+    out = np.empty(n, dtype=np.uint64)
+    out[by] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    return out
+
+
 def entries(hashes: np.ndarray) -> np.ndarray:
     """The fingerprint of a text, as SKETCHES 32-bit numbers, from its k-mers' hashes in order."""
     if not len(hashes):
         return np.zeros(SKETCHES, dtype=np.uint32)
-    if len(hashes) > CANDIDATES:
-        least = np.partition(hashes, CANDIDATES - 1)[CANDIDATES - 1]
-        at = np.flatnonzero(hashes <= least)
-        hashes = hashes[at]
-    by = np.argsort(hashes, kind="stable")
-    ordered = hashes[by]
-    begin = np.ones(len(by), dtype=bool)
-    begin[1:] = ordered[1:] != ordered[:-1]
-    first = np.flatnonzero(begin)
-    occurrence = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    size, rows = min(TUPLE, len(hashes)), np.arange(SKETCHES)
+    least, place = np.empty((SKETCHES, 0), dtype=np.uint64), np.empty((SKETCHES, 0), dtype=np.int64)
     with np.errstate(over="ignore"):
-        element = np.empty(len(by), dtype=np.uint64)
-        element[by] = textops.mix64(ordered + occurrence.astype(np.uint64) * _SEEDS[0])
-        if len(element) > CANDIDATES:
-            least = np.partition(element, CANDIDATES - 1)[CANDIDATES - 1]
-            kept = element <= least
-            element, hashes = element[kept], hashes[kept]
-        drawn = (element ^ (element >> np.uint64(31)))[None, :] * _SEEDS[:, None]
-        # the low byte gives way to the position, so that one partition finds both
-        drawn = (drawn & _BITS) | np.arange(len(element), dtype=np.uint64)[None, :]
-        size = min(TUPLE, len(element))
-        chosen = np.partition(drawn, size - 1, axis=1)[:, :size] & np.uint64(255)
-        chosen = np.sort(chosen, axis=1).astype(np.int64)
+        element = textops.mix64(hashes + occurrences(hashes) * _SEEDS[0])
+        element ^= element >> np.uint64(31)
+        for begin in range(0, len(element), BLOCK):
+            drawn = element[None, begin : begin + BLOCK] * _SEEDS[:, None]
+            for _ in range(min(size, drawn.shape[1])):
+                at = drawn.argmin(axis=1)
+                least = np.column_stack([least, drawn[rows, at]])
+                place = np.column_stack([place, at + begin])
+                drawn[rows, at] = _LAST
+            if least.shape[1] > size:  # the smallest so far, against this block's
+                kept = np.argsort(least, axis=1, kind="stable")[:, :size]
+                least, place = np.take_along_axis(least, kept, 1), np.take_along_axis(place, kept, 1)
+        chosen = np.sort(place, axis=1)
         total = np.zeros(SKETCHES, dtype=np.uint64)
         for k in range(size):
             total = textops.mix64(total * _SEEDS[1] + hashes[chosen[:, k]])

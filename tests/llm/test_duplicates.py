@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cairnfield.llm import jaccard_join, order_minhash, substring_dedup
+from cairnfield.llm import jaccard_join, order_minhash, substring_dedup, textops
 from cairnfield.llm.components import connected
 
 
@@ -142,6 +142,35 @@ def test_order_minhash_sees_edits_and_order():
     assert order_minhash.likeness(order_minhash.fingerprint(""), order_minhash.fingerprint("")) == 1
 
 
+def test_order_minhash_takes_all_numbered_kmers_of_repetitive_texts():
+    rng = random.Random(7)
+    one, two = (" ".join(f"{rng.randrange(10**6)}" for _ in range(12)) + ". " for _ in range(2))
+    long = one * 600
+    own = order_minhash.fingerprint(long)
+    assert len(set(own.tolist())) > order_minhash.SKETCHES // 2
+    assert order_minhash.likeness(own, order_minhash.fingerprint(order_minhash.edited(long, two * 600))) < 0.9
+    assert order_minhash.likeness(own, order_minhash.fingerprint(two * 600)) < 0.1
+    assert order_minhash.likeness(own, order_minhash.fingerprint(one * 599 + two)) > 0.8
+
+
+@pytest.mark.parametrize("text", ["a", "abcdefgh", "abcdefghi", "ab" * 9000, "passage of words, " * 700, "x" * 5000 + "tail and more"])
+def test_order_minhash_matches_brute_force(text):
+    hashes = order_minhash.kmers(text.encode())
+    seen, elements = Counter(), []
+    for h in hashes.tolist():
+        elements.append(int(textops.mix64(np.array([(h + seen[h] * int(order_minhash._SEEDS[0])) % 2**64], dtype=np.uint64))[0]))
+        seen[h] += 1
+    want = []
+    for seed in order_minhash._SEEDS.tolist():
+        drawn = [((e ^ e >> 31) * seed % 2**64, i) for i, e in enumerate(elements)]
+        total = np.zeros(1, dtype=np.uint64)
+        for i in sorted(i for _, i in sorted(drawn)[: order_minhash.TUPLE]):
+            with np.errstate(over="ignore"):
+                total = textops.mix64(total * order_minhash._SEEDS[1] + hashes[i])
+        want.append(int(total[0]) >> 32)
+    assert order_minhash.entries(hashes).tolist() == want
+
+
 def test_neighbours(spark, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(order_minhash, "RUN_ROWS", 7)
     rng = random.Random(8)
