@@ -12,7 +12,7 @@ from cairnfield.operators.scalars import with_scalars
 
 #: Default configuration.
 WEIGHTS = {"damage": 0.40, "population": 0.30, "accessibility": 0.20, "hazard": 0.10}
-RANGES = {"damage": (0.25, 0.55), "population": (0.15, 0.45), "accessibility": (0.10, 0.35), "hazard": (0.0, 0.20)}
+RANGES = {"damage": (0.25, 0.55), "population": (0.15, 0.40), "accessibility": (0.10, 0.30), "hazard": (0.0, 0.20)}
 LOWER, UPPER = 0.02, 0.98
 BAND_QUANTILES = (0.50, 0.75, 0.90)
 DESTROYED_MULTIPLIER, TOP_FRACTION = 2.0, 0.10

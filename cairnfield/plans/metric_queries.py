@@ -11,7 +11,7 @@ from cairnfield.plans.analogues import component_pixels, load, pixels, scored_bu
 
 TEMPERATURE = 0.1  # the embeddings' logits are small
 GRID = [0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0]
-DRAWS = 40
+DRAWS = 1000
 
 
 def _r(*names: str) -> list:

@@ -11,7 +11,7 @@ from cairnfield.operators.iterate import kept
 from cairnfield.plans.analogues import CELL, buildings, junctions, load, mask, population, roads, sql_uniform, tiles, with_sql
 
 RADIUS = 125.0
-SIMULATIONS, SAMPLES = 12, 25
+SIMULATIONS, SAMPLES = 500, 1000
 
 
 def _r(*names: str) -> list:

@@ -317,3 +317,10 @@ def test_reports(spark):
     history = frame(spark, "run int, epoch int, f double", (1, 1, 0.5), (1, 2, 0.7), (1, 3, 0.7))
     assert reports.best_epoch(history, ["run"], "f").first().epoch == 2
     assert [r.is_best for r in reports.records_so_far(history, ["run"], "f").orderBy("epoch").collect()] == [True, True, False]
+
+
+def test_draws_and_ranges_are_the_references():
+    from cairnfield.plans import metric_queries, priority_queries
+
+    assert (priority_queries.SIMULATIONS, priority_queries.SAMPLES, metric_queries.DRAWS) == (500, 1000, 1000)
+    assert priority.RANGES == {"damage": (0.25, 0.55), "population": (0.15, 0.40), "accessibility": (0.10, 0.30), "hazard": (0.0, 0.20)}
