@@ -1,11 +1,11 @@
 """Packing tokenised documents into sequences: best fit, then a swap-based local search.
 
 Each document becomes its token ids and one closing id. Only documents longer than a sequence
-are cut. The pieces are dealt by hash into groups of about ``GROUP_PIECES``; each group is
-packed by best-fit decreasing, and then its underfull bins exchange pieces: one for one, two
-for one, or a move. A step is taken only if the sum of squared fills grows, so fuller bins
-fill up and emptier ones run empty and vanish. Groups are independent, so their number grows
-with the data and each leaves one poorly filled bin at most.
+are cut. A piece that fills a sequence is one as it is. The others are counted and dealt by hash
+into groups of about ``GROUP_PIECES``; each group is packed by best-fit decreasing, and then its
+underfull bins, all of them, exchange pieces: one for one, two for one, or a move, until no step
+helps. A step is taken only if the sum of squared fills grows, so fuller bins fill up and emptier
+ones run empty and vanish. Groups are independent, so their number grows with the data.
 
 Tokens are looked up by chunk of text between ASCII white space. No token of this vocabulary
 spans white space, so the ids of a text are those of its chunks in order; a chunk that was met
@@ -21,8 +21,10 @@ import os
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.llm import textops
-from cairnfield.llm.common import ship
+from cairnfield.llm.common import ship, written
 
 CAPACITY = 4096
 #: Stands for a null id while pieces are packed.
@@ -181,62 +183,102 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-#: Underfull bins that the local search holds at once, the emptiest ones; rounds over them.
-SEARCH_BINS, SEARCH_ROUNDS = 48, 40
-
-
-def _step(a: list[int], b: list[int], lengths: np.ndarray, capacity: int) -> bool:
-    """The best move or exchange that makes the fuller bin b fuller still; False if there is none."""
-    room = capacity - int(lengths[b].sum())
-    if room <= 0 or not a:
-        return False
-    la, lb = lengths[a], lengths[b]
-    best, gain = None, 0
-    fits = np.where(la <= room, la, 0)
-    if fits.max() > gain:  # a move
-        best, gain = ([int(fits.argmax())], []), int(fits.max())
-    delta = la[:, None] - lb[None, :]  # one for one
-    delta = np.where(delta <= room, delta, 0)
-    if delta.max() > gain:
-        i, j = np.unravel_index(int(delta.argmax()), delta.shape)
-        best, gain = ([int(i)], [int(j)]), int(delta.max())
-    if len(a) > 1:  # two for one
-        i, j = np.triu_indices(len(a), 1)
-        if len(i) * len(b) <= 1 << 20:
-            delta = (la[i] + la[j])[:, None] - lb[None, :]
-            delta = np.where(delta <= room, delta, 0)
-            if delta.max() > gain:
-                p, q = np.unravel_index(int(delta.argmax()), delta.shape)
-                best, gain = ([int(i[p]), int(j[p])], [int(q)]), int(delta.max())
-    if best is None:
-        return False
-    give, take = [a[i] for i in best[0]], [b[j] for j in best[1]]
-    a[:] = [x for x in a if x not in give] + take
-    b[:] = [x for x in b if x not in take] + give
-    return True
+class _Donors:
+    """For each length, and each sum of two lengths in one bin, the emptiest bin that can give it.
+
+    Pieces of a length are alike, and a bin has few different lengths (90 at 4096 tokens). Entries
+    of bins that have left are dropped when they come to the top.
+    """
+
+    def __init__(self, capacity: int):
+        self.least = np.full((2, capacity + 1), capacity + 1, dtype=np.int64)  # the fill of that bin
+        self.heaps: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(capacity + 1)] for _ in range(2)]
+        self.stamp: defaultdict[int, int] = defaultdict(int)
+        self.empty = capacity + 1
+
+    @staticmethod
+    def _offers(pieces: dict[int, list[int]]) -> tuple[list[int], set[int]]:
+        sizes = sorted(pieces)
+        pairs = {x + y for i, x in enumerate(sizes) for y in sizes[i + 1 :]}
+        return sizes, pairs | {2 * x for x in sizes if len(pieces[x]) > 1}
+
+    def add(self, name: int, pieces: dict[int, list[int]], fill: int) -> None:
+        for heaps, least, offers in zip(self.heaps, self.least, self._offers(pieces), strict=True):
+            for size in offers:
+                heappush(heaps[size], (fill, name, self.stamp[name]))
+                least[size] = min(least[size], fill)
+
+    def remove(self, name: int, pieces: dict[int, list[int]]) -> None:
+        self.stamp[name] += 1
+        for heaps, least, offers in zip(self.heaps, self.least, self._offers(pieces), strict=True):
+            for size in offers:
+                heap = heaps[size]
+                while heap and heap[0][2] != self.stamp[heap[0][1]]:
+                    heappop(heap)
+                least[size] = heap[0][0] if heap else self.empty
+
+    def best(self, pieces: dict[int, list[int]], fill: int, room: int) -> tuple[int, int, int, int] | None:
+        """The greatest gain of a bin from one that is no fuller: gain, pieces given, their length, length taken or 0."""
+        found, gain = None, 0
+        for taken in (0, *pieces):
+            for kind in (0, 1) if taken else (0,):
+                fits = np.flatnonzero(self.least[kind, taken + gain + 1 : taken + room + 1] <= fill)
+                if len(fits):
+                    gain += int(fits[-1]) + 1
+                    found = gain, kind + 1, taken + gain, taken
+        return found
+
+
+def _split(pieces: dict[int, list[int]], total: int) -> tuple[int, int]:
+    """Two lengths of a bin with this sum."""
+    return next((x, total - x) for x in sorted(pieces) if total - x in pieces and (2 * x != total or len(pieces[x]) > 1))
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchange pieces between underfull bins while the sum of squared fills grows; empty bins go.
 
     Moving a positive number of tokens from a bin to one at least as full always raises that sum.
+    All underfull bins take part, and the search ends when none can gain from any other.
     """
     fill = [int(lengths[b].sum()) for b in bins]
-    order = sorted((i for i, f in enumerate(fill) if f < capacity), key=lambda i: fill[i])[:SEARCH_BINS]
-    chosen = set(order)
-    full = [b for i, b in enumerate(bins) if i not in chosen]
-    under = [bins[i] for i in order]
-    for _ in range(SEARCH_ROUNDS):
-        under.sort(key=lambda b: int(lengths[b].sum()))
+    held: dict[int, dict[int, list[int]]] = {}
+    donors = _Donors(capacity)
+    for name, b in enumerate(bins):
+        if b and fill[name] < capacity:
+            held[name] = {}
+            for i in b:
+                held[name].setdefault(int(lengths[i]), []).append(i)
+            donors.add(name, held[name], fill[name])
+
+    def give(source: int, target: int, size: int) -> None:
+        some = held[source][size]
+        held[target].setdefault(size, []).append(some.pop())
+        if not some:
+            del held[source][size]
+
+    changed = True
+    while changed:
         changed = False
-        for i, a in enumerate(under):
-            for b in reversed(under[i + 1 :]):
-                while a and int(lengths[a].sum()) <= int(lengths[b].sum()) and _step(a, b, lengths, capacity):
-                    changed = True
-        under = [b for b in under if b]
-        if not changed:
-            break
-    return full + under
+        for b in sorted(held, key=lambda k: (-fill[k], k)):
+            if not held[b] or fill[b] == capacity:
+                continue
+            donors.remove(b, held[b])
+            while fill[b] < capacity and (step := donors.best(held[b], fill[b], capacity - fill[b])):
+                gain, count, given, taken = step
+                a = donors.heaps[count - 1][given][0][1]
+                donors.remove(a, held[a])
+                parts = (given,) if count == 1 else _split(held[a], given)
+                if taken:
+                    give(b, a, taken)
+                for size in parts:
+                    give(a, b, size)
+                fill[a], fill[b], changed = fill[a] - gain, fill[b] + gain, True
+                if held[a]:
+                    donors.add(a, held[a], fill[a])
+            if fill[b] < capacity:
+                donors.add(b, held[b], fill[b])
+    out = [b for name, b in enumerate(bins) if b and name not in held]
+    return out + [[i for some in pieces.values() for i in some] for pieces in held.values() if pieces]
 
 
 def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
@@ -265,5 +307,9 @@ def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, closing: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack; ``ids``: each row also holds its ids, ready to be written as training files."""
-    groups = max(1, -(-docs.count() // GROUP_PIECES))
-    return pack(pieces(docs, tokenizer, closing, capacity, key, text, ids), groups, capacity)
+    parts = written(pieces(docs, tokenizer, closing, capacity, key, text, ids), "pieces")
+    short = parts.where(F.col("length") < capacity)
+    groups = max(1, -(-short.count() // GROUP_PIECES))
+    # full pieces are numbered from the ids that groups can't have
+    full = parts.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(groups << 32) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return pack(short, groups, capacity).unionByName(full)

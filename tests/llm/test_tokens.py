@@ -2,7 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -102,6 +102,46 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([list(b) for b in fit], many, 4096)) <= len(fit)
 
 
+@pytest.mark.parametrize("least, most, n, capacity", [(1400, 2700, 600, 4096), (900, 1500, 400, 4096), (1, 40, 300, 50), (2, 300, 200, 301)])
+def test_local_search_leaves_no_step_between_any_bins(least, most, n, capacity):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(least, most, n)
+    fit = packing.best_fit(lengths, capacity)
+    got = packing.local_search([list(b) for b in fit], lengths, capacity)
+    assert sorted(i for b in got for i in b) == list(range(n)) and len(got) <= len(fit)
+    fill = [int(lengths[b].sum()) for b in got]
+    assert max(fill) <= capacity
+    values = [sorted({int(lengths[i]) for i in b}) for b in got]
+    pairs = [{int(lengths[i] + lengths[j]) for k, i in enumerate(b) for j in b[k + 1 :]} for b in got]
+    for a in range(len(got)):
+        for b in range(len(got)):
+            if a == b or fill[a] > fill[b] or fill[b] == capacity:
+                continue
+            room = capacity - fill[b]
+            assert not any(x <= room for x in values[a])
+            assert not any(0 < x - y <= room for x in [*values[a], *pairs[a]] for y in values[b])
+
+
+def test_local_search_pairs_of_a_bin_of_many_pieces():
+    lengths = np.array([2] * 1000 + [3, 3, 4089])  # only two of 2 for one of 3 fill the second bin
+    got = packing.local_search([list(range(1000)), [1000, 1001, 1002]], lengths, 4096)
+    assert sorted(int(lengths[b].sum()) for b in got) == [1999, 4096]
+
+
+def test_full_pieces_are_passed_by(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(packing, "pack", lambda parts, groups, capacity, own=packing.pack: sizes.append((parts.count(), groups)) or own(parts, groups, capacity))
+    monkeypatch.setattr(packing, "GROUP_PIECES", 4)
+    docs = spark.createDataFrame([(i, "word " * 300) for i in range(10)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, WORDS, capacity=16).collect()
+    short = [r for r in rows if r.length < 16]
+    assert sizes == [(len(short), -(-len(short) // 4))] and len(rows) > 100
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 16 and all(fills[r.sequence_id] == 16 and r.offset == 0 for r in rows if r.length == 16)
+
+
 def test_best_fit_fills_bins():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1500, 5000)
