@@ -324,3 +324,11 @@ def test_draws_and_ranges_are_the_references():
 
     assert (priority_queries.SIMULATIONS, priority_queries.SAMPLES, metric_queries.DRAWS) == (500, 1000, 1000)
     assert priority.RANGES == {"damage": (0.25, 0.55), "population": (0.15, 0.40), "accessibility": (0.10, 0.30), "hazard": (0.0, 0.20)}
+
+
+def test_distances_never_stop_short(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "u long, v long, w double")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.cost for r in graph.distances(chain, start, "w", most_rounds=4).collect()} == {i: float(i) for i in range(5)}
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        graph.distances(chain, start, "w", most_rounds=3)
