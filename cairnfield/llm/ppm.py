@@ -1,22 +1,24 @@
 """Language-model scores: prediction by partial matching over bytes, and a word unigram base.
 
 The trie holds, for each context of up to ``ORDER`` bytes, how often each byte followed it in
-the training texts; a byte that ends every text is counted too. The probability of a byte starts at
-its longest kept context: with ``n`` occurrences and ``d`` different followers, a follower seen
+the training texts; a byte that ends every text is counted too. The probability of a byte starts
+at its longest context: with ``n`` occurrences and ``d`` different followers, a follower seen
 ``c`` times gets ``c / (n + d)`` and the escape to the shorter context ``d / (n + d)``. Bytes
 that a longer context has seen are excluded from the counts of the shorter ones. Below order 0
 the bytes not yet seen share the rest evenly. The model is pretrained: it isn't updated while
-texts are scored, so each entry of the trie becomes one table of log probabilities.
+texts are scored.
 
-Memory has a proven bound at any input size. Contexts of two bytes or fewer are at most 65,793.
-Of longer contexts those are kept that hold at least one in ``DEEP_CONTEXTS`` of all positions, of
-which each order can have no more than ``DEEP_CONTEXTS``; other places use a shorter context.
-Counts cover every training text, one pass for each order; they are summed by Spark before they
-are collected.
+No context is left out, so the trie grows with the corpus and lives in Spark alone. A byte with
+its five before it is one gram, a number of 48 bits with the nearest byte of the context first.
+Documents are dealt into buckets, and each bucket brings its different grams once, with their
+training counts. Summed over buckets these are the trie: the counts of a shorter context are sums
+of those of longer ones. Contexts that agree in their last three bytes form a group, in which each
+gram's log probability is worked out. The probabilities go back to the buckets that asked for
+them, and so do the training counts of their words; there each text is summed up. On the way keys
+lie in packs, one for each bucket and slice of the keys' hashes.
 
-The base score needs each word's training count. Words that make up at least one in
-``COMMON_WORDS`` of all tokens are no more than ``COMMON_WORDS``; they are broadcast. The rest
-are joined by a shuffle in which each document brings each of its rare words once.
+The only thing broadcast is the trie of contexts of two bytes or fewer, of which there are no more
+than 65,793 at any input size.
 
 Defined results: a null text is an empty one and has one token, the end; without training rows
 every token has a count of zero, and the model is uniform; repeated rows are scored alike;
@@ -25,157 +27,117 @@ an empty table gives no rows; other columns of the input are left out.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm import textops
+from cairnfield.llm import buckets, textops
 from cairnfield.llm.common import ship, written
 
 END, PAD = 0xFF, 0xFE  # no byte of UTF-8
-ORDER, DEEP_CONTEXTS = 5, 1 << 14
-COMMON_WORDS = 1 << 20
-#: Longer words are never broadcast; and words that a task counts before it hands them on.
-COMMON_BYTES, HELD_WORDS = 32, 200_000
+ORDER = 5
+#: Words that a task counts before it hands them on, grams that are solved at once and looked up at once.
+HELD_WORDS, HELD_GRAMS, LOOKED_UP = 200_000, 1 << 20, 1 << 15
+UNKNOWN = float(np.log10(0.1))  # of a word with a count of zero
 END_TOKEN = b""  # no word is empty
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _series(texts: pa.Array, most: int = 1 << 20):
-    """For each chunk of texts: its rows, PAD PAD PAD text END in a row for each, and the places of the bytes to code."""
-    for first, last in textops.chunks(texts, most):
-        data, at = textops.raw(texts.slice(first, last - first))
-        n = last - first
-        size = np.diff(at)
-        begin = at[:-1] + 4 * np.arange(n) + 3
-        line = np.full(len(data) + 4 * n, PAD, dtype=np.uint8)
-        body = np.ones(len(line), dtype=bool)
-        for k in (1, 2, 3):
-            body[begin - k] = False
-        body[begin + size] = False
-        line[body] = _LOWER[data]
-        line[begin + size] = END
-        body[begin + size] = True
-        yield first, last, line, np.flatnonzero(body), size + 1
-
-
-def _codes(line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Two bytes of context and the byte itself, as one number below 2 ** 24."""
-    wide = line.astype(np.int32)
-    return (wide[at - 2] << 16) | (wide[at - 1] << 8) | wide[at]
-
-
-def _grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (two-byte context, byte) over all rows, at most 2 ** 24 of them."""
-
-    def count(batches):
-        total = np.zeros(1 << 24, dtype=np.int64)
-        for batch in batches:
-            for _, _, line, at, _ in _series(textops.as_strings(batch.column(0))):
-                np.add.at(total, _codes(line, at), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
-
-    found = rows.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return _collected(found)
-
-
-def _collected(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = found.toArrow()
-    code, n = got["code"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(code)
-    return code[order].astype(np.int64), n[order].astype(np.int64)
-
-
-@dataclass
-class Level:
-    """Contexts of one order beyond two: where each comes from, and the counts of the bytes after it.
-
-    The key of a three-byte context is its bytes as a number; that of a longer one is the place of
-    the context without its last byte, times 256, plus that byte. ``code``: place * 256 + byte.
-    """
-
-    keys: np.ndarray
-    code: np.ndarray
-    n: np.ndarray
+def _chunks(bodies: list[bytes], most: int = 1 << 20):
+    """Ranges of bodies that hold about ``most`` bytes each, or one longer body."""
+    first, held = 0, 0
+    for i, body in enumerate(bodies):
+        if held and held + len(body) > most:
+            yield first, i
+            first, held = i, 0
+        held += len(body)
+    if first < len(bodies):
+        yield first, len(bodies)
+
+
+def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each byte of each text and of its end, one text after the other, and their sizes."""
+    size = np.array([len(b) + 1 for b in bodies], dtype=np.int64)
+    pad = bytes([PAD]) * ORDER
+    line = np.frombuffer(b"".join(part for body in bodies for part in (pad, body, b"\xff")), dtype=np.uint8)
+    line = _LOWER[line]  # PAD and END stay
+    coded = np.ones(len(line), dtype=bool)
+    begin = np.cumsum(size + ORDER) - size - ORDER
+    for k in range(ORDER):
+        coded[begin + k] = False
+    wide = line.astype(np.int64)
+    gram = wide[ORDER:].copy()
+    for k in range(1, ORDER + 1):  # the k-th byte before
+        gram |= wide[ORDER - k : len(wide) - k] << (48 - 8 * k)
+    return gram[coded[ORDER:]], size
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys without repeats, and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    if not len(key):
+        return key, n
+    by = np.argsort(key, kind="stable")
+    key, n = key[by], n[by]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n, first)
+
+
+class Tally:
+    """Different grams of many texts and how often each occurs in those that are learned from."""
 
+    def __init__(self):
+        self.keys: list[np.ndarray] = [np.empty(0, dtype=np.int64)]
+        self.counts: list[np.ndarray] = [np.empty(0, dtype=np.int64)]
+        self.fresh = 0
 
-@dataclass
-class Trie:
-    """Counts of (two-byte context, byte) codes in order, and the levels of longer contexts."""
-
-    code: np.ndarray
-    n: np.ndarray
-    levels: list[Level]
-
-
-class Walker:
-    """Finds the kept contexts of each level in a line of bytes."""
-
-    def __init__(self, keys: list[np.ndarray]):
-        sizes = [1 << 24, *[256 * max(len(k), 1) for k in keys[:-1]]]
-        self.places = []
-        for own, size in zip(keys, sizes, strict=False):
-            place = np.full(size, -1, dtype=np.int32)
-            place[own] = np.arange(len(own))
-            self.places.append(place)
-
-    def slots(self, line: np.ndarray) -> list[np.ndarray]:
-        """For each level, the place of the context before each byte of the line, -1 where none is kept."""
-        wide = line.astype(np.int32)
-        out = []
-        for k, place in enumerate(self.places):
-            slot = np.full(len(line), -1, dtype=np.int32)
-            if k == 0:
-                slot[3:] = place[(wide[:-3] << 16) | (wide[1:-2] << 8) | wide[2:-1]]
-            else:
-                shorter = out[-1][:-1]
-                slot[1:] = np.where(shorter >= 0, place[np.maximum(shorter, 0) * 256 + wide[:-1]], -1)
-            out.append(slot)
-        return out
+    def add(self, gram: np.ndarray, learn: bool) -> None:
+        key, n = np.unique(gram, return_counts=True)
+        self.merge(key, n if learn else np.zeros_like(n))
 
+    def merge(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(key)
+        self.counts.append(n)
+        self.fresh += len(key)
+        if self.fresh > max(1 << 20, len(self.keys[0])):
+            self.result()
 
-def train(rows: DataFrame, order: int = ORDER) -> Trie:
-    """Count the texts of a column named text."""
-    ship(rows.sparkSession)
-    code, n = _grams(rows)
-    least = max(1, -(-int(n.sum()) // DEEP_CONTEXTS))
-    trie = Trie(code, n, [])
-    for _ in range(3, order + 1):
-        keep = (n >= least) & ((code & 0xFF) != END)  # a context never holds the end
-        keys = [level.keys for level in trie.levels] + [code[keep]]
-        code, n = _level(rows, keys)
-        trie.levels.append(Level(keys[-1], code, n))
-    return trie
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = _merged(self.keys, self.counts)
+        self.keys, self.counts, self.fresh = [key], [n], 0
+        return key, n
 
 
-def _level(rows: DataFrame, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the bytes after the contexts of the last level."""
+def _low_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Training counts of (two-byte context, byte), at most 2 ** 24 of them, and the bytes of all texts."""
 
-    def count(batches):
-        walker = Walker(keys)
-        total = np.zeros(max(len(keys[-1]), 1) * 256, dtype=np.int64)
+    def tally(batches):
+        found, bytes_seen = Tally(), 0
         for batch in batches:
-            for _, _, line, at, _ in _series(textops.as_strings(batch.column(0))):
-                slot = walker.slots(line)[-1][at]
-                kept = slot >= 0
-                np.add.at(total, slot[kept] * 256 + line[at[kept]], 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
-
-    return _collected(rows.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")))
-
-
-def deep_contexts(trie: Trie) -> set[bytes]:
-    """The bytes of all kept contexts beyond two bytes."""
-    return {c for k in range(len(trie.levels)) for c in _context_bytes(trie, k)}
+            texts, learn = textops.as_strings(batch.column("text")), batch.column("learn").to_numpy(zero_copy_only=False)
+            bodies = texts.cast(pa.large_binary()).to_pylist()
+            bytes_seen += sum(map(len, bodies))
+            known = [body for body, use in zip(bodies, learn, strict=True) if use]
+            for first, last in _chunks(known):
+                gram, _ = grams(known[first:last])
+                found.add(((gram >> 32) << 8) | (gram & 0xFF), True)
+        code, n = found.result()
+        code, n = np.append(code, -1), np.append(n, bytes_seen)
+        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n)], ["code", "n"])
+
+    got = rows.select("text", "learn").mapInArrow(tally, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = got["code"].to_numpy().astype(np.int64), got["n"].to_numpy()
+    by = np.argsort(code)
+    code, n = code[by], n[by]
+    own = code >= 0
+    return code[own], n[own], int(n[~own].sum())
 
 
 def _refine(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -194,106 +156,97 @@ def _refine(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(n > 0, own + rest * escape, shorter)
 
 
-def _dense(code: np.ndarray, n: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Counts of 256 bytes for each context of ``rows`` (in order) from codes context * 256 + byte."""
-    out = np.zeros((len(rows), 256))
-    out[np.searchsorted(rows, code >> 8), code & 0xFF] = n
-    return out
-
-
 @dataclass
-class Tables:
-    """Log10 probabilities of all bytes after each kept context."""
-
-    slot2: np.ndarray  # place of each two-byte context, -1 for those not seen
-    log1: np.ndarray
-    log2: np.ndarray
-    deep: list[np.ndarray]
-    walker: Walker
+class Low:
+    """Probabilities of all bytes after contexts of one and two bytes (nearest byte first)."""
+
+    slot: np.ndarray  # place of each two-byte context, -1 for those not seen
+    p1: np.ndarray
+    p2: np.ndarray
+
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        byte, slot = gram & 0xFF, self.slot[gram >> 32]
+        out = self.p1[gram >> 40, byte]
+        hit = slot >= 0
+        out[hit] = self.p2[slot[hit], byte[hit]]
+        return out
 
 
-def tables(trie: Trie) -> Tables:
-    """The trie as lookup tables; contexts of two bytes that were never seen use one byte."""
+def low_orders(code: np.ndarray, n: np.ndarray) -> Low:
     symbols = np.ones(256)
     symbols[PAD] = 0  # is never coded
-    uniform = (symbols / symbols.sum())[None, :]
-    zero = np.bincount(trie.code & 0xFF, trie.n, minlength=256)[None, :]
-    p0 = _refine(zero, uniform)
-    one = np.bincount(trie.code & 0xFFFF, trie.n, minlength=1 << 16).reshape(256, 256)
+    p0 = _refine(np.bincount(code & 0xFF, n, minlength=256)[None, :], (symbols / symbols.sum())[None, :])
+    one = np.bincount(((code >> 16) << 8) | (code & 0xFF), n, minlength=1 << 16).reshape(256, 256)
     p1 = _refine(one, np.repeat(p0, 256, axis=0))
-    contexts = np.unique(trie.code >> 8)
-    p2 = _refine(_dense(trie.code, trie.n, contexts), p1[contexts & 0xFF])
-    slot2 = np.full(1 << 16, -1, dtype=np.int32)
-    slot2[contexts] = np.arange(len(contexts))
-    deep: list[np.ndarray] = []
-    for k, level in enumerate(trie.levels):
-        # the context without its first byte: its place one level up
-        if k == 0:
-            tail = slot2[level.keys & 0xFFFF]
-            tails = np.where((tail >= 0)[:, None], p2[np.maximum(tail, 0)] if len(p2) else 0.0, p1[level.keys & 0xFF])
-        else:
-            tails = _tails(trie, k, [p1, slot2, p2, deep])
-        p = _refine(_dense(level.code, level.n, np.arange(len(level.keys))), tails) if len(level.keys) else np.zeros((0, 256))
-        deep.append(p)
-    with np.errstate(divide="ignore"):
-        log1, log2, *logs = (np.log10(p).astype(np.float32) for p in (p1, p2, *deep))
-    return Tables(slot2, log1, log2, logs, Walker([level.keys for level in trie.levels]))
-
-
-def _tails(trie: Trie, k: int, known: list) -> np.ndarray:
-    """For each context of level k (of order k + 3), the probabilities of its longest kept proper tail."""
-    p1, slot2, p2, deep = known
-    contexts = _context_bytes(trie, k)
-    out = np.empty((len(contexts), 256))
-    places = [{c: i for i, c in enumerate(_context_bytes(trie, j))} for j in range(k)]
-    for i, context in enumerate(contexts):
-        for size in range(len(context) - 1, 2, -1):
-            place = places[size - 3].get(context[-size:])
-            if place is not None:
-                out[i] = deep[size - 3][place]
-                break
-        else:
-            place = slot2[(context[-2] << 8) | context[-1]]
-            out[i] = p2[place] if place >= 0 else p1[context[-1]]
-    return out
-
-
-def _context_bytes(trie: Trie, k: int) -> list[bytes]:
-    if k == 0:
-        return [int(key).to_bytes(3, "big") for key in trie.levels[0].keys]
-    above = _context_bytes(trie, k - 1)
-    return [above[int(key) >> 8] + bytes([int(key) & 0xFF]) for key in trie.levels[k].keys]
+    contexts = np.unique(code >> 8)
+    counts = np.zeros((len(contexts), 256))
+    counts[np.searchsorted(contexts, code >> 8), code & 0xFF] = n
+    slot = np.full(1 << 16, -1, dtype=np.int32)
+    slot[contexts] = np.arange(len(contexts))
+    return Low(slot, p1, _refine(counts, p1[contexts >> 8]))
 
 
-def code_length(texts: pa.Array, t: Tables) -> np.ndarray:
-    """Log10 probability of each text with its end."""
-    out = np.zeros(len(texts))
-    for first, last, line, at, size in _series(texts):
-        wide = line.astype(np.int32)
-        byte, b1 = wide[at], wide[at - 1]
-        value = t.log1[b1, byte]
-        two = t.slot2[(wide[at - 2] << 8) | b1]
-        hit = two >= 0
-        value[hit] = t.log2[two[hit], byte[hit]]
-        for slot, log in zip(t.walker.slots(line), t.deep, strict=True):
-            own = slot[at]
-            hit = own >= 0
-            value[hit] = log[own[hit], byte[hit]]
-        out[first:last] = np.add.reduceat(value.astype(np.float64), np.cumsum(size) - size)
-    return out
-
-
-_TABLES: dict[int, Tables] = {}
+def solve(gram: np.ndarray, n: np.ndarray, low: Low) -> np.ndarray:
+    """Log10 probability of each gram, from the training counts of all grams with the same last three bytes of context.
 
+    ``gram`` has no repeats. From order 3 on each context is refined by the next longer one.
+    """
+    p = low(gram)
+    for order in range(3, ORDER + 1):
+        key, at, of = np.unique(((gram >> (48 - 8 * order)) << 8) | (gram & 0xFF), return_index=True, return_inverse=True)
+        count, shorter = np.bincount(of, n, minlength=len(key)), p[at]
+        context = key >> 8
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        total, kinds = np.add.reduceat(count, first), np.add.reduceat((count > 0).astype(float), first)
+        left = 1 - np.add.reduceat(np.where(count > 0, shorter, 0.0), first)
+        open_ = left > 1e-12
+        whole = np.maximum(np.where(open_, total + kinds, total), 1)
+        escape = np.where(total > 0, np.where(open_, kinds / whole / np.where(open_, left, 1), 0.0), 1.0)
+        p = np.where(count > 0, count / np.repeat(whole, size), shorter * np.repeat(escape, size))[of]
+    return np.log10(p)
+
+
+class Lookup:
+    """Values of 48-bit keys in an open hash table; all keys of an array are asked for at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits)
+        place, waiting = self._home(keys), np.arange(len(keys))
+        while len(waiting):
+            at = place[waiting]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[waiting[free]]  # of several in one place the last one stays
+            won = self.keys[at] == keys[waiting]
+            self.values[at[won]] = values[waiting[won]]
+            waiting = waiting[~won]
+            place[waiting] = (place[waiting] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys))
+        for at in range(0, len(keys), LOOKED_UP):
+            out[at : at + LOOKED_UP] = self._some(keys[at : at + LOOKED_UP])
+        return out
 
-def _worker_tables(shared) -> Tables:
-    """Tables of the broadcast trie, built once in each worker."""
-    trie = shared.value
-    key = hash((len(trie.code), int(trie.n.sum()), int(trie.code.sum()), *[int((v.code * v.n).sum()) for v in trie.levels]))
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = tables(trie)
-    return _TABLES[key]
+    def _some(self, keys: np.ndarray) -> np.ndarray:
+        place = self._home(keys)
+        out = self.values.take(place)
+        rest = np.flatnonzero(self.keys.take(place) != keys)
+        place = place[rest]
+        while len(rest):
+            place = (place + 1) & self.mask
+            found = self.keys[place]
+            if (found < 0).any():
+                raise KeyError("a gram that its bucket did not ask for")
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[place[hit]]
+            rest, place = rest[~hit], place[~hit]
+        return out
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -320,98 +273,212 @@ def _word_batch(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
 
-def score(docs: DataFrame, learn_from: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_tokens, n_known, train_tokens, base_score and score.
+#: Packs: ``slice`` of the keys, ``bucket`` that asks (TABLE: an entry of the table), keys, and counts or values.
+#: Grams have the slices from 0 on, words the negative ones.
+PACKS, TABLE = "slice int, bucket int, keys binary, n binary", -1
 
-    ``learn_from`` holds the training texts. One pass over the documents scores bytes and common
-    words; each document's rare words follow as rows of their own, meet their counts in a join,
-    and are summed up with what the pass has found.
-    """
-    ship(docs.sparkSession)
-    spark = docs.sparkSession
-    training = learn_from.select(F.col(f"`{text}`").alias("text"))
-    trie = spark.sparkContext.broadcast(train(training))
-    counts = written(word_counts(training), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, kinds = int(total["n"]), int(total["v"])
-    whole = tokens + 0.1 * (kinds + 1)
-    least = max(1, -(-tokens // COMMON_WORDS))
-    got = counts.where((F.col("c") >= least) & (F.length("word") <= COMMON_BYTES)).toArrow()
-    logs = np.log10((got["c"].to_numpy() + 0.1) / whole).tolist()
-    common = spark.sparkContext.broadcast(dict(zip(got["word"].to_pylist(), logs, strict=True)))
-
-    def coded(batches):
-        t, known = _worker_tables(trie), common.value
-        number = TaskContext.get().partitionId() << 40
+
+def _pack_grams(bucket: int, key: np.ndarray, values: np.ndarray, n: int) -> list[tuple]:
+    place = (textops.mix64(key.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return [(k, bucket, textops.squeeze(np.diff(key[of], prepend=0)), textops.squeeze(values[of])) for k, of in buckets.sliced(place, n)]
+
+
+def _pack_words(bucket: int, words: list[bytes], values: np.ndarray | None, n: int) -> list[tuple]:
+    place = np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
+    some = ((k, of, [words[i] for i in of.tolist()]) for k, of in buckets.sliced(place, n))
+    return [(-1 - k, bucket, textops.squeeze(b" ".join(of_slice)), None if values is None else textops.squeeze(values[of])) for k, of, of_slice in some]
+
+
+def _pack_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "bucket", "keys", "n"])
+
+
+def _grams_of(pack) -> np.ndarray:
+    return np.cumsum(np.frombuffer(textops.unsqueeze(pack.as_buffer()), dtype=np.int64))
+
+
+def _words_of(pack) -> list[bytes]:
+    return textops.unsqueeze(pack.as_buffer()).split(b" ")  # END_TOKEN is empty, so no word may be dropped
+
+
+def _values_of(pack, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(textops.unsqueeze(pack.as_buffer()), dtype=kind)
+
+
+def _asked(dealt: DataFrame, n: int) -> DataFrame:
+    """Packs of each bucket's different grams with their training counts in it, and of its words."""
+
+    def ask(batches):
+        now, found, words = None, Tally(), set()
+        for bucket, batch in buckets.runs(batches):
+            if bucket != now:
+                yield from out(now, found, words)
+                now, found, words = bucket, Tally(), {END_TOKEN}
+            bodies, learn = textops.unsqueezed(batch.column("body")), batch.column("learn").to_pylist()
+            for body in bodies:
+                words.update(body.lower().split())
+            for use in (False, True):
+                some = [body for body, flag in zip(bodies, learn, strict=True) if flag == use]
+                for first, last in _chunks(some):
+                    found.add(grams(some[first:last])[0], use)
+        yield from out(now, found, words)
+
+    def out(bucket, found, words):
+        if bucket is not None:
+            yield _pack_batch(_pack_grams(bucket, *found.result(), n))
+            yield _pack_batch(_pack_words(bucket, list(words), None, n))
+
+    return dealt.sortWithinPartitions("bucket").mapInArrow(ask, PACKS)
+
+
+def _counted(asked: DataFrame) -> DataFrame:
+    """gram, n (training count) of each gram in the packs."""
+
+    def count(batches):
+        now, found = None, Tally()
+        for place, batch in buckets.runs(batches, "slice"):
+            if place < 0:
+                continue
+            if place != now:
+                yield from out(found)
+                now, found = place, Tally()
+            for keys, n in zip(batch.column("keys"), batch.column("n"), strict=True):
+                found.merge(_grams_of(keys), _values_of(n))
+        yield from out(found)
+
+    def out(found):
+        key, n = found.result()
+        for at in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], ["gram", "n"])
+
+    return asked.sortWithinPartitions("slice").mapInArrow(count, "gram long, n long")
+
+
+def _solved(counted: DataFrame, low, n_slices: int) -> DataFrame:
+    """Packs of the log10 probabilities of all grams; low: a broadcast Low."""
+
+    def work(batches):
+        key, n = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        held = 0
         for batch in batches:
-            texts = textops.as_strings(batch.column(1))
-            lengths = code_length(texts, t).tolist()
-            out = _Rows()
-            for doc, body, length in zip(batch.column(0).to_pylist(), texts.cast(pa.large_binary()).to_pylist(), lengths, strict=True):
-                words = Counter(body.lower().split())
-                n = words.total() + 1
-                words[END_TOKEN] = 1
-                base, n_rare = 0.0, 0
-                for word, times in words.items():
-                    log = known.get(word)
-                    if log is None:
-                        out.rare(number, word, times)
-                        n_rare += times
-                    else:
-                        base += times * log
-                out.document(number, doc, n, n - n_rare, base, length)
-                number += 1
-                if len(out.row) > 50_000:
-                    yield out.batch()
-                    out = _Rows()
-            yield out.batch()
-
-    schema = "row long, word binary, times int, found struct<doc_id: long, n: long, known: long, base: double, score: double>"
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(coded, schema)
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = F.col("found").isNull()
-    joined = rows.join(counts, "word", "left")
-    return (
-        joined.groupBy("row")
-        .agg(
-            F.max("found").alias("found"),
-            F.sum(F.when(rare & (c > 0), F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.when(rare, F.col("times") * F.log10((c + 0.1) / F.lit(whole))).otherwise(0.0)).alias("base"),
-        )
-        .select(
-            "found.doc_id",
-            F.col("found.n").alias("n_tokens"),
-            (F.col("found.known") + F.col("known")).alias("n_known"),
-            F.lit(tokens).cast("long").alias("train_tokens"),
-            (F.col("found.base") + F.col("base")).alias("base_score"),
-            "found.score",
-        )
-    )
+            key.append(batch.column("gram").to_numpy())
+            n.append(batch.column("n").to_numpy())
+            held += len(key[-1])
+            if held > HELD_GRAMS:
+                keys, ns = np.concatenate(key), np.concatenate(n)
+                cut = int(np.searchsorted(keys, (keys[-1] >> 24) << 24))  # the last group may go on
+                yield from out(keys[:cut], ns[:cut])
+                key, n, held = [keys[cut:]], [ns[cut:]], len(keys) - cut
+        yield from out(np.concatenate(key), np.concatenate(n))
 
+    def out(key, n):
+        if len(key):
+            yield _pack_batch(_pack_grams(TABLE, key, solve(key, n, low.value), n_slices))
 
-class _Rows:
-    """Rows on their way to the join. A document's own row has a word of its own, which no text
-    holds (0xFF is no UTF-8), so that these rows spread evenly and find no partner."""
+    groups = counted.repartition(F.shiftright("gram", 24)).sortWithinPartitions("gram")
+    return groups.mapInArrow(work, PACKS)
 
-    def __init__(self):
-        self.row, self.word, self.times = [], [], []
-        self.at, self.found = [], []
-
-    def rare(self, row: int, word: bytes, times: int) -> None:
-        self.row.append(row)
-        self.word.append(word)
-        self.times.append(times)
-
-    def document(self, row: int, *found) -> None:
-        self.at.append(len(self.row))
-        self.found.append(found)
-        self.rare(row, b"\xff" + row.to_bytes(8, "big"), 0)
-
-    def batch(self) -> pa.RecordBatch:
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-        columns = list(zip(*self.found, strict=True)) or [[]] * len(kinds)
-        whole = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds.values(), strict=True)], list(kinds))
-        place = np.full(len(self.row), -1)
-        place[self.at] = np.arange(len(self.at))
-        found = whole.take(pa.array(place, mask=place < 0))
-        return pa.RecordBatch.from_arrays([pa.array(self.row, pa.int64()), pa.array(self.word, pa.binary()), pa.array(self.times, pa.int32()), found], ["row", "word", "times", "found"])
+
+def _packed_words(words: DataFrame, n: int) -> DataFrame:
+    """Packs of log10(count + 0.1) of all words."""
+
+    def pack(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) > HELD_WORDS:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    def out(held):
+        table = pa.Table.from_batches(held)
+        return _pack_batch(_pack_words(TABLE, table["word"].to_pylist(), np.log10(table["c"].to_numpy() + 0.1), n))
+
+    return words.select("word", "c").mapInArrow(pack, PACKS)
+
+
+def _answers(packs: DataFrame, n: int) -> DataFrame:
+    """The asking packs with the values of their keys; within a slice the table's own packs come first."""
+
+    def answer(batches):
+        now, keys, values, find = None, [], [], None
+        for place, run in buckets.runs(batches, "slice"):
+            if place != now:
+                now, keys, values, find = place, [], [], None
+            out = []
+            for bucket, key, value in zip(run.column("bucket").to_pylist(), run.column("keys"), run.column("n"), strict=True):
+                if bucket == TABLE:
+                    keys.append(_grams_of(key) if place >= 0 else _words_of(key))
+                    values.append(_values_of(value, float))
+                    continue
+                if find is None:
+                    find = _finder(place, keys, values)
+                    keys = values = None
+                out.append((place, bucket, key.as_py(), textops.squeeze(find(_grams_of(key) if place >= 0 else _words_of(key)))))
+            yield _pack_batch(out)
+
+    return packs.repartition(n, "slice").sortWithinPartitions("slice", "bucket").mapInArrow(answer, PACKS)
+
+
+def _finder(place: int, keys: list, values: list):
+    if place >= 0:
+        return Lookup(np.concatenate(keys), np.concatenate(values))
+    known = {w: v for some, of in zip(keys, values, strict=True) for w, v in zip(some, of.tolist(), strict=True)}
+    return lambda words: np.fromiter((known.get(w, UNKNOWN) for w in words), dtype=float, count=len(words))
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _summed(own: pa.Table, answers: pa.Table) -> pa.Table:
+    """Scores of one bucket's documents, from the answers to its grams and words."""
+    keys = own["doc_id"].combine_chunks()
+    found, values, log = [], [], {}
+    for place, key, value in zip(answers["slice"].to_pylist(), answers["keys"], answers["n"], strict=True):
+        if place >= 0:
+            found.append(_grams_of(key))
+            values.append(_values_of(value, float))
+        else:
+            log.update(zip(_words_of(key), _values_of(value, float).tolist(), strict=True))
+    p = Lookup(np.concatenate(found), np.concatenate(values))
+    bodies = textops.unsqueezed(own["body"])
+    score, base = np.zeros(len(bodies)), np.zeros(len(bodies))
+    n_tokens, n_known = np.zeros(len(bodies), dtype=np.int64), np.zeros(len(bodies), dtype=np.int64)
+    for first, last in _chunks(bodies):
+        gram, size = grams(bodies[first:last])
+        score[first:last] = np.add.reduceat(p(gram), np.cumsum(size) - size)
+    for i, body in enumerate(bodies):
+        words = body.lower().split()
+        words.append(END_TOKEN)
+        logs = list(map(log.__getitem__, words))
+        n_tokens[i], n_known[i], base[i] = len(words), len(words) - logs.count(UNKNOWN), sum(logs)
+    return pa.Table.from_arrays([keys, *map(pa.array, (n_tokens, n_known, base, score))], ["doc_id", "n_tokens", "n_known", "base", "score"])
+
+
+def score(docs: DataFrame, learn_from: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_tokens, n_known, train_tokens, base_score and score.
+
+    ``learn_from``: a condition on the columns of ``docs``; where it holds, the text is a training text.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.expr(learn_from), F.lit(False)).alias("learn"), F.col(f"`{text}`").alias("text"))
+    code, n, size = _low_counts(rows)
+    low = docs.sparkSession.sparkContext.broadcast(low_orders(code, n))
+    words = written(word_counts(rows.where("learn")), "word-counts")
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    tokens = int(total["n"])
+    whole = tokens + 0.1 * (int(total["v"]) + 1)
+    n_buckets = buckets.count(docs, size)
+    n_slices = buckets.slices(n_buckets)
+    dealt = buckets.dealt(rows, n_buckets)
+    asked = _asked(dealt, n_slices).repartition(n_slices, "slice")
+    solved = _solved(_counted(asked), low, n_slices)
+    answers = _answers(solved.union(_packed_words(words, n_slices)).union(asked), n_slices)
+    scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_summed, SCORES)
+    return scored.select(
+        "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(whole)))).alias("base_score"), "score"
+    )

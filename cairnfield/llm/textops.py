@@ -67,6 +67,28 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+_FAST, _ANY = pa.Codec("zstd", compression_level=1), pa.Codec("zstd")
+
+
+def squeeze(data) -> bytes:
+    """Bytes (or an array's) compressed, after eight bytes that hold their size."""
+    data = pa.py_buffer(data)
+    return data.size.to_bytes(8, "little") + _FAST.compress(data, asbytes=True)
+
+
+def unsqueeze(data) -> bytes:
+    return _ANY.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def squeezed(texts: pa.Array) -> pa.Array:
+    """Each text compressed on its own."""
+    return pa.array([squeeze(body.as_buffer()) for body in texts.cast(pa.large_binary())], pa.binary())
+
+
+def unsqueezed(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [unsqueeze(body.as_buffer()) for body in column]
+
+
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most`` bytes each, or one longer text."""
     _, at = raw(texts)

@@ -62,67 +62,80 @@ def test_language_held_out_and_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language_id.identify(docs.limit(3), one).collect()} == {"aa"}
 
 
-def _brute(trie_texts: list[bytes], text: bytes, deep: set[bytes], order: int) -> float:
-    """PPM by its definition, with dictionaries."""
+def _brute(learned: list[bytes], text: bytes, order: int = 5) -> float:
+    """PPM by its definition, with dictionaries and nothing of the module: 0xFE pads, 0xFF ends."""
     counts: dict[bytes, Counter] = {}
-    for t in trie_texts:
-        line = bytes([ppm.PAD]) * order + t.lower() + bytes([ppm.END])
+    for t in learned:
+        line = b"\xfe" * order + t.lower() + b"\xff"
         for i in range(order, len(line)):
             for k in range(order + 1):
                 counts.setdefault(line[i - k : i], Counter())[line[i]] += 1
 
-    def p(context: bytes, byte: int) -> float:
-        def dist(c: bytes | None) -> np.ndarray:
-            if c is None:
-                out = np.ones(256)
-                out[ppm.PAD] = 0
-                return out / out.sum()
-            shorter = dist(c[1:] if c else None)
-            if len(c) >= 3 and c not in deep or c not in counts:
-                return shorter
-            own = np.zeros(256)
-            for b, n in counts[c].items():
-                own[b] = n
-            n, d = own.sum(), (own > 0).sum()
-            rest = np.where(own > 0, 0, shorter)
-            if rest.sum() == 0:
-                return own / n
-            return own / (n + d) + rest / rest.sum() * d / (n + d)
-
-        return dist(context)[byte]
-
-    line = bytes([ppm.PAD]) * order + text.lower() + bytes([ppm.END])
-    return sum(math.log10(p(line[i - order : i], line[i])) for i in range(order, len(line)))
+    def dist(context: bytes | None) -> dict[int, float]:
+        if context is None:
+            return {b: 1 / 255 for b in range(256) if b != 0xFE}
+        shorter = dist(context[1:] if context else None)
+        own = counts.get(context)
+        if own is None:
+            return shorter
+        n, d = own.total(), len(own)
+        rest = sum(p for b, p in shorter.items() if b not in own)
+        return {b: own[b] / (n + d) if b in own else p / rest * d / (n + d) for b, p in shorter.items()}
+
+    line = b"\xfe" * order + text.lower() + b"\xff"
+    return sum(math.log10(dist(line[i - order : i])[line[i]]) for i in range(order, len(line)))
+
+
+LEARN = "crc32(cast(cast(doc_id AS string) AS binary)) % 10 <> 0"
 
 
 def test_ppm_matches_brute_force(spark, odd_docs, no_docs):
     rng = random.Random(5)
-    texts = ["".join(rng.choice("abAB c") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    texts = ["".join(rng.choice("abAB céЖ") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
-    got = {r.doc_id: r for r in ppm.score(docs, train).collect()}
+    got = {r.doc_id: r for r in ppm.score(docs, LEARN).collect()}
     known = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
-    trie = ppm.train(train.select("text"))
-    deep = ppm.deep_contexts(trie)
     words = Counter(w for t in known for w in [*t.lower().split(), b""])
     n, v = sum(words.values()), len(words)
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
         tokens = [*t.encode().lower().split(), b""]
         assert got[i].n_tokens == len(tokens) and got[i].n_known == sum(words[w] > 0 for w in tokens) and got[i].train_tokens == n
         assert got[i].base_score == pytest.approx(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
-        assert got[i].score == pytest.approx(_brute(known, t.encode(), deep, ppm.ORDER), rel=1e-5)
-    odd = ppm.score(odd_docs, odd_docs).collect()
+        assert got[i].score == pytest.approx(_brute(known, t.encode()), rel=1e-9)
+
+
+def test_ppm_odd_rows(spark, odd_docs, no_docs):
+    odd = ppm.score(odd_docs, "doc_id < 9").collect()
     assert len(odd) == 12 and all(r.score < 0 for r in odd)
-    assert ppm.score(no_docs, no_docs).count() == 0
-    fresh = ppm.score(docs.limit(2), no_docs).collect()
-    assert all(r.train_tokens == 0 and r.base_score == 0 for r in fresh)
+    assert len({r.score for r in odd if r.doc_id in (4, 5)}) == 1
+    assert {r.n_tokens for r in odd if r.doc_id in (1, 2, 3)} == {1}
+    assert ppm.score(no_docs, LEARN).count() == 0
+    fresh = ppm.score(odd_docs.limit(2), "false").collect()
+    assert all(r.train_tokens == 0 and r.base_score == 0 and r.n_known == 0 for r in fresh)
+    assert [r.score for r in fresh] == pytest.approx([-math.log10(255)] * 2)
 
 
 def test_ppm_probabilities_sum_to_one():
-    code = np.array([(97 << 16) | (98 << 8) | 99, (97 << 16) | (98 << 8) | 255, (98 << 16) | (99 << 8) | 97])
-    trie = ppm.Trie(code, np.array([3, 1, 2]), [])
-    t = ppm.tables(trie)
-    for table in (t.log1, t.log2):
-        assert np.allclose((10.0**table.astype(float)).sum(1), 1, atol=1e-5)
-    texts = pa.array(["abc", ""], pa.large_string())
-    assert ppm.code_length(texts, t).shape == (2,)
+    rng = np.random.default_rng(1)
+    gram, _ = ppm.grams([bytes(rng.choice([97, 98, 99], 50).astype(np.uint8)) for _ in range(20)])
+    key, n = np.unique(gram, return_counts=True)
+    code, m = np.unique(((gram >> 32) << 8) | (gram & 0xFF), return_counts=True)
+    low = ppm.low_orders(code, m)
+    context = key[7] >> 8  # all bytes after one context: those that were not seen count 0
+    group = key >> 24 == key[7] >> 24
+    every = np.union1d(key[group], (context << 8) | np.arange(256))
+    counts = np.zeros(len(every), dtype=np.int64)
+    counts[np.searchsorted(every, key[group])] = n[group]
+    p = 10.0 ** ppm.solve(every, counts, low)[every >> 8 == context]
+    assert np.isclose(p[np.arange(256) != ppm.PAD].sum(), 1)
+
+
+def test_lookup_of_grams():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000))
+    found = ppm.Lookup(keys, keys / 2)
+    asked = rng.permutation(np.repeat(keys, 2))
+    assert (found(asked) == asked / 2).all()
+    with pytest.raises(KeyError):
+        found(np.array([int(keys[0]) + 1]))
