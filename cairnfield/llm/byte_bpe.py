@@ -1,15 +1,14 @@
 """Byte-level BPE: encoding by folding ranked merges, decoding by joining the pieces of ids.
 
-``fold_words`` is the native form: for each distinct word a higher-order fold starts from its
-single bytes and, step by step, joins the leftmost pair of lowest rank; the ranks come from a
-literal map, held in buckets because Spark searches one map from end to end. It runs over the
-frequent words: those that make up at least one in ``FREQUENT_WORDS`` of all words, which can be
-no more than ``FREQUENT_WORDS``, so their encodings have a proven bound and are broadcast.
-Counts are taken over all documents.
+``fold_words`` encodes distinct words: a higher-order fold starts from a word's single bytes and,
+step by step, joins the leftmost pair of lowest rank; the ranks come from a literal map, held in
+buckets because Spark searches one map from end to end. Every distinct word of the corpus is
+folded once. Documents are dealt into buckets, each of which asks for its different words once;
+the ids come back to the bucket, where its texts are put together from them. ``decode`` joins the
+binary pieces of the ids, from a literal array, with higher-order functions only.
 
-The rest of the distinct words is unbounded and cannot be broadcast, and joining each rare
-word of each document back would move more data than the documents hold. So the same fold runs
-for them where their document is, in a table of words that forgets when it is full.
+The fold copies its array at each step, so a word costs the square of its length. Words of more
+than ``LONG_BYTES`` take the same merges in the same order from a heap.
 
 Defined results: a null text is an empty one, with no ids; ids are those of ordinary text, so
 the strings of special tokens have no special meaning; repeated rows are encoded alike; an empty
@@ -19,11 +18,9 @@ table gives no rows; columns with the name of a result are replaced, others stay
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield.llm import buckets as bucketed
 from cairnfield.llm import textops
-from cairnfield.llm.common import ship, written
+from cairnfield.llm.common import ship
 
-FREQUENT_WORDS = 1 << 20
-#: Longer words are never broadcast; words that either half of a worker's table holds besides.
-FREQUENT_BYTES, MEMO_WORDS = 32, 250_000
 BUCKETS = 1 << 14
 #: Beyond this length the pairs wait in a heap.
-LONG_BYTES = 48
+LONG_BYTES = 128
+#: Documents that are handed on at once.
+BATCH = 500
 
 
 @lru_cache(maxsize=2)
@@ -49,25 +46,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    pieces = [word[i : i + 1] for i in range(len(word))]
-    found = [ranks.get(word[i : i + 2], 1 << 30) for i in range(len(word) - 1)]
-    while found:
-        least = min(found)
-        if least == 1 << 30:
-            break
-        at = found.index(least)
-        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
-        del found[at]
-        if at:
-            found[at - 1] = ranks.get(pieces[at - 1] + pieces[at], 1 << 30)
-        if at < len(found):
-            found[at] = ranks.get(pieces[at] + pieces[at + 1], 1 << 30)
-    return pieces
-
-
-def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The same merges in the same order, with the pairs in a heap."""
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: the merges of ``fold_words``, with the pairs in a heap."""
+    if word in ranks:
+        return [ranks[word]]
     n = len(word)
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     gone = bytearray(n)
@@ -87,15 +69,7 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
                 rank = ranks.get(word[first : end[second]])
                 if rank is not None:
                     heapq.heappush(heap, (rank, first, end[second]))
-    return [word[i : end[i]] for i in range(n) if not gone[i]]
-
-
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    return [ranks[p] for p in (_fold_short if len(word) <= LONG_BYTES else _fold_long)(word, ranks)]
+    return [ranks[word[i : end[i]]] for i in range(n) if not gone[i]]
 
 
 def literal_ranks(ranks: dict[bytes, int]) -> Column:
@@ -115,116 +89,160 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:
-    """Add ids (array of int) to each row of a binary column, by higher-order functions only."""
-    buckets = literal_ranks(ranks)
+def fold_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word", most: int | None = None) -> DataFrame:
+    """Add ids (array of int) to each row of a binary column, by higher-order functions only.
+
+    ``most``: longer words get null. The fold carries the pieces and the ranks of their pairs; a
+    step joins two pieces and looks up the two pairs that are new.
+    """
+
+    def folded(whole: Column, buckets: Column) -> Column:
+        none = F.array().cast("array<int>")
 
-    def step(pieces: Column, _: Column) -> Column:
-        pair = F.transform(
-            F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: _rank(buckets, F.concat(p, F.get(pieces, i + 1)))
-        )
+        def step(acc: Column, _: Column) -> Column:
+            p, r = acc["p"], acc["r"]
 
-        def merged(found: Column) -> Column:
-            at = F.array_position(found, F.array_min(found)).cast("int")
-            return F.when(F.array_min(found).isNull(), pieces).otherwise(
-                F.concat(
-                    F.slice(pieces, 1, at - 1),
-                    F.array(F.concat(F.get(pieces, at - 1), F.get(pieces, at))),
-                    F.slice(pieces, at + 2, F.size(pieces)),
-                )
-            )
+            def merged(at: Column) -> Column:
+                def around(one: Column) -> Column:
+                    left = F.when(at > 1, F.array(_rank(buckets, F.concat(F.get(p, at - 2), one)))).otherwise(none)
+                    right = F.when(at < F.size(r), F.array(_rank(buckets, F.concat(one, F.get(p, at + 1))))).otherwise(none)
+                    return F.struct(
+                        F.concat(F.slice(p, 1, at - 1), F.array(one), F.slice(p, at + 2, F.size(p))).alias("p"),
+                        F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
+                    )
 
-        return _let(pair, merged)
+                return F.when(at.isNull(), acc).otherwise(_let(F.concat(F.get(p, at - 1), F.get(p, at)), around))
 
-    whole, n = F.col(f"`{word}`"), F.length(f"`{word}`")
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(whole, i, F.lit(1)))
-    folded = F.aggregate(F.sequence(F.lit(1), n), single, step)
-    pieces = F.when(n == 0, F.array().cast("array<binary>")).when(_rank(buckets, whole).isNotNull(), F.array(whole)).otherwise(folded)
-    return words.withColumn("ids", F.transform(pieces, lambda p: _rank(buckets, p)))
+            return _let(F.array_position(r, F.array_min(r)).cast("int"), merged)
 
+        n = F.length(whole)
+        single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(whole, i, F.lit(1)))
+        pairs = F.transform(F.sequence(F.lit(2), n), lambda i: _rank(buckets, F.substring(whole, i - 1, F.lit(2))))
+        first = F.struct(single.alias("p"), F.when(n > 1, pairs).otherwise(none).alias("r"))
+        pieces = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), first, step)["p"]
+        ids = F.when(n == 0, none).when(n > F.lit((1 << 31) - 1 if most is None else most), F.lit(None))
+        return _let(_rank(buckets, whole), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(ids.otherwise(F.transform(pieces, lambda p: _rank(buckets, p)))))
 
-def frequent_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """Words (binary) that make up at least one in FREQUENT_WORDS of all; their number is bounded."""
-    found = F.regexp_extract_all(F.col(f"`{text}`"), F.lit("(?U)" + pattern), F.lit(0))
-    counts = written(docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "words")
-    total = counts.agg(F.sum("c").alias("n")).first()["n"] or 0
-    least = max(1, -(-total // FREQUENT_WORDS))
-    return counts.where((F.col("c") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)).select(F.col("word").cast("binary"))
+    return words.withColumn("ids", _let(literal_ranks(ranks), lambda buckets: folded(F.col(f"`{word}`"), buckets)))
+
+
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that an array of ids stands for: the binary pieces one after the other."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex()
+    table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))  # concat takes no array
 
 
-class Encoder:
-    """Ids of whole texts: known words by table, others by the fold."""
+def _asked(dealt: DataFrame, n: int, pattern: str) -> DataFrame:
+    """Packs of each bucket's different words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[bytes, bytes]):
+    def ask(batches):
         import regex
 
-        self.split = regex.compile(pattern).findall
-        self.ranks = ranks
-        self.pieces: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
-        known = {word.decode("utf-8", "surrogateescape"): ids for word, ids in known.items()}
-        self.known, self.memo, self.older = known, dict(known), {}
-
-    def _learn(self, word: str) -> bytes:
-        """Ids of a word that isn't in the younger half of the table."""
-        ids = self.older.get(word)
-        if ids is None:
-            ids = array("I", fold(word.encode(), self.ranks)).tobytes()
-        if len(word) <= 2 * FREQUENT_BYTES:
-            self.memo[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        words = self.split(text)
-        found = list(map(self.memo.get, words))
-        try:
-            joined = b"".join(found)
-        except TypeError:  # a word that isn't known yet
-            joined = b"".join([self._learn(w) if ids is None else ids for w, ids in zip(words, found, strict=True)])
-            if len(self.memo) > len(self.known) + MEMO_WORDS:  # what isn't asked for again before the next turn goes
-                self.older, self.memo = self.memo, dict(self.known)
-        out = array("I")
-        out.frombytes(joined)
-        return out.tolist()
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
+        split = regex.compile(pattern).findall
+        now, found = None, set()
+        for bucket, batch in bucketed.runs(batches):
+            if bucket != now:
+                yield out(now, found)
+                now, found = bucket, set()
+            for body in textops.unsqueezed(batch.column("body")):
+                found.update(split(body.decode()))
+        yield out(now, found)
 
+    def out(bucket, found):
+        words = [w.encode() for w in found]
+        place = np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
+        packs = ((k, [words[i] for i in of.tolist()]) for k, of in bucketed.sliced(place, n))
+        return bucketed.batch_of([(k, bucket, textops.listed(some), None) for k, some in packs])
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256 to each row; ``ids``: also the ids and the decoded bytes."""
+    return dealt.sortWithinPartitions("bucket").mapInArrow(ask, bucketed.PACKS)
+
+
+def _distinct(asked: DataFrame) -> DataFrame:
+    """slice and word of each different word in the packs, the words of a slice one after the other."""
+
+    def merge(batches):
+        now, found = None, set()
+        for place, batch in bucketed.runs(batches, "slice"):
+            if place != now:
+                yield from out(now, found)
+                now, found = place, set()
+            for keys in batch.column("keys"):
+                found.update(textops.unlisted(keys.as_buffer()))
+        yield from out(now, found)
+
+    def out(place, found):
+        words = list(found)
+        for at in range(0, len(words), 10_000):
+            some = pa.array(words[at : at + 10_000], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), place, dtype=np.int32)), some], ["slice", "word"])
+
+    return asked.sortWithinPartitions("slice").mapInArrow(merge, "slice int, word binary")
+
+
+def _table(folded: DataFrame, ranks) -> DataFrame:
+    """Packs of words and their ids; ranks: broadcast, for the words that the fold leaves out."""
+
+    def pack(batches):
+        for batch in batches:
+            for place, run in bucketed.runs([batch], "slice"):
+                words, ids = run.column("word").to_pylist(), []
+                for word, some in zip(words, run.column("ids"), strict=True):
+                    own = some.values.to_numpy() if some.is_valid else np.array(fold_long(word, ranks.value))
+                    ids.append(own.astype(np.uint32).tobytes())
+                yield bucketed.batch_of([(place, bucketed.TABLE, textops.listed(words), textops.listed(ids))])
+
+    return folded.mapInArrow(pack, bucketed.PACKS)
+
+
+def _finder(_: int, table: list[tuple]):
+    known = {w: ids for keys, values in table for w, ids in zip(textops.unlisted(keys), textops.unlisted(values), strict=True)}
+    return lambda keys: textops.listed([known[w] for w in textops.unlisted(keys)])
+
+
+def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The rows with ``ids`` (array of int) in place of their text."""
     ship(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     ranks = read_ranks(path)
-    got = fold_words(frequent_words(docs, pattern, text), ranks).toArrow()
-    at = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat = np.asarray(at.flatten(), dtype=np.uint32)
-    ends = np.cumsum(at.value_lengths().to_numpy())
-    starts = np.append(0, ends[:-1]) if len(ends) else ends
-    known = {word: flat[a:b].tobytes() for word, a, b in zip(got["word"].to_pylist(), starts.tolist(), ends.tolist(), strict=True)}
-    shared = context.broadcast((ranks, pattern, known))
-    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "binary"} if ids else {})
-
-    @F.arrow_udf(", ".join(f"{k} {v}" for k, v in kinds.items()))
-    def coded(texts: pa.Array) -> pa.Array:
-        key = (path, pattern, len(shared.value[2]))
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(*shared.value)
-        encoder, out = _ENCODERS[key], []
-        for body in textops.as_strings(texts):
-            found = encoder.encode(body.as_py())
-            decoded = encoder.decode(found)
-            decimal = repr(found)[1:-1].replace(" ", "").encode()
-            row = (len(found), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(decoded).hexdigest())
-            out.append((*row, found, decoded) if ids else row)
-        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-        types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], list(kinds))
-
-    rows = docs.withColumn("__coded", coded(F.col(f"`{text}`")))
-    return rows.withColumns({k: F.col(f"__coded.{k}") for k in kinds}).drop("__coded")
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "ids")]
+    rows = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *others).alias("row"), F.col(f"`{text}`").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n_buckets = bucketed.count(docs, size)
+    n_slices = bucketed.slices(n_buckets)
+    dealt = bucketed.dealt(rows, n_buckets)
+    asked = _asked(dealt, n_slices, pattern).repartition(n_buckets, "slice")
+    table = _table(fold_words(_distinct(asked), ranks, most=LONG_BYTES), shared)
+    answers = bucketed.answered(table.union(asked), n_buckets, _finder)
+
+    def encode(own: pa.Table, found: pa.Table) -> pa.Table:
+        import regex
+
+        split, known = regex.compile(pattern).findall, {}
+        for keys, values in zip(found["keys"], found["n"], strict=True):
+            words = (w.decode() for w in textops.unlisted(keys.as_buffer()))
+            known.update(zip(words, textops.unlisted(values.as_buffer()), strict=True))
+        batches = []
+        for batch in own.to_batches(max_chunksize=BATCH):
+            coded = [b"".join(map(known.__getitem__, split(body.decode()))) for body in textops.unsqueezed(batch.column("body"))]
+            ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
+            batches.append(pa.RecordBatch.from_arrays([batch.column("row"), ids], ["row", "ids"]))
+        return pa.Table.from_batches(batches)
+
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>"
+    coded = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(encode, schema)
+    return coded.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in (text, "ids")], "ids")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
+    """The rows with n_tokens, ids_sha256 and decoded_sha256; ``ids``: also with the ids and the decoded bytes.
+
+    The text itself is not carried along.
+    """
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    rows = encode_ids(docs, path, pattern, text).withColumn("decoded", decode(F.col("ids"), read_ranks(path)))
+    rows = rows.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(decimal, 256), "decoded_sha256": F.sha2("decoded", 256)})
+    return rows if ids else rows.drop("ids", "decoded")

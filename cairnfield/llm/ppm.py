@@ -273,9 +273,7 @@ def _word_batch(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
 
-#: Packs: ``slice`` of the keys, ``bucket`` that asks (TABLE: an entry of the table), keys, and counts or values.
-#: Grams have the slices from 0 on, words the negative ones.
-PACKS, TABLE = "slice int, bucket int, keys binary, n binary", -1
+# Packs of grams have the slices from 0 on, those of words the negative ones.
 
 
 def _pack_grams(bucket: int, key: np.ndarray, values: np.ndarray, n: int) -> list[tuple]:
@@ -286,25 +284,15 @@ def _pack_grams(bucket: int, key: np.ndarray, values: np.ndarray, n: int) -> lis
 def _pack_words(bucket: int, words: list[bytes], values: np.ndarray | None, n: int) -> list[tuple]:
     place = np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
     some = ((k, of, [words[i] for i in of.tolist()]) for k, of in buckets.sliced(place, n))
-    return [(-1 - k, bucket, textops.squeeze(b" ".join(of_slice)), None if values is None else textops.squeeze(values[of])) for k, of, of_slice in some]
-
-
-def _pack_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "bucket", "keys", "n"])
+    return [(-1 - k, bucket, textops.listed(of_slice), None if values is None else textops.squeeze(values[of])) for k, of, of_slice in some]
 
 
 def _grams_of(pack) -> np.ndarray:
-    return np.cumsum(np.frombuffer(textops.unsqueeze(pack.as_buffer()), dtype=np.int64))
-
-
-def _words_of(pack) -> list[bytes]:
-    return textops.unsqueeze(pack.as_buffer()).split(b" ")  # END_TOKEN is empty, so no word may be dropped
+    return np.cumsum(_values_of(pack))
 
 
 def _values_of(pack, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(textops.unsqueeze(pack.as_buffer()), dtype=kind)
+    return np.frombuffer(textops.unsqueeze(pack), dtype=kind)
 
 
 def _asked(dealt: DataFrame, n: int) -> DataFrame:
@@ -327,10 +315,10 @@ def _asked(dealt: DataFrame, n: int) -> DataFrame:
 
     def out(bucket, found, words):
         if bucket is not None:
-            yield _pack_batch(_pack_grams(bucket, *found.result(), n))
-            yield _pack_batch(_pack_words(bucket, list(words), None, n))
+            yield buckets.batch_of(_pack_grams(bucket, *found.result(), n))
+            yield buckets.batch_of(_pack_words(bucket, list(words), None, n))
 
-    return dealt.sortWithinPartitions("bucket").mapInArrow(ask, PACKS)
+    return dealt.sortWithinPartitions("bucket").mapInArrow(ask, buckets.PACKS)
 
 
 def _counted(asked: DataFrame) -> DataFrame:
@@ -345,7 +333,7 @@ def _counted(asked: DataFrame) -> DataFrame:
                 yield from out(found)
                 now, found = place, Tally()
             for keys, n in zip(batch.column("keys"), batch.column("n"), strict=True):
-                found.merge(_grams_of(keys), _values_of(n))
+                found.merge(_grams_of(keys.as_buffer()), _values_of(n.as_buffer()))
         yield from out(found)
 
     def out(found):
@@ -375,10 +363,10 @@ def _solved(counted: DataFrame, low, n_slices: int) -> DataFrame:
 
     def out(key, n):
         if len(key):
-            yield _pack_batch(_pack_grams(TABLE, key, solve(key, n, low.value), n_slices))
+            yield buckets.batch_of(_pack_grams(buckets.TABLE, key, solve(key, n, low.value), n_slices))
 
     groups = counted.repartition(F.shiftright("gram", 24)).sortWithinPartitions("gram")
-    return groups.mapInArrow(work, PACKS)
+    return groups.mapInArrow(work, buckets.PACKS)
 
 
 def _packed_words(words: DataFrame, n: int) -> DataFrame:
@@ -396,39 +384,18 @@ def _packed_words(words: DataFrame, n: int) -> DataFrame:
 
     def out(held):
         table = pa.Table.from_batches(held)
-        return _pack_batch(_pack_words(TABLE, table["word"].to_pylist(), np.log10(table["c"].to_numpy() + 0.1), n))
-
-    return words.select("word", "c").mapInArrow(pack, PACKS)
+        return buckets.batch_of(_pack_words(buckets.TABLE, table["word"].to_pylist(), np.log10(table["c"].to_numpy() + 0.1), n))
 
+    return words.select("word", "c").mapInArrow(pack, buckets.PACKS)
 
-def _answers(packs: DataFrame, n: int) -> DataFrame:
-    """The asking packs with the values of their keys; within a slice the table's own packs come first."""
 
-    def answer(batches):
-        now, keys, values, find = None, [], [], None
-        for place, run in buckets.runs(batches, "slice"):
-            if place != now:
-                now, keys, values, find = place, [], [], None
-            out = []
-            for bucket, key, value in zip(run.column("bucket").to_pylist(), run.column("keys"), run.column("n"), strict=True):
-                if bucket == TABLE:
-                    keys.append(_grams_of(key) if place >= 0 else _words_of(key))
-                    values.append(_values_of(value, float))
-                    continue
-                if find is None:
-                    find = _finder(place, keys, values)
-                    keys = values = None
-                out.append((place, bucket, key.as_py(), textops.squeeze(find(_grams_of(key) if place >= 0 else _words_of(key)))))
-            yield _pack_batch(out)
-
-    return packs.repartition(n, "slice").sortWithinPartitions("slice", "bucket").mapInArrow(answer, PACKS)
-
-
-def _finder(place: int, keys: list, values: list):
+def _finder(place: int, table: list[tuple]):
+    """Values of grams, or of words, from the table's packs of one slice."""
     if place >= 0:
-        return Lookup(np.concatenate(keys), np.concatenate(values))
-    known = {w: v for some, of in zip(keys, values, strict=True) for w, v in zip(some, of.tolist(), strict=True)}
-    return lambda words: np.fromiter((known.get(w, UNKNOWN) for w in words), dtype=float, count=len(words))
+        of = Lookup(np.concatenate([_grams_of(k) for k, _ in table]), np.concatenate([_values_of(v, float) for _, v in table]))
+        return lambda keys: textops.squeeze(of(_grams_of(keys)))
+    known = {w: v for k, of in table for w, v in zip(textops.unlisted(k), _values_of(of, float).tolist(), strict=True)}
+    return lambda keys: textops.squeeze(np.array([known.get(w, UNKNOWN) for w in textops.unlisted(keys)]))
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base double, score double"
@@ -439,11 +406,12 @@ def _summed(own: pa.Table, answers: pa.Table) -> pa.Table:
     keys = own["doc_id"].combine_chunks()
     found, values, log = [], [], {}
     for place, key, value in zip(answers["slice"].to_pylist(), answers["keys"], answers["n"], strict=True):
+        value = _values_of(value.as_buffer(), float)
         if place >= 0:
-            found.append(_grams_of(key))
-            values.append(_values_of(value, float))
+            found.append(_grams_of(key.as_buffer()))
+            values.append(value)
         else:
-            log.update(zip(_words_of(key), _values_of(value, float).tolist(), strict=True))
+            log.update(zip(textops.unlisted(key.as_buffer()), value.tolist(), strict=True))
     p = Lookup(np.concatenate(found), np.concatenate(values))
     bodies = textops.unsqueezed(own["body"])
     score, base = np.zeros(len(bodies)), np.zeros(len(bodies))
@@ -475,9 +443,9 @@ def score(docs: DataFrame, learn_from: str, key: str = "doc_id", text: str = "te
     n_buckets = buckets.count(docs, size)
     n_slices = buckets.slices(n_buckets)
     dealt = buckets.dealt(rows, n_buckets)
-    asked = _asked(dealt, n_slices).repartition(n_slices, "slice")
+    asked = _asked(dealt, n_slices).repartition(n_buckets, "slice")
     solved = _solved(_counted(asked), low, n_slices)
-    answers = _answers(solved.union(_packed_words(words, n_slices)).union(asked), n_slices)
+    answers = buckets.answered(solved.union(_packed_words(words, n_slices)).union(asked), n_buckets, _finder)
     scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_summed, SCORES)
     return scored.select(
         "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(whole)))).alias("base_score"), "score"

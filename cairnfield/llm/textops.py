@@ -89,6 +89,19 @@ def unsqueezed(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [unsqueeze(body.as_buffer()) for body in column]
 
 
+def listed(values: list[bytes]) -> bytes:
+    """Any byte strings as one compressed one."""
+    sizes = np.fromiter(map(len, values), dtype=np.uint32, count=len(values))
+    return squeeze(len(values).to_bytes(4, "little") + sizes.tobytes() + b"".join(values))
+
+
+def unlisted(data) -> list[bytes]:
+    whole = unsqueeze(data)
+    n = int.from_bytes(whole[:4], "little")
+    ends = np.cumsum(np.frombuffer(whole, dtype=np.uint32, count=n, offset=4), dtype=np.int64) + 4 * (n + 1)
+    return [whole[a:b] for a, b in zip([4 * (n + 1), *ends.tolist()], ends.tolist())]
+
+
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most`` bytes each, or one longer text."""
     _, at = raw(texts)

@@ -22,30 +22,35 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_folds_agree_with_the_library(library):
+def test_heap_agrees_with_the_library(library):
     ranks = byte_bpe.read_ranks(RANKS)
     rng = random.Random(1)
     words = [bytes(rng.choice(b"abcdefgh \xc3\xa9") for _ in range(rng.randrange(1, 200))) for _ in range(300)]
     for word in [*words, b"a" * 3000, "漢字".encode() * 200]:
-        assert byte_bpe.fold(word, ranks) == library._encode_single_piece(word)
-        assert byte_bpe._fold_long(word, ranks) == byte_bpe._fold_short(word, ranks)
+        assert byte_bpe.fold_long(word, ranks) == library._encode_single_piece(word)
 
 
-def test_native_fold(spark, library):
+def test_native_fold_and_decoding(spark, library):
     ranks = byte_bpe.read_ranks(RANKS)
-    words = [b"", b"a", b" the", b" unfoldable", "é漢🙂".encode(), b"\xff\xfe", b" antidisestablishment"]
-    df = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
-    got = {bytes(r.word): r.ids for r in byte_bpe.fold_words(df, ranks).collect()}
-    assert all(got[w] == (library._encode_single_piece(w) if w else []) for w in words)
+    rng = random.Random(2)
+    words = [b"", b"a", b" the", b" unfoldable", "é漢🙂".encode(), b"\xff\xfe", b" antidisestablishment", b"ab" * 60]
+    words += [bytes(rng.choice(b"abcdefgh \xc3\xa9\xff") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    df = byte_bpe.fold_words(spark.createDataFrame([(bytearray(w),) for w in words], "word binary"), ranks)
+    for r in df.withColumn("back", byte_bpe.decode(df["ids"], ranks)).collect():
+        word = bytes(r.word)
+        assert r.ids == (library._encode_single_piece(word) if word else []) and bytes(r.back) == word
+    short = byte_bpe.fold_words(df.select("word"), ranks, most=10).collect()
+    assert all((r.ids is None) == (len(r.word) > 10 and bytes(r.word) not in ranks) for r in short)
 
 
 def test_texts_round_trip(spark, odd_docs, no_docs, library):
-    got = byte_bpe.encode(odd_docs, RANKS, public_tokenizers.PATTERN, ids=True).collect()
-    assert len(got) == 12
+    docs = odd_docs.withColumns({"copy": odd_docs["text"], "bucket": odd_docs["doc_id"], "ids": odd_docs["lang"]})
+    got = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ids=True).collect()
+    assert len(got) == 12 and got[0].asDict().keys() == {*docs.columns, "decoded", "n_tokens", "ids_sha256", "decoded_sha256"} - {"text"}
     for r in got:
-        text = r.text or ""
+        text = r.copy or ""
         ids = library.encode_ordinary(text)
-        assert r.ids == ids and r.n_tokens == len(ids) and bytes(r.decoded) == text.encode()
+        assert r.ids == ids and r.n_tokens == len(ids) and bytes(r.decoded) == text.encode() and r.bucket == r.doc_id
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert byte_bpe.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
