@@ -1,24 +1,26 @@
-"""Substring dedup by relative Lempel-Ziv parsing against content-defined reference blocks.
+"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents' blocks.
 
 The words of all documents are cut into blocks at anchors: of each window of ``window`` words
 the anchor is its run of ``ANCHOR_WORDS`` words with the smallest hash, and the windows that
 share an anchor form a block. Equal windows have equal anchors, so wherever a passage is
 repeated its blocks are too, apart from those at its two ends. The index holds every block of
-every document, by anchor and by the hash of the whole block.
+every document, by anchor and by the hash of the whole block, with the place of a reference.
 
-Each document is parsed greedily against that index. A block that is indexed elsewhere is taken
-whole as a factor, and neighbouring factors run together. Where a block isn't found whole but
-its anchor is, a factor ends inside it; there each window is looked up on its own. So a word
-is removed exactly if it lies in a window whose words also start somewhere else, in the same
-document or another one.
+Each document is parsed greedily from left to right. A factor begins at the first window that the
+index knows, and points to a document and a position there; it is extended block by block, and
+window by window where a block isn't known whole but its anchor is, for as long as the reference
+goes on alike. Windows at the boundaries of factors are looked up on their own, so a word is
+removed exactly if it lies in a window whose words also start somewhere else, in the same document
+or another one. The reference of a passage is the document that comes first by a hash of its
+id and text, or for that document the one that comes last.
 
 Everything is keyed by pairs of independent 64-bit hashes (anchor and block, anchor and window).
-Counts are pre-aggregated before they are shuffled, and rows come back through semi-joins whose
+Counts are pre-aggregated before they are shuffled, and rows come back through joins whose
 large partitions Spark splits, so a passage that a third of the documents share is no hot task.
 
 Defined results: a null text has no words; a text shorter than a window keeps all its words;
 repeated rows count as different occurrences, so they lose what they share; an empty table gives
-no rows; columns of the input other than id and text are not read.
+no rows; columns of the input other than id and text are not read, unless they are carried.
 """
 
 from __future__ import annotations
@@ -120,10 +122,26 @@ def _semi(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     return marked.join(keys.select(*_other(*names)), [f"__{c}" for c in names], "left_semi").select(*rows.columns)
 
 
-def _flagged(rows: DataFrame, keys: DataFrame, names: list[str], flag: str) -> DataFrame:
+def _order() -> Column:
+    """A number for each place: documents by a hash, and the places of a document in order."""
+    return F.shiftleft(F.hash("doc_id", "check").cast("long"), 32).bitwiseOR(F.col("start").cast("long"))
+
+
+def _places() -> list[Column]:
+    """The first and the last place of a group of equal rows."""
+    order = _order()
+    first, last = F.min(order).alias("first"), F.max(order).alias("last")
+    return [F.count("*").alias("count"), first, last, F.min_by("doc_id", order).alias("first_id"), F.max_by("doc_id", order).alias("last_id")]
+
+
+def _referred(rows: DataFrame, found: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Add ref_id and ref_start to the rows: where else their like is found (null: nowhere)."""
     marked = rows.select("*", *_other(*names))
-    found = keys.select(*_other(*names), F.lit(True).alias(flag))
-    return marked.join(found, [f"__{c}" for c in names], "left").select(*rows.columns, F.coalesce(flag, F.lit(False)).alias(flag))
+    other = found.select(*_other(*names), "first", "last", "first_id", "last_id")
+    joined = marked.join(other, [f"__{c}" for c in names], how)
+    own = F.col("first") == _order()
+    place = F.when(own, F.col("last")).otherwise(F.col("first")).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return joined.select(*rows.columns, F.when(own, F.col("last_id")).otherwise(F.col("first_id")).alias("ref_id"), place.alias("ref_start"))
 
 
 def _windows(asked: DataFrame, window: int) -> DataFrame:
@@ -146,68 +164,120 @@ def _windows(asked: DataFrame, window: int) -> DataFrame:
                 columns = [flat.field("anchor").take(pa.array(block)), _signed(parsed.run(begin, begin + window)), batch.column("doc_id").take(text), batch.column("check").take(text), pa.array(at.astype(np.int32)), flat.field("known").take(pa.array(block))]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "w", "doc_id", "check", "start", "known"])
 
-    return asked.select("doc_id", "check", "text", "ranges").mapInArrow(look, "anchor long, w long, doc_id long, check int, start int, known boolean")
+    return asked.mapInArrow(look, "anchor long, w long, doc_id long, check int, start int, known boolean")
 
 
 def duplicate_ranges(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
-    """Factors of each document: doc_id, check, ranges (first window, number of windows)."""
-    blocks = block_table(rows, window, k)
+    """What is known of each document: doc_id, check, ranges (start, n: windows; ref_id, ref_start)."""
+    blocks = written(block_table(rows, window, k), "blocks")
     shared = blocks.groupBy("anchor").count().where("count > 1")
     blocks = _semi(blocks, shared, ["anchor"])
-    whole = blocks.groupBy("anchor", "block").agg(F.count("*").alias("count")).where("count > 1")
-    parsed = written(_flagged(blocks, whole, ["anchor", "block"], "known"), "blocks")
-    factors = parsed.where("known").select("doc_id", "check", "start", "n")
+    whole = blocks.groupBy("anchor", "block").agg(*_places()).where("count > 1")
+    parsed = written(_referred(blocks, whole, ["anchor", "block"], "left"), "parsed-blocks")
+    known = F.col("ref_start").isNotNull()
+    factors = parsed.where(known).select("doc_id", "check", "start", "n", "ref_id", "ref_start")
     # at the ends of factors: single windows, and one copy of each indexed block with such an anchor
-    open_blocks = parsed.where("NOT known")
-    first = F.min(F.struct("doc_id", "check", "start", "n")).alias("at")
-    indexed = parsed.where("known").groupBy("anchor", "block").agg(first).select("anchor", "at.*")
-    indexed = _semi(indexed, open_blocks.select("anchor").distinct(), ["anchor"])
+    open_blocks = parsed.where(~known)
+    order = _order()
+    first = [F.min_by(c, order).alias(c) for c in ("doc_id", "check", "start", "n")]
+    indexed = _semi(parsed.where(known), open_blocks.select("anchor").distinct(), ["anchor"]).groupBy("anchor", "block").agg(*first)
     names = ["doc_id", "check", "start", "n", "anchor"]
     looked = open_blocks.select(*names, F.lit(False).alias("known")).union(indexed.select(*names, F.lit(True).alias("known")))
     asked = looked.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n", "anchor", "known")).alias("ranges"))
     windows = _windows(rows.join(asked, ["doc_id", "check"]), window)
-    again = windows.groupBy("anchor", "w").agg(F.count("*").alias("count"), F.max("known").alias("known")).where("count > 1 OR known")
-    single = _semi(windows.where("NOT known"), again, ["anchor", "w"])
-    found = factors.union(single.select("doc_id", "check", "start", F.lit(1).alias("n")))
-    return found.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    again = windows.groupBy("anchor", "w").agg(*_places(), F.max("known").alias("known")).where("count > 1 OR known")
+    single = _referred(windows.where("NOT known"), again, ["anchor", "w"], "inner")
+    found = factors.union(single.select("doc_id", "check", "start", F.lit(1).alias("n"), "ref_id", "ref_start"))
+    return found.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n", "ref_id", "ref_start")).alias("ranges"))
+
+
+def parse(start: np.ndarray, n: np.ndarray, ref_id: np.ndarray, ref_start: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Factors of one document, left to right: start, words, reference, position there.
+
+    Ranges of known windows that follow each other become one factor while the reference goes on.
+    """
+    by = np.argsort(start, kind="stable")
+    start, n, ref_id, ref_start = start[by], n[by], ref_id[by], ref_start[by]
+    fresh = np.ones(len(start), dtype=bool)
+    fresh[1:] = (start[1:] != start[:-1] + n[:-1]) | (ref_id[1:] != ref_id[:-1]) | (ref_start[1:] != ref_start[:-1] + n[:-1])
+    first = np.flatnonzero(fresh)
+    words = np.add.reduceat(n, first) + window - 1 if len(first) else n
+    return list(zip(start[first].tolist(), words.tolist(), ref_id[first].tolist(), ref_start[first].tolist(), strict=True))
+
+
+def _found_in(texts, ranges, window: int):
+    """The words and the factors of each document of a batch."""
+    for body, found in zip(texts, ranges, strict=True):
+        factors = []
+        if found.is_valid and len(found):
+            start, n, ref_id, ref_start = (found.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "ref_id", "ref_start"))
+            factors = parse(start, n, ref_id, ref_start, window)
+        yield body.as_py().split(), factors
+
+
+def _keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """doc_id, check and text; neither part of a row's key is ever null, so that each join deals
+    the texts out alike and they share one exchange."""
+    body, known = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{key}`").cast("long")
+    return docs.select(F.coalesce(known, F.lit(NO_ID)).alias("doc_id"), F.hash(known, body).alias("check"), body.alias("text"), *more)
+
+
+def factors(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The factors of at least ``window`` words: doc_id, start, n_words, ref_id, ref_start (in words)."""
+    ship(docs.sparkSession)
+    rows = _keyed(docs, key, text)
+
+    def cut(batches):
+        for batch in batches:
+            texts, out = textops.as_strings(batch.column("text")).cast(pa.large_binary()), []
+            for doc, (_, own) in zip(batch.column("doc_id").to_pylist(), _found_in(texts, batch.column("ranges"), window), strict=True):
+                out.extend((doc, *f) for f in own)
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_words", "ref_id", "ref_start"])
 
+    found = rows.join(duplicate_ranges(rows, window), ["doc_id", "check"]).mapInArrow(cut, "doc_id long, start long, n_words long, ref_id long, ref_start long")
+    return found.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("doc_id", "ref_id")})
 
-def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", kept_text: bool = False) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, n_spans, kept_sha256.
 
-    ``kept_text``: also the kept words, joined by one space, as ``kept``.
+RESULT = "doc_id long, n_words long, n_removed long, n_spans long, n_factors long, kept_sha256 string"
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_removed, n_spans, n_factors, kept_sha256.
+
+    ``carry``: other columns of the input that come along as a struct named ``row``; then the kept
+    words, joined by one space, do so too, as ``kept`` (a text that loses nothing stays as it is).
     """
     ship(docs.sparkSession)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    known = F.col(key).cast("long")
-    # neither part of a row's key is ever null, so each join below deals the texts out alike and shares one exchange
-    rows = docs.select(F.coalesce(known, F.lit(NO_ID)).alias("doc_id"), F.hash(known, body).alias("check"), body.alias("text"))
-    ranges = duplicate_ranges(rows, window)
-    both = rows.join(ranges, ["doc_id", "check"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "ranges")
+    more = [] if carry is None else [F.struct(F.lit(None).cast("int").alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text}`").isNull().alias("none")]
+    rows = _keyed(docs, key, text, *more)
+    both = rows.join(duplicate_ranges(rows, window), ["doc_id", "check"], "left")
 
     def cut(batches):
         for batch in batches:
             out = []
             texts = textops.as_strings(batch.column("text")).cast(pa.large_binary())
-            for doc, body, found in zip(batch.column("doc_id").to_pylist(), texts, batch.column("ranges"), strict=True):
-                words = body.as_py().split()
-                kept, spans = words, 0
-                if found.is_valid and len(found):
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    start, n = found.values.field("start").to_numpy(), found.values.field("n").to_numpy()
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + n - 1 + window, -1)
-                    inside = np.cumsum(edge)[:-1] > 0
-                    spans = int(inside[0]) + int((inside[1:] & ~inside[:-1]).sum())
-                    kept = [words[i] for i in np.flatnonzero(~inside).tolist()]
+            found = _found_in(texts, batch.column("ranges"), window)
+            for doc, body, (words, own) in zip(batch.column("doc_id").to_pylist(), texts, found, strict=True):
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+                for start, n, _, _ in own:
+                    edge[start] += 1
+                    edge[start + n] -= 1
+                inside = np.cumsum(edge)[:-1] > 0
+                spans = int(inside[0]) + int((inside[1:] & ~inside[:-1]).sum()) if own else 0
+                kept = [words[i] for i in np.flatnonzero(~inside).tolist()] if own else words
                 joined = b" ".join(kept)
-                out.append((doc, len(words), len(words) - len(kept), spans, hashlib.sha256(joined).hexdigest(), joined if kept_text else None))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept"]
+                out.append((doc, len(words), len(words) - len(kept), spans, len(own), hashlib.sha256(joined).hexdigest(), joined if own else body.as_py()))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [*[pa.int64()] * 5, pa.string(), pa.large_binary()]
+            names = ["doc_id", "n_words", "n_removed", "n_spans", "n_factors", "kept_sha256", "kept"]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            arrays[-1] = arrays[-1].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + kept_text], names[: 5 + kept_text])
-
-    schema = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
-    return both.mapInArrow(cut, schema + (", kept string" if kept_text else ""))
+            if carry is None:
+                yield pa.RecordBatch.from_arrays(arrays[:6], names[:6])
+            else:
+                arrays[-1] = arrays[-1].cast(pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*arrays, batch.column("row"), batch.column("none")], [*names, "row", "none"])
+
+    schema = RESULT if carry is None else f"{RESULT}, kept string, row {rows.schema['row'].dataType.simpleString()}, none boolean"
+    result = both.mapInArrow(cut, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return result if carry is None else result.withColumn("kept", F.when(~(F.col("none") & (F.col("n_words") == 0)), F.col("kept"))).drop("none")
