@@ -11,13 +11,18 @@ Texts with equal sets collapse to one representative, the one with the smallest
    counted by a product of incidence matrices.
 
 No step emits all pairs of a group. Large buckets and groups are cut into chunks of at most
-``BLOCK`` members, and each pair of chunks is a small piece of work of its own; it returns the
+``BLOCK`` members, and of about ``BLOCK_SHINGLES`` shingles where texts are compared, so long
+texts make small chunks. Each pair of chunks is a small piece of work of its own; it returns the
 number of links of each member, and joins each set of linked members to its smallest. Class ids
-follow from those edges. So every link between different sets is verified, counted and kept.
+follow from those edges. So every link between different sets is verified, counted and kept; a
+class of m different near copies costs m squared comparisons, as a count of its links does.
+
+A set is a node with a number of its own; ids of documents are only reported. So an id with
+several texts, which then may be in several classes, is no case apart.
 
 Defined results: a null text has no words; a text without words has no set, is a class of its
-own and has no links; repeated rows are copies of one class (ids are otherwise taken as unique);
-a row without an id represents nothing, and has the class of an equal set or else none; an empty table gives no rows; other columns are left out.
+own and has no links; repeated rows are copies of one class; a row without an id takes part, and
+the id of a class of such rows only is null; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -38,7 +43,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 STEP, TOLERANCE = 48, 1e-7
-BLOCK = 400
+BLOCK, BLOCK_SHINGLES = 400, 400_000
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: Columns of an incidence matrix that are multiplied at once.
 COLUMNS = 8192
 
@@ -77,7 +84,8 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     x, begin = (hashes >> np.uint64(32)).astype(np.uint32), at[filled]
     with np.errstate(over="ignore"):
         for k in range(SIZE):
-            out[filled, k] = np.minimum.reduceat((x ^ _B[k]) * _A[k], begin) >> np.uint32(8)
+            # the minimum of a large set has few bits left: it is mixed before it is cut
+            out[filled, k] = (np.minimum.reduceat((x ^ _B[k]) * _A[k], begin) * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
@@ -98,7 +106,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, a and b (a 128-bit hash of the set), n and signature, of each row."""
+    """doc_id, check, a and b (a 128-bit hash of the set), n and signature, of each row."""
 
     def sketch(batches):
         for batch in batches:
@@ -112,10 +120,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
                         own = own[np.append(True, own[1:] != own[:-1])]
                         sums[i] = own.sum(), textops.mix64(own).sum(), len(own)
                 rows = [r.tobytes() for r in signatures(hashes, at)]
-                columns = [batch.column("doc_id").slice(first, last - first), *(pa.array(sums[:, j].copy().view(np.int64)) for j in range(3)), pa.array(rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "b", "n", "sig"])
+                columns = [batch.column("doc_id").slice(first, last - first), batch.column("check").slice(first, last - first), *(pa.array(sums[:, j].copy().view(np.int64)) for j in range(3)), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "check", "a", "b", "n", "sig"])
 
-    return docs.mapInArrow(sketch, "doc_id long, a long, b long, n long, sig binary")
+    return docs.mapInArrow(sketch, "doc_id long, check long, a long, b long, n long, sig binary")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -139,12 +147,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _blocks(members: DataFrame, group: str, payload: list[str]) -> DataFrame:
     """Members of groups dealt out in pairs of chunks: group, x, y, own (chunk), rep and payload.
 
-    ``members`` has the size of its group as ``size``. A group of m chunks becomes m (m + 1) / 2
-    blocks; each member goes to m of them.
+    ``members`` has the number of its group's chunks as ``chunks``. A group of m chunks becomes
+    m (m + 1) / 2 blocks; each member goes to m of them.
     """
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    rows = members.withColumn("chunks", chunks).withColumn("own", own)
+    rows = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", *payload)
     return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y", "own", "rep")
@@ -297,47 +303,57 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document: doc_id, rep, n_copies, n_links and class_id.
+    """One row for each document: doc_id, check, rep, n_copies, n_links, class_id and first.
 
-    ``rep`` is the smallest id with the same set, ``n_copies`` the number of such documents,
-    ``n_links`` the number of different sets within the threshold, and ``class_id`` the smallest
-    id of the class that those links build.
+    ``check`` is a hash of the text, ``rep`` the smallest id with the same set, ``n_copies`` the
+    number of such documents, ``n_links`` the number of different sets within the threshold, and
+    ``class_id`` the smallest id of the class that those links build. ``first`` marks the rows with
+    the id and text that come first in their class: one row, unless the very same row is repeated.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(body).alias("check"), body.alias("text"))
     sketches = written(_sketches(rows), "sketches")
-    copies = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min_by("sig", "doc_id").alias("sig"))
-    reps = written(copies, "representatives")
+    place = F.struct((F.col("doc_id") == NO_ID).alias("none"), "doc_id", "check")
+    copies = sketches.where("n > 0").groupBy("a", "b", "n").agg(F.min(place).alias("at"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
+    reps = written(copies.withColumn("rep", F.monotonically_increasing_id()), "representatives")  # rep: the number of the set
     keys = _band_keys(reps)
     hashed = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in range(2)]
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"), *hashed).where("size > 1")
     sizes = sizes.groupBy("size", "h0", "h1").agg(F.min("key").alias("key"))  # of buckets with equal members one is enough
-    sizes = sizes.select(F.col("key").bitwiseXOR(F.lit(1)).alias("other"), "size")  # so that both sides are dealt anew
+    # so that both sides are dealt anew
+    sizes = sizes.select(F.col("key").bitwiseXOR(F.lit(1)).alias("other"), F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
     members = keys.withColumn("other", F.col("key").bitwiseXOR(F.lit(1))).join(sizes, "other").drop("other")
     members = members.join(reps.select("rep", "sig"), "rep")
-    candidates = connected(written(_pruned(_blocks(members, "key", ["sig"])), "candidates"))
-    groups = candidates.groupBy("label").agg(F.count("*").alias("size")).select(F.col("label").bitwiseXOR(F.lit(1)).alias("other"), "size")
-    labelled = candidates.withColumn("other", F.col("label").bitwiseXOR(F.lit(1))).join(groups, "other").drop("other")
-    chosen = written(labelled.withColumnRenamed("v", "rep"), "groups")
-    own = rows.withColumnRenamed("doc_id", "rep").join(chosen, "rep")
-    found = written(_verified(_blocks(own, "label", ["text"]), threshold), "links")
+    candidates = connected(written(_pruned(_blocks(members, "key", ["sig"])), "candidates")).withColumnRenamed("v", "rep")
+    candidates = candidates.join(reps.select("rep", "n", "at"), "rep")
+    chunks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    groups = candidates.groupBy("label").agg(chunks.alias("chunks")).select(F.col("label").bitwiseXOR(F.lit(1)).alias("other"), "chunks")
+    labelled = candidates.withColumn("other", F.col("label").bitwiseXOR(F.lit(1))).join(groups, "other")
+    chosen = written(labelled.select("rep", "label", "chunks", "at.doc_id", "at.check"), "groups")
+    found = written(_verified(_blocks(rows.join(chosen, ["doc_id", "check"]), "label", ["text"]), threshold), "links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
-    classes = connected(found.where("b IS NOT NULL")).select(F.col("v").alias("rep"), F.col("label").alias("class_id"))
-    described = reps.drop("sig").join(links, "rep", "left").join(classes, "rep", "left")
+    linked = connected(found.where("b IS NOT NULL")).select(F.col("v").alias("rep"), F.col("label").bitwiseXOR(F.lit(1)).alias("other"))
+    tops = linked.join(reps.select("rep", "at"), "rep").groupBy("other").agg(F.min("at").alias("top"))
+    classes = linked.select("rep", F.col("other").bitwiseXOR(F.lit(2)).alias("label")).join(tops.select(F.col("other").bitwiseXOR(F.lit(2)).alias("label"), "top"), "label")
+    described = reps.drop("sig").join(links, "rep", "left").join(classes.drop("label"), "rep", "left")
     described = described.select(
         F.col("a").bitwiseXOR(F.lit(1)).alias("__a"),
         F.col("b").alias("__b"),
         F.col("n").alias("__n"),
-        "rep",
+        F.col("at.doc_id").alias("rep"),
         "n_copies",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_id", "rep").alias("class_id"),
+        F.coalesce("top", "at").alias("top"),
     )
-    every = sketches.select("doc_id", "n", F.col("a").bitwiseXOR(F.lit(1)).alias("__a"), F.col("b").alias("__b"), F.col("n").alias("__n"))
-    return every.join(described, ["__a", "__b", "__n"], "left").select(
-        "doc_id",
-        F.coalesce("rep", "doc_id").alias("rep"),
+    every = sketches.select("doc_id", "check", F.col("a").bitwiseXOR(F.lit(1)).alias("__a"), F.col("b").alias("__b"), F.col("n").alias("__n"))
+    joined = every.join(described, ["__a", "__b", "__n"], "left")
+    return joined.select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        "check",
+        F.nullif(F.coalesce("rep", "doc_id"), F.lit(NO_ID)).alias("rep"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.nullif(F.coalesce("top.doc_id", "doc_id"), F.lit(NO_ID)).alias("class_id"),
+        F.coalesce((F.col("top.doc_id") == F.col("doc_id")) & (F.col("top.check") == F.col("check")), F.lit(True)).alias("first"),
     )

@@ -52,7 +52,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "rep", "n_copies", "n_links", "class_id")
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
