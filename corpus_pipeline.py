@@ -5,14 +5,16 @@ written as Parquet and read again as the next stage's docs. Every stage works on
 its predecessor kept. All but the last return the columns of ``documents``.
 
 Defined results: an empty table passes through every stage; extra columns of ``documents`` are
-carried along; a null text is an empty one.
+carried along, whatever their names; a null text is an empty one; of a row that is repeated (the same
+id and text) one stays, as of any near copies; rows of one id with different texts are different
+documents, and so are rows without an id; texts may be of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnfield.llm import jaccard_join, language_id, packing, quality_gam, substring_dedup
@@ -29,38 +31,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the additive quality model scores at KEEP_FROM or more."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality_gam.train(docs.select("doc_id", "text"), labels.where(crc_mod(F.col("doc_id"), FOLDS) != 0))
-    scored = quality_gam.score(docs, model, out="__score")
-    return scored.where(F.col("__score") >= KEEP_FROM).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")  # no name of a result can clash
+    return quality_gam.score(rows, model).where(F.col("score") >= KEEP_FROM).select("__row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts whose language can't be told: those without a letter and ambiguous ones."""
     known = docs.select("doc_id", "text", "lang").where(crc_mod(F.col("doc_id"), FOLDS) != 0)
     model = language_id.train(known)
-    judged = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # no name of a result can clash
+    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
     guessed = language_id.identify(judged, model)
     kept = guessed.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("ambiguous"))
     return kept.select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near duplicates."""
+    """Keep one document of each class of near duplicates: that with the smallest id."""
     found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    lost = found.where("doc_id <> class_id").select(F.col("doc_id").bitwiseXOR(F.lit(1)).alias("__id"))
-    rows = docs.withColumn("__id", F.col("doc_id").bitwiseXOR(F.lit(1)))
-    return rows.join(lost.distinct(), "__id", "left_anti").select(*docs.columns)
+    # a row by its id and text: rows without a set are alike in them too
+    marks = found.groupBy(F.coalesce("doc_id", F.lit(jaccard_join.NO_ID)).alias("__id"), F.col("check").alias("__check")).agg(F.max("first").alias("__first"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NO_ID)).alias("__id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("__check"),
+    )
+    once = Window.partitionBy("__id", "__check").orderBy("__id")
+    kept = rows.join(marks.where("__first"), ["__id", "__check"]).withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return kept.select("__row.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out passages of at least 35 words that are found elsewhere; what is left is a document
     of its kept words. A document of which nothing is left goes."""
-    cut = substring_dedup.dedup(docs.select("doc_id", "text"), kept_text=True)
-    changed = cut.where("n_removed > 0").select(F.col("doc_id").bitwiseXOR(F.lit(1)).alias("__id"), "kept").dropDuplicates(["__id"])
-    rows = docs.withColumn("__id", F.col("doc_id").bitwiseXOR(F.lit(1))).join(changed, "__id", "left")
-    rows = rows.where("kept IS NULL OR kept <> ''")
-    text = F.coalesce("kept", "text")
-    new = {"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    cut = substring_dedup.dedup(docs, carry=[c for c in docs.columns if c != "text"])
+    rows = cut.where("n_removed = 0 OR kept <> ''")
+    size = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept")).cast("long")
+    new = {"text": F.col("kept"), "n_chars": size}
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -5,8 +7,6 @@ import corpus_pipeline
 
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
-    import random
-
     rng = random.Random(9)
     folder = str(tmp_path_factory.mktemp("corpus"))
     vocabulary = {"en": [f"en{i}the" for i in range(400)], "fr": [f"éle{i}que" for i in range(400)]}
@@ -68,3 +68,23 @@ def test_an_empty_corpus_passes(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_repeated_rows_odd_ids_and_clashing_columns(spark, corpus, tmp_path):
+    """Each row twice, rows without an id, an id with two texts, a very long text: the same documents as without."""
+    folder, rows = corpus
+    words = rows[0][1].split()
+    extra = [(None, " ".join(words[::-1]), "en", "x", 1), (None, " ".join(rows[1][1].split()[::-1]), "en", "x", 1), (2, " ".join(rows[3][1].split()[::-1]), "en", "x", 1)]
+    rng = random.Random(10)
+    extra.append((900, " ".join(f"en{rng.randrange(400)}the" for _ in range(30_000)) + ".", "en", "x", 1))
+    base = spark.createDataFrame([*rows, *extra], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.union(base).selectExpr("*", *[f"'mine' AS `{c}`" for c in ("kept", "__id", "__score", "row", "__check", "first", "score", "bucket")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == before
+    got = sorted((r.doc_id if r.doc_id is not None else -1, len(r.text.split()) > 0, r.kept, r.row) for r in docs.collect())
+    assert {g[2:] for g in got} == {("mine", "mine")}
+    ids = [g[0] for g in got]
+    assert sorted(ids) == sorted([*range(240), 302, 303, -1, -1, 2, 900])
