@@ -11,7 +11,7 @@ their id over the whole label table. Every row is scored.
 
 Defined results: a null text is an empty one, and gets the score of its (zero) features;
 without labelled rows each score is 0.5; rows with a null label are not learned from; repeated
-rows are scored alike. Columns of the input stay, except one that has the name of a result.
+rows are scored alike and learned from once, and of an id with several texts the smallest is learned. Columns of the input stay, except one that has the name of a result.
 """
 
 from __future__ import annotations
@@ -219,14 +219,16 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, text: str
         .orderBy(F.xxhash64("__key"), "__key", "__label")
         .limit(rows)
     )
-    found = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    found = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), "__key")
+    # an id has one text and each of its labels once, however often its row is repeated
+    found = found.groupBy("__key", "__label").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))
 
     def describe(batches):
         for batch in batches:
             x = features(textops.as_strings(batch.column("__text")))
             yield pa.RecordBatch.from_arrays([batch.column("__label"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
-    got = found.select("__label", "__text").mapInArrow(describe, "y int, x binary").limit(rows).toArrow()
+    got = found.select("__label", "__text").mapInArrow(describe, "y int, x binary").toArrow()
     x = np.array([np.frombuffer(v, dtype=np.float64) for v in got["x"].to_pylist()]).reshape(-1, len(FEATURES))
     return x, got["y"].to_numpy().astype(float)
 
