@@ -10,7 +10,8 @@ a random code of fixed seed. The classifiers are fitted on about ``SAMPLE_ROWS``
 evenly over the languages by the hash of their ids; every row is classified.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without training
-rows each text is ``und``; rows with a null language are not learned from; repeated rows get
+rows each text is ``und``; of codewords that are equally close the language first in the alphabet is
+chosen, and the text is flagged; rows with a null language are not learned from; repeated rows get
 the same answer. Columns of the input stay, except those with the name of a result.
 """
 
@@ -28,6 +29,8 @@ from cairnfield.llm.common import ship
 
 #: About so many rows are learned from.
 SAMPLE_ROWS = 6_000
+#: Most different values of ``lang`` that are learned.
+MOST_LANGUAGES = 1_000
 TRIGRAMS = 2048
 WIDTH = TRIGRAMS + 256
 UNDETERMINED = "und"
@@ -124,10 +127,14 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Decoder:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Decoder:
-    """Learn from rows with a language and a letter; the sample has about as many rows of each language."""
+    """Learn from rows with a language and a letter; the sample has about as many rows of each language.
+
+    Of more than MOST_LANGUAGES values of ``lang`` the most frequent ones are learned.
+    """
     ship(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in common.collect()}
     if not counts:
         return Decoder()
     share = F.lit(None).cast("double")
