@@ -7,16 +7,19 @@ underfull bins, all of them, exchange pieces: one for one, two for one, or a mov
 helps. A step is taken only if the sum of squared fills grows, so fuller bins fill up and emptier
 ones run empty and vanish. Groups are independent, so their number grows with the data.
 
-Tokens are looked up by chunk of text between ASCII white space. No token of this vocabulary
-spans white space, so the ids of a text are those of its chunks in order; a chunk that was met
-before in the same worker is not tokenised again. The memory of that table is bounded.
+Tokens are looked up by chunk of text between ASCII white space, where the tokenizer's file says
+that no token spans white space; then the ids of a text are those of its chunks in order, and a
+chunk that was met before in the same worker is not tokenised again. The memory of that table is
+bounded. With any other file each text goes through the whole tokenizer.
 
 Defined results: a null text is an empty one, which is one piece with the closing id alone;
-repeated rows are separate pieces; an empty table gives no rows; other columns are left out.
+repeated rows and rows without an id are separate pieces; an empty table gives no rows; other
+columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -53,7 +56,37 @@ def _tokenizer(path: str):
     return found
 
 
-#: The tokenizer's pre-token pattern, on printable lower-case ASCII.
+#: The steps before the model for which chunks may be tokenised on their own.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def is_chunked(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    return all(found.get(k) == v for k, v in CHUNKED.items())
+
+
+class WholeEncoder:
+    """Ids of texts, each by the whole tokenizer."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+            yield array("I", found.ids).tobytes()
+
+
+#: That tokenizer's pre-token pattern, on printable lower-case ASCII.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
@@ -120,13 +153,13 @@ class ChunkEncoder:
                 self.older, self.memo = memo, {}
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, ChunkEncoder | WholeEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> ChunkEncoder | WholeEncoder:
     """The worker's encoder: Python workers are reused, and so is what they have learned."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = (ChunkEncoder if is_chunked(path) else WholeEncoder)(path)
     return _ENCODERS[path]
 
 
@@ -300,7 +333,9 @@ def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
     names = [f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields]
     parts = parts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))  # pandas has no integer nulls
-    dealt = parts.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    # the row's number keeps equal rows, and those without an id, from sharing a group
+    place = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = parts.withColumn("__group", F.pmod(place, F.lit(groups)).cast("int"))
     found = dealt.groupBy("__group").applyInPandas(packed, ", ".join([*names, "sequence_id long", "offset long"]))
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
