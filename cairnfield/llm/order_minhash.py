@@ -11,7 +11,7 @@ the numbered elements, in blocks of ``BLOCK``.
 
 Defined results: a null text is an empty one; all empty texts have the same fingerprint; a text
 shorter than a k-mer is one element; equal texts have equal fingerprints; rows with equal ids
-follow each other in order of their texts; an empty table gives no rows; other columns of the
+follow each other in order of their texts, and rows without an id come before all others; an empty table gives no rows; other columns of the
 input are left out, so no name can clash.
 """
 
@@ -32,6 +32,8 @@ K, TUPLE, SKETCHES = 8, 2, 32
 BLOCK = 4096
 #: Rows of one run of neighbouring ids, about; and most split points that are collected.
 RUN_ROWS, MOST_RUNS = 1000, 20_000
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 _SEEDS = textops.mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _LAST = np.uint64((1 << 64) - 1)
@@ -159,7 +161,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     the run before it, the very first one to the last run, so each task finds all it needs.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     cuts, firsts = _runs(rows, "doc_id")
     run = _run(F.col("doc_id"), cuts)
     before = F.create_map(*[F.lit(v) for pair in firsts for v in pair]) if firsts else F.create_map().cast("map<bigint,int>")
@@ -170,7 +172,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     dealt = rows.withColumn("to", F.explode(copies)).select("to.run", "to.tail", "doc_id", "text")
     dealt = dealt.repartition("run").sortWithinPartitions("run", "tail", "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(_compare, schema)
+    return dealt.mapInArrow(_compare, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def _compare(batches):
