@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cairnfield.llm import jaccard_join, order_minhash, substring_dedup, textops
+from cairnfield.llm import jaccard_join, order_minhash, substring_dedup
 from cairnfield.llm.components import connected
 
 
@@ -46,10 +46,64 @@ def test_substrings_match_brute_force(spark, seed):
 def test_substrings_on_odd_rows(spark, odd_docs, no_docs):
     rows = odd_docs.collect()
     want = Counter((r.doc_id, *k) for r, k in zip(rows, _kept([r.text or "" for r in rows], 35), strict=True))
-    got = substring_dedup.dedup(odd_docs, kept_text=True).collect()
+    got = substring_dedup.dedup(odd_docs, carry=["lang", "n_words", "doc_id"]).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
-    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+    whole = {r.doc_id: r.text for r in rows}
+    for r in got:
+        assert r.row.n_words == 9 and r.row.doc_id == r.doc_id
+        if r.n_removed:
+            assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
+        else:
+            assert r.kept == whole[r.doc_id]
     assert substring_dedup.dedup(no_docs).count() == 0
+    assert substring_dedup.factors(no_docs).count() == 0
+
+
+def _naive_parse(texts: list[list[str]], window: int) -> dict[int, list[tuple[int, int, int, int]]]:
+    """Greedy relative Lempel-Ziv parsing, word by word: the longest match in any other document."""
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
+    for d, own in enumerate(texts):
+        i, found = 0, []
+        while i < len(own):
+            best = (0, 0, 0)
+            for e, ref in enumerate(texts):
+                for j in range(len(ref) if e != d else 0):
+                    n = 0
+                    while i + n < len(own) and j + n < len(ref) and own[i + n] == ref[j + n]:
+                        n += 1
+                    best = max(best, (n, e, j))
+            n, e, j = best
+            if n >= window:
+                found.append((i, n, e, j))
+            i += max(n, 1)
+        out[d] = found
+    return out
+
+
+def test_factors_match_a_naive_parser(spark):
+    rng = random.Random(12)
+    texts = [[f"own{d}-{k}" for k in range(rng.randrange(60, 90))] for d in range(8)]
+    for d, e in ((0, 1), (2, 3), (4, 5), (6, 7)):  # each passage is in two documents
+        for size in (34, 35, rng.randrange(40, 120)):
+            passage = [f"p{d}-{size}-{k}" for k in range(size)]
+            for t in (texts[d], texts[e]):
+                at = rng.choice([k for k in range(len(t)) if t[k].startswith("own")])
+                t[at:at] = passage
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in substring_dedup.factors(docs).collect():
+        got[r.doc_id].append((r.start, r.n_words, r.ref_id, r.ref_start))
+    want = _naive_parse(texts, substring_dedup.WINDOW)
+    assert sum(map(len, want.values())) >= 8
+    assert {d: sorted(got[d]) for d in range(8)} == want
+
+
+def test_factors_of_copies_are_whole_documents(spark):
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(d, " ".join(words)) for d in (3, 5, 9)], "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_words, r.ref_start) for r in substring_dedup.factors(docs).collect()}
+    assert got == dict.fromkeys((3, 5, 9), (0, 300, 0))
+    assert all(r.ref_id != r.doc_id for r in substring_dedup.factors(docs).collect())
 
 
 def test_components(spark):
@@ -110,6 +164,24 @@ def test_jaccard_join_on_odd_rows(spark, odd_docs, no_docs):
     assert {r.class_id for r in got if r.doc_id in (4, 5)} == {4}
     assert all(r.class_id == r.doc_id and r.n_links == 0 for r in got if r.doc_id not in (4, 5, None))
     assert jaccard_join.near_duplicates(no_docs).count() == 0
+    assert Counter(r.first for r in got) == {True: 10, False: 2}  # 4 stands for itself and both rows of 5
+
+
+def test_jaccard_join_of_ids_with_several_texts_and_of_none(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)  # long texts make small chunks
+    long = [f"w{i}" for i in range(300)]
+    near = [*long[:-1], "end"]
+    rows = [(1, " ".join(long)), (1, "quite another text that has the same id"), (2, " ".join(near)), (None, " ".join(near[:-1])), (None, "alone without an id here"), (7, " ".join(long))]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = Counter((r.doc_id, r.rep, r.n_copies, r.n_links, r.class_id, r["first"]) for r in got.collect())
+    assert found == Counter([(1, 1, 2, 2, 1, True), (7, 1, 2, 2, 1, False), (2, 2, 1, 2, 1, False), (None, None, 1, 2, 1, False), (1, 1, 1, 0, 1, True), (None, None, 1, 0, None, True)])
+
+
+def test_signatures_of_large_sets_differ():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 800_000).astype(np.uint64)
+    sig = jaccard_join.signatures(hashes, np.array([0, 400_000, 800_000]))
+    assert (sig[0] == sig[1]).mean() < 0.02
 
 
 def test_bayes_bounds_keep_true_pairs():
@@ -153,22 +225,45 @@ def test_order_minhash_takes_all_numbered_kmers_of_repetitive_texts():
     assert order_minhash.likeness(own, order_minhash.fingerprint(one * 599 + two)) > 0.8
 
 
-@pytest.mark.parametrize("text", ["a", "abcdefgh", "abcdefghi", "ab" * 9000, "passage of words, " * 700, "x" * 5000 + "tail and more"])
-def test_order_minhash_matches_brute_force(text):
-    hashes = order_minhash.kmers(text.encode())
-    seen, elements = Counter(), []
-    for h in hashes.tolist():
-        elements.append(int(textops.mix64(np.array([(h + seen[h] * int(order_minhash._SEEDS[0])) % 2**64], dtype=np.uint64))[0]))
+def _splitmix(x: int) -> int:
+    x = (x + 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def _order_minhash(data: bytes, k: int = 8, size: int = 2, sketches: int = 32) -> list[int]:
+    """The definition in plain integers, with nothing of the module."""
+    if data and len(data) < k:
+        data = data.ljust(k, b"\xff")
+    kmers = [_splitmix(int.from_bytes(data[i : i + k], "little")) for i in range(len(data) - k + 1)]
+    seeds = [_splitmix(s) | 1 for s in range(1, sketches + 1)]
+    seen, elements, out = Counter(), [], []
+    for h in kmers:
+        e = _splitmix((h + seen[h] * seeds[0]) % 2**64)
+        elements.append(e ^ e >> 31)
         seen[h] += 1
-    want = []
-    for seed in order_minhash._SEEDS.tolist():
-        drawn = [((e ^ e >> 31) * seed % 2**64, i) for i, e in enumerate(elements)]
-        total = np.zeros(1, dtype=np.uint64)
-        for i in sorted(i for _, i in sorted(drawn)[: order_minhash.TUPLE]):
-            with np.errstate(over="ignore"):
-                total = textops.mix64(total * order_minhash._SEEDS[1] + hashes[i])
-        want.append(int(total[0]) >> 32)
-    assert order_minhash.entries(hashes).tolist() == want
+    for seed in seeds:
+        chosen = sorted(i for _, i in sorted((e * seed % 2**64, i) for i, e in enumerate(elements))[:size])
+        total = 0
+        for i in chosen:
+            total = _splitmix((total * seeds[1] + kmers[i]) % 2**64)
+        out.append(total >> 32)
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "abcdefgh", "abcdefghi", "ab" * 9000, "passage of words, " * 700, "x" * 5000 + "tail and more", "éñ🙂" * 50])
+def test_order_minhash_matches_brute_force(text):
+    assert order_minhash.fingerprint(text).tolist() == _order_minhash(text.encode())
+
+
+def test_neighbours_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "RUN_ROWS", 3)
+    docs = spark.createDataFrame([(None, f"text number {i}") for i in range(10)], "doc_id long, text string")
+    got = order_minhash.neighbours(docs).collect()
+    assert len(got) == 10 and all(r.doc_id is None for r in got)
+    both = order_minhash.neighbours(docs.union(spark.createDataFrame([(5, "the last one")], docs.schema)))
+    assert Counter(r.doc_id for r in both.collect()) == {None: 10, 5: 1}
 
 
 def test_neighbours(spark, odd_docs, no_docs, monkeypatch):

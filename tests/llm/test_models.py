@@ -33,6 +33,8 @@ def test_quality_held_out_and_odd_rows(spark, odd_docs, no_docs):
     odd = quality_gam.score(odd_docs, model).collect()
     assert len(odd) == 12 and all(0 <= r.score <= 1 and r.n_words == 9 for r in odd)
     assert quality_gam.score(no_docs, model).count() == 0
+    twice = quality_gam.train(docs.union(docs), labels.union(labels))
+    assert {r.doc_id: r.score for r in quality_gam.score(docs, twice).collect()} == {r.doc_id: r.score for r in quality_gam.score(docs, model).collect()}
     nothing = quality_gam.train(docs, labels.limit(0))
     assert {r.score for r in quality_gam.score(docs.limit(3), nothing).collect()} == {0.5}
 

@@ -147,6 +147,37 @@ def test_full_pieces_are_passed_by(spark, monkeypatch):
     assert max(fills.values()) <= 16 and all(fills[r.sequence_id] == 16 and r.offset == 0 for r in rows if r.length == 16)
 
 
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 20)
+    docs = spark.createDataFrame([(None, "the same words") for _ in range(400)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, WORDS).collect()
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 400 and len(groups) > 10 and max(groups.values()) < 60
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as file:
+        other = json.load(file)
+    other["normalizer"] = None
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(other, file)
+    assert packing.is_chunked(WORDS) and not packing.is_chunked(path)
+    text = "Upper and lower"
+    assert np.frombuffer(next(iter(packing.encoder(path)([text.encode()]))), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_comes_near_the_lower_bound():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(rng.lognormal(6, 1, 8000).astype(int) + 1, 4095)
+    got = packing.local_search(packing.best_fit(lengths, 4096), lengths, 4096)
+    assert len(got) <= -(-int(lengths.sum()) // 4096) + 1
+
+
 def test_best_fit_fills_bins():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1500, 5000)
