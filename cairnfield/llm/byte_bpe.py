@@ -37,6 +37,8 @@ BUCKETS = 1 << 14
 LONG_BYTES = 128
 #: Documents that are handed on at once.
 BATCH = 500
+#: Fixed value: the pattern for which a space begins a match, unless white space is on both its sides.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
@@ -135,23 +137,46 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))  # concat takes no array
 
 
+class Splitter:
+    """Cuts texts into chunks that can be split into words on their own.
+
+    With the pattern SPACED these are the pieces between single spaces; they repeat, so most of a
+    bucket is split by looking a chunk up. Any other text or pattern is one chunk.
+    """
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.words = regex.compile(pattern).findall
+        self.mixed = regex.compile(r"\s (?=\s|\Z)").search if pattern == SPACED else lambda _: True
+
+    def chunks(self, text: str) -> tuple[str, list[str]]:
+        """The first chunk, and the others without the space before each of them."""
+        if self.mixed(text):
+            return text, []
+        first, *rest = text.split(" ")
+        return first, rest
+
+
 def _asked(dealt: DataFrame, n: int, pattern: str) -> DataFrame:
     """Packs of each bucket's different words."""
 
     def ask(batches):
-        import regex
-
-        split = regex.compile(pattern).findall
-        now, found = None, set()
+        splitter = Splitter(pattern)
+        now, found, chunks = None, set(), set()
         for bucket, batch in bucketed.runs(batches):
             if bucket != now:
-                yield out(now, found)
-                now, found = bucket, set()
+                yield out(splitter, now, found, chunks)
+                now, found, chunks = bucket, set(), set()
             for body in textops.unsqueezed(batch.column("body")):
-                found.update(split(body.decode()))
-        yield out(now, found)
-
-    def out(bucket, found):
+                first, rest = splitter.chunks(body.decode())
+                found.update(splitter.words(first))
+                chunks.update(rest)
+        yield out(splitter, now, found, chunks)
+
+    def out(splitter, bucket, found, chunks):
+        for chunk in chunks:
+            found.update(splitter.words(" " + chunk))
         words = [w.encode() for w in found]
         place = np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
         packs = ((k, [words[i] for i in of.tolist()]) for k, of in bucketed.sliced(place, n))
@@ -160,6 +185,24 @@ def _asked(dealt: DataFrame, n: int, pattern: str) -> DataFrame:
     return dealt.sortWithinPartitions("bucket").mapInArrow(ask, bucketed.PACKS)
 
 
+class Coder(dict):
+    """Ids (as bytes) of chunks without the space before them, put together from those of words when first met."""
+
+    def __init__(self, splitter: Splitter, known: dict[str, bytes]):
+        self.splitter, self.known = splitter, known
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.words(" " + chunk)
+        return ids
+
+    def words(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.splitter.words(text)))
+
+    def encode(self, text: str) -> bytes:
+        first, rest = self.splitter.chunks(text)
+        return self.words(first) + b"".join(map(self.__getitem__, rest))
+
+
 def _distinct(asked: DataFrame) -> DataFrame:
     """slice and word of each different word in the packs, the words of a slice one after the other."""
 
@@ -218,15 +261,13 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     answers = bucketed.answered(table.union(asked), n_buckets, _finder)
 
     def encode(own: pa.Table, found: pa.Table) -> pa.Table:
-        import regex
-
-        split, known = regex.compile(pattern).findall, {}
+        known: dict[str, bytes] = {}
         for keys, values in zip(found["keys"], found["n"], strict=True):
             words = (w.decode() for w in textops.unlisted(keys.as_buffer()))
             known.update(zip(words, textops.unlisted(values.as_buffer()), strict=True))
-        batches = []
+        coder, batches = Coder(Splitter(pattern), known), []
         for batch in own.to_batches(max_chunksize=BATCH):
-            coded = [b"".join(map(known.__getitem__, split(body.decode()))) for body in textops.unsqueezed(batch.column("body"))]
+            coded = [coder.encode(body.decode()) for body in textops.unsqueezed(batch.column("body"))]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
             batches.append(pa.RecordBatch.from_arrays([batch.column("row"), ids], ["row", "ids"]))

@@ -43,6 +43,23 @@ def test_native_fold_and_decoding(spark, library):
     assert all((r.ids is None) == (len(r.word) > 10 and bytes(r.word) not in ranks) for r in short)
 
 
+def test_chunks_split_like_whole_texts():
+    import regex
+
+    whole, splitter = regex.compile(public_tokenizers.PATTERN).findall, byte_bpe.Splitter(public_tokenizers.PATTERN)
+    assert public_tokenizers.PATTERN == byte_bpe.SPACED
+    rng = random.Random(4)
+    alphabet = ["a", "B", "'s", "'", "9", "!", " ", " ", " ", "\n", "\t", "\x1c", "\x85", "\u2028", "é", "漢", "🙂"]
+    cut = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 14)))
+        first, rest = splitter.chunks(text)
+        cut += len(rest)
+        assert [*splitter.words(first), *(w for c in rest for w in splitter.words(" " + c))] == whole(text), repr(text)
+    assert cut > 1000
+    assert byte_bpe.Splitter(r"\S+|\s+").chunks("a b") == ("a b", [])
+
+
 def test_texts_round_trip(spark, odd_docs, no_docs, library):
     docs = odd_docs.withColumns({"copy": odd_docs["text"], "bucket": odd_docs["doc_id"], "ids": odd_docs["lang"]})
     got = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ids=True).collect()
