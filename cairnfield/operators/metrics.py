@@ -100,19 +100,28 @@ def bootstrap_events(counts: DataFrame, samples: int, seed: int = 42, level: flo
 def lovasz(pixels: DataFrame, group: str, target: str = "target", p: str = "p", classes: int = 4) -> DataFrame:
     """Lovasz-softmax loss of each group: the mean over its present classes.
 
-    The sort of a class within a group is a window; equal errors are ordered foreground first.
+    Equal errors are counted before they are sorted, foreground first, and a class is sorted in
+    slices of its errors (1,000 of them), shifted by the sums of the slices above, so that no class
+    of a group has to be sorted in one task.
     """
     long = pixels.where(F.col(target) != IGNORED).select(group, F.col(target).alias("t"), F.posexplode(p).alias("cls", "prob")).where(F.col("cls") < classes)
-    rows = long.select(group, "cls", (F.col("t") == F.col("cls")).cast("double").alias("fg"), "prob")
-    rows = rows.withColumn("err", F.abs(F.col("fg") - F.col("prob")))
+    fg = (F.col("t") == F.col("cls")).cast("double")
     key = [group, "cls"]
-    order = Window.partitionBy(*key).orderBy(F.desc("err"), F.desc("fg"))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("fg").over(Window.partitionBy(*key))
-    seen, others = F.sum("fg").over(running), F.sum(1 - F.col("fg")).over(running)
-    rows = rows.withColumns({"total": total, "jac": 1 - (total - seen) / F.greatest(total + others, F.lit(1.0))})
-    rows = rows.withColumn("step", F.col("jac") - F.coalesce(F.lag("jac").over(order), F.lit(0.0)))
-    by_class = rows.where("total > 0").groupBy(*key).agg(F.sum(F.col("err") * F.col("step")).alias("loss"))
+    rows = long.select(*key, fg.alias("fg"), F.abs(fg - F.col("prob")).alias("err")).groupBy(*key, "err", "fg").agg(F.count("*").alias("n"))
+    rows = rows.withColumns({"pos": F.col("fg") * F.col("n"), "neg": (1 - F.col("fg")) * F.col("n"), "slice": F.floor(F.greatest(F.least(1 - F.col("err"), F.lit(1.0)), F.lit(0.0)) * 1000)})
+    sums = rows.groupBy(*key, "slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    above = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("p").over(Window.partitionBy(*key))
+    shifts = sums.select(*key, "slice", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("p", "q")], total.alias("total"))
+    running = Window.partitionBy(*key, "slice").orderBy(F.desc("err"), F.desc("fg")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.sum(c).over(running) - F.col(c) for c in ("pos", "neg")} | {"own": F.col("pos"), "other": F.col("neg")}).join(shifts, [*key, "slice"])
+    seen, others = F.col("pos") + F.col("p_above"), F.col("neg") + F.col("q_above")
+
+    def jaccard(more_seen: Column, more_others: Column) -> Column:
+        return 1 - (F.col("total") - more_seen) / F.greatest(F.col("total") + more_others, F.lit(1.0))
+
+    step = jaccard(seen + F.col("own"), others + F.col("other")) - jaccard(seen, others)
+    by_class = rows.where("total > 0").groupBy(*key).agg(F.sum(F.col("err") * step).alias("loss"))
     return by_class.groupBy(group).agg(F.avg("loss").alias("lovasz"))
 
 
