@@ -143,10 +143,6 @@ def accessibility_penalty(base: Column, risk: Column) -> Column:
     return F.when(reached, F.least(F.greatest(extra, F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
 
 
-def accessibility_status(base: Column, risk: Column) -> Column:
-    return F.when(base.isNotNull() & risk.isNotNull() & (base > 0), "reachable").otherwise("isolated")
-
-
 def bands(score: Column, moderate: Column, high: Column, critical: Column) -> Column:
     return F.when(score >= critical, "CRITICAL").when(score >= high, "HIGH").when(score >= moderate, "MODERATE").otherwise("LOW")
 

@@ -114,7 +114,7 @@ def type_eligibility(events: DataFrame) -> DataFrame:
     total = events.agg(F.count("*").alias("total"))
     rows = with_scalars(counts, total)
     others = F.col("total") - F.col("n_events")
-    reason = F.when(others >= 2, "test type plus distinct train and validation events are non-empty").otherwise("insufficient non-test events for distinct train and validation groups")
+    reason = F.when(others >= 2, "two or more events of other types remain for training and validation").otherwise("fewer than two events of other types remain")
     return rows.select("disaster_type", "n_events", others.alias("other_events"), (others >= 2).alias("leave_one_type_out_eligible"), reason.alias("reason"))
 
 

@@ -81,6 +81,10 @@ def distances(graph: DataFrame, sources: DataFrame, cost: str, u: str = "u", v:
     return known.select(F.col("n").alias(node), F.col("d").alias("cost"))
 
 
+#: The status of a cell.
+AT_RISK, ISOLATED = "estimated accessibility risk", "estimated isolation under current risk model"
+
+
 def accessibility(cells: DataFrame, normal: DataFrame, adjusted: DataFrame, node: str = "node") -> DataFrame:
     """Costs, penalty in [0, 1] and status of cells with their nearest node.
 
@@ -94,5 +98,5 @@ def accessibility(cells: DataFrame, normal: DataFrame, adjusted: DataFrame, node
         F.when(fine, base).alias("normal_facility_cost_m"),
         F.when(fine, risk).alias("risk_adjusted_facility_cost_m"),
         C.accessibility_penalty(base, risk).alias("accessibility_penalty"),
-        F.when(fine, "estimated accessibility risk").otherwise("estimated isolation under current risk model").alias("accessibility_status"),
+        F.when(fine, AT_RISK).otherwise(ISOLATED).alias("accessibility_status"),
     )

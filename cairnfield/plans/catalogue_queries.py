@@ -210,8 +210,8 @@ FROM events WHERE value IS NOT NULL GROUP BY 1""",
     "type_eligibility": f"""{_T}, {_AUDIT}
 SELECT disaster_type, count(*) AS n_events, (SELECT count(*) FROM audited) - count(*) AS other_events,
   (SELECT count(*) FROM audited) - count(*) >= 2 AS leave_one_type_out_eligible,
-  CASE WHEN (SELECT count(*) FROM audited) - count(*) >= 2 THEN 'test type plus distinct train and validation events are non-empty'
-    ELSE 'insufficient non-test events for distinct train and validation groups' END AS reason
+  CASE WHEN (SELECT count(*) FROM audited) - count(*) >= 2 THEN 'two or more events of other types remain for training and validation'
+    ELSE 'fewer than two events of other types remain' END AS reason
 FROM audited GROUP BY disaster_type""",
     "alignment_findings": f"""{_T}
 SELECT tile_id, 'shape' AS what, 'error' AS severity FROM tiles WHERE ordinal % 50 = 0

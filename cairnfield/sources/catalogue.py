@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions.columns import absolute_path, relative_path
 
+#: Modalities and fields of a manifest.
 PATHS = ("pre_optical", "post_optical", "pre_sar", "post_sar", "label")
 MANIFEST = (
     "event_id string, disaster_type string, tile_id string, pre_optical string, post_optical string, pre_sar string, post_sar string, "

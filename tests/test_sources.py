@@ -10,7 +10,7 @@ from cairnfield.sources import catalogue, config, raster
 
 
 def tiff(path, image, deflate=False, tile=None):
-    """A small GeoTIFF (EPSG:32632, origin (500000, 4100000), pixels of 10 m): strips of 5 rows or tiles, planar."""
+    """A small GeoTIFF (EPSG:32721, origin (712400, 6230150), pixels of 2.5 m): strips of 5 rows or tiles, planar."""
     bands, height, width = image.shape
     kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
     blocks = []
@@ -34,7 +34,7 @@ def tiff(path, image, deflate=False, tile=None):
         fields += [(322, 4, [tile]), (323, 4, [tile]), (324, 4, offsets), (325, 4, [len(b) for b in blocks])]
     else:
         fields += [(273, 4, offsets), (278, 4, [5]), (279, 4, [len(b) for b in blocks])]
-    fields += [(33550, 12, [10.0, 10.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 500000.0, 4100000.0, 0.0]), (34735, 3, [1, 1, 0, 1, 3072, 0, 1, 32632])]
+    fields += [(33550, 12, [2.5, 2.5, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 712400.0, 6230150.0, 0.0]), (34735, 3, [1, 1, 0, 1, 3072, 0, 1, 32721])]
     fields.sort()
     form = {3: "H", 4: "I", 12: "d"}
     at = 8 + len(body)
@@ -51,37 +51,50 @@ def tiff(path, image, deflate=False, tile=None):
     path.write_bytes(b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0" + extra)
 
 
+SUFFIXES = {"pre_optical": ("before", "_pre_disaster.tif"), "post_sar": ("after", "_post_disaster.tif"), "label": ("label", "_building_damage.tif")}
+EVENTS = {"rivermouth-flood": "flood", "northgate-wildfire": "wildfire"}
+
+
+def images(seed: int) -> dict[str, np.ndarray]:
+    """A ramp of three bands before, noise after, and a mask whose lower right corner is damaged in steps."""
+    rows, columns = np.mgrid[0:9, 0:14]
+    damage = np.where((rows > 2) & (columns > 5), (rows + columns + seed) % 4, 0)
+    ramp = np.stack([(3 * rows + columns + 40 * band) % 256 for band in range(3)])
+    noise = np.random.default_rng(seed).normal(size=(1, 9, 14))
+    return {"pre_optical": ramp.astype(np.uint8), "post_sar": noise.astype(np.float32), "label": damage.astype(np.uint8)[None]}
+
+
 @pytest.fixture(scope="module")
 def tiles(tmp_path_factory):
-    """Three events with one tile each: optical before, radar after, and a label mask."""
+    """Two tiles of one event and one of another, as TIFF files of strips, of tiles and deflated."""
     root = tmp_path_factory.mktemp("tiles")
-    mask = np.tile(np.array([0, 1, 2, 3, 0] * 2, dtype=np.uint8), (12, 1))[None]
-    for event in ("bata-explosion", "surat-flood", "maui-wildfire"):
-        name = f"{event}_00000000"
-        for folder, suffix, image in (("pre-event", "_pre_disaster.tif", np.full((3, 12, 10), 10, np.uint8)), ("post-event", "_post_disaster.tif", np.ones((1, 12, 10), np.float32)), ("target", "_building_damage.tif", mask)):
+    names = [f"{event}_{number:08d}" for event, number in (("rivermouth-flood", 4), ("rivermouth-flood", 7), ("northgate-wildfire", 1))]
+    for seed, name in enumerate(names):
+        for modality, image in images(seed).items():
+            folder, suffix = SUFFIXES[modality]
             (root / folder).mkdir(exist_ok=True)
-            tiff(root / folder / f"{name}{suffix}", image, deflate=folder == "target", tile=16 if folder == "pre-event" else None)
+            tiff(root / folder / f"{name}{suffix}", image, deflate=modality == "label", tile=16 if modality == "pre_optical" else None)
     return root
 
 
 def test_headers_and_pixels(spark, tiles):
-    h = raster.headers(spark, str(tiles / "pre-event")).first()
-    assert (h.crs, h.width, h.height, h.bands, h.dtype) == ("EPSG:32632", 10, 12, 3, "uint8")
-    assert h.bounds == [500000.0, 4099880.0, 500100.0, 4100000.0]
-    assert raster.headers(spark, str(tiles / "post-event")).first().dtype == "float32"
-    counts = raster.bands(spark, str(tiles / "target")).select(F.explode("pixels").alias("v")).groupBy("v").count().collect()
-    assert {int(r.v): r["count"] for r in counts} == {0: 144, 1: 72, 2: 72, 3: 72}
-    assert raster.bands(spark, str(tiles / "pre-event"), channels=2).count() == 6
+    h = raster.headers(spark, str(tiles / "before")).first()
+    assert (h.crs, h.width, h.height, h.bands, h.dtype) == ("EPSG:32721", 14, 9, 3, "uint8")
+    assert h.bounds == [712400.0, 6230150.0 - 9 * 2.5, 712400.0 + 14 * 2.5, 6230150.0]
+    assert raster.headers(spark, str(tiles / "after")).first().dtype == "float32"
+    counts = raster.bands(spark, str(tiles / "label")).select(F.explode("pixels").alias("v")).groupBy("v").count().collect()
+    values, n = np.unique(np.concatenate([images(seed)["label"].ravel() for seed in range(3)]), return_counts=True)
+    assert {int(r.v): r["count"] for r in counts} == dict(zip(values.tolist(), n.tolist(), strict=True))
+    assert raster.bands(spark, str(tiles / "before"), channels=2).count() == 6
     with pytest.raises(Exception, match="are needed"):
-        raster.bands(spark, str(tiles / "post-event"), channels=3).collect()
+        raster.bands(spark, str(tiles / "after"), channels=3).collect()
 
 
 def test_manifest_of_aligned_tiles(spark, tiles):
-    suffixes = {"pre_optical": ("pre-event", "_pre_disaster.tif"), "post_sar": ("post-event", "_post_disaster.tif"), "label": ("target", "_building_damage.tif")}
-    found = {k: catalogue.modality_files(spark, str(tiles / d), s) for k, (d, s) in suffixes.items()}
-    rows = {r.event_id: r.disaster_type for r in catalogue.manifest(found).collect()}
-    assert rows == {"bata-explosion": "explosion", "surat-flood": "flood", "maui-wildfire": "wildfire"}
-    found["label"] = found["label"].where("tile_id NOT LIKE 'surat%'")
+    found = {k: catalogue.modality_files(spark, str(tiles / d), s) for k, (d, s) in SUFFIXES.items()}
+    rows = catalogue.manifest(found).collect()
+    assert len(rows) == 3 and {r.event_id: r.disaster_type for r in rows} == EVENTS
+    found["label"] = found["label"].where("tile_id NOT LIKE 'north%'")
     with pytest.raises(ValueError, match="do not align"):
         catalogue.manifest(found)
 
