@@ -134,3 +134,30 @@ def alignment_findings(a: DataFrame, b: DataFrame, key: str = "tile_id", toleran
         )
     )
     return both.select(key, F.explode(findings).alias("f")).select(key, "f.what", "f.severity")
+
+
+def strict_findings(a: DataFrame, b: DataFrame, bands: tuple[int, int], key: str = "tile_id", tolerance: float = 1e-6) -> DataFrame:
+    """What keeps tiles of two inputs from being predicted on together: all of it errors.
+
+    Both need height, width, crs, transform (array of six) and bands; ``bands`` are the numbers that are needed.
+    """
+    names = ("height", "width", "crs", "transform", "bands")
+    both = a.select(key, *[F.col(c).alias(f"a_{c}") for c in names]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in names]), key)
+    apart = F.exists(F.zip_with("a_transform", "b_transform", lambda x, y: F.abs(x - y)), lambda d: d > tolerance)
+    wrong = {
+        "size": (F.col("a_height") != F.col("b_height")) | (F.col("a_width") != F.col("b_width")),
+        "crs": F.col("a_crs").isNull() | ~F.col("a_crs").eqNullSafe(F.col("b_crs")),
+        "transform": apart,
+        "bands": (F.col("a_bands") != bands[0]) | (F.col("b_bands") != bands[1]),
+    }
+    found = F.array_compact(F.array(*[F.when(fails, F.lit(name)) for name, fails in wrong.items()]))
+    return both.select(key, F.explode(found).alias("what"))
+
+
+def required_columns(rows: DataFrame, names: list[str]) -> DataFrame:
+    """For each name, whether the table has the column, and the number of its values that are not null."""
+    has = [c for c in names if c in rows.columns]
+    counted = rows.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in has]) if has else rows.limit(0)
+    found = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in has).alias("present"), (F.col(f"`{c}`") if c in has else F.lit(0)).cast("long").alias("n_values")) for c in names])
+    one = counted if has else counted.sparkSession.range(1)
+    return one.select(F.inline(found))

@@ -200,3 +200,20 @@ def padded(pixels: DataFrame, crop: int, mode: str = "edge", value: str = "value
 
 def top_count(n: int, fraction: float) -> int:
     return max(1, math.ceil(fraction * n))
+
+
+def partition_mismatch(split: DataFrame, wanted: DataFrame, partition: str = "test", unit: str = "event_id") -> DataFrame:
+    """Units of a partition that were not asked for (unexpected), and units asked for that it lacks (missing)."""
+    held = split.where(F.col("partition") == partition).select(unit).distinct()
+    asked = wanted.select(unit).distinct()
+    unexpected = held.join(asked, unit, "left_anti").select(unit, F.lit("unexpected").alias("problem"))
+    return unexpected.union(asked.join(held, unit, "left_anti").select(unit, F.lit("missing").alias("problem")))
+
+
+def pooled(split: DataFrame, partitions: list[str]) -> DataFrame:
+    """The rows of several partitions one after the other; a row of two partitions counts twice."""
+    parts = [split.where(F.col("partition") == p) for p in partitions]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
-from cairnfield.operators import catalog, splits
+from cairnfield.operators import catalog, graph, splits
 from cairnfield.plans.analogues import load, sql_uniform, tiles, with_sql
 
 SAMPLE_DRAWS, COVERAGE_TILES, CROP = 500, 5, 64
@@ -166,7 +166,42 @@ def path_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("tile_id", relative.alias("relative"), C.absolute_path(relative, "/mnt/copy").alias("absolute"))
 
 
-QUERIES = {f.__name__: f for f in (tile_alignment, tile_id_parse, label_domain_violations, class_name_lookup, audit_moments, class_histogram, tiles_per_event, modality_bands, class_weights, damage_weights, events_audit, type_eligibility, alignment_findings, event_holdout_split, standard_split, official_split, leakage_check, unknown_ids, balanced_sample, greedy_coverage, validation_events, geometry_plans, centre_crops, path_roundtrip)}
+def strict_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inputs of each tile, of which some differ in size, reference system, transform or bands."""
+    t, n = tiles(spark, sf_dir), F.col("ordinal")
+
+    def side(height, crs, x, bands):
+        return t.select("tile_id", height.alias("height"), F.lit(10).alias("width"), crs.alias("crs"), F.array(*[v.cast("double") for v in (F.lit(2), F.lit(0), x, F.lit(0), F.lit(-2), n)]).alias("transform"), bands.alias("bands"))
+
+    pre = side(F.lit(12), F.when(n % 80 != 0, "EPSG:32721"), n * 20, F.lit(3))
+    post = side(F.when(n % 50 == 0, 13).otherwise(12), F.when(n % 80 != 0, F.when(n % 70 == 0, "EPSG:32722").otherwise("EPSG:32721")), n * 20 + F.when(n % 30 == 0, 1).otherwise(0), F.when(n % 90 == 0, 2).otherwise(1))
+    return catalog.strict_findings(pre, post, (3, 1))
+
+
+def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.required_columns(load(spark, sf_dir, "supplier").withColumn("mask", F.when(F.col("s_suppkey") % 4 == 0, 1)), ["s_suppkey", "mask", "geometry"])
+
+
+def test_partition_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = splits.official_split(tiles(spark, sf_dir), _official_ids(spark, sf_dir))
+    wanted = load(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.lower("n_name").alias("event_id"))
+    return splits.partition_mismatch(split, wanted)
+
+
+def pooled_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = splits.official_split(tiles(spark, sf_dir), _official_ids(spark, sf_dir))
+    return splits.pooled(split, ["val", "test", "val"]).groupBy("event_id").agg(F.count("*").alias("n_rows"), F.count_distinct("tile_id").alias("n_tiles"))
+
+
+def road_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of up to four vertices, of which some repeat and some have no length, as segments."""
+    k = F.col("s_suppkey")
+    vertex = [F.struct((k * a % 7).cast("double").alias("x"), (k * b % 5).cast("double").alias("y")) for a, b in ((1, 1), (2, 3), (2, 3), (4, 1))]
+    lines = load(spark, sf_dir, "supplier").select(k.alias("osm_id"), F.slice(F.array(*vertex), F.lit(1), (k % 5).cast("int")).alias("coords"))
+    return graph.segments(graph.usable_lines(lines)).select("osm_id", "place", "ax", "ay", "bx", "by")
+
+
+QUERIES = {f.__name__: f for f in (tile_alignment, tile_id_parse, label_domain_violations, class_name_lookup, audit_moments, class_histogram, tiles_per_event, modality_bands, class_weights, damage_weights, events_audit, type_eligibility, alignment_findings, event_holdout_split, standard_split, official_split, leakage_check, unknown_ids, balanced_sample, greedy_coverage, validation_events, geometry_plans, centre_crops, path_roundtrip, strict_alignment, required_columns, test_partition_events, pooled_partitions, road_pieces)}
 
 _T = with_sql("tiles")
 _COUNTS = """counts AS (
@@ -217,6 +252,22 @@ FROM audited GROUP BY disaster_type""",
 SELECT tile_id, 'shape' AS what, 'error' AS severity FROM tiles WHERE ordinal % 50 = 0
 UNION ALL SELECT tile_id, 'crs', 'error' FROM tiles WHERE ordinal % 70 = 0
 UNION ALL SELECT tile_id, 'bounds', 'warning' FROM tiles WHERE ordinal % 30 = 0""",
+    "strict_alignment": f"""{_T}
+SELECT tile_id, 'size' AS what FROM tiles WHERE ordinal % 50 = 0
+UNION ALL SELECT tile_id, 'crs' FROM tiles WHERE ordinal % 80 = 0 OR ordinal % 70 = 0
+UNION ALL SELECT tile_id, 'transform' FROM tiles WHERE ordinal % 30 = 0
+UNION ALL SELECT tile_id, 'bands' FROM tiles WHERE ordinal % 90 = 0""",
+    "required_columns": """SELECT 's_suppkey' AS column, true AS present, count(*) AS n_values FROM supplier
+UNION ALL SELECT 'mask', true, count(*) FILTER (WHERE s_suppkey % 4 = 0) FROM supplier UNION ALL SELECT 'geometry', false, 0""",
+    "test_partition_events": f"""{_T}, {_OFFICIAL}, held AS (SELECT DISTINCT event_id FROM official WHERE partition = 'test'),
+asked AS (SELECT DISTINCT lower(n_name) AS event_id FROM nation WHERE n_nationkey % 3 = 0)
+SELECT event_id, 'unexpected' AS problem FROM held WHERE event_id NOT IN (SELECT event_id FROM asked)
+UNION ALL SELECT event_id, 'missing' FROM asked WHERE event_id NOT IN (SELECT event_id FROM held)""",
+    "pooled_partitions": f"""{_T}, {_OFFICIAL} SELECT event_id, sum(CASE partition WHEN 'val' THEN 2 ELSE 1 END)::BIGINT AS n_rows, count(DISTINCT tile_id) AS n_tiles
+FROM official WHERE partition IN ('val', 'test') GROUP BY 1""",
+    "road_pieces": """WITH v AS (SELECT s_suppkey AS k, unnest([0, 1, 2, 3]) AS place FROM supplier),
+p AS (SELECT k, place, CAST(k * [1, 2, 2, 4][place + 1] % 7 AS DOUBLE) AS x, CAST(k * [1, 3, 3, 1][place + 1] % 5 AS DOUBLE) AS y FROM v WHERE place < k % 5)
+SELECT a.k AS osm_id, a.place, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM p a JOIN p b ON a.k = b.k AND b.place = a.place + 1 WHERE a.x <> b.x OR a.y <> b.y""",
     "event_holdout_split": f"""{_T}, named AS (SELECT DISTINCT event_id FROM tiles ORDER BY event_id DESC LIMIT 2)
 SELECT tile_id, event_id, CASE WHEN event_id = (SELECT max(event_id) FROM named) THEN 'test' WHEN event_id = (SELECT min(event_id) FROM named) THEN 'val' ELSE 'train' END AS partition FROM tiles""",
     "standard_split": f"""{_T}, ordered AS (
