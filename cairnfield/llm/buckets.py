@@ -25,9 +25,9 @@ BUCKET_BYTES = 64 << 20
 MOST_SLICES = 1 << 14
 
 
-def count(docs: DataFrame, total_bytes: int) -> int:
+def count(docs: DataFrame, total_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """As many buckets as the texts need, and at least one for each core."""
-    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // BUCKET_BYTES))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-total_bytes // bucket_bytes))
 
 
 def slices(buckets: int) -> int:

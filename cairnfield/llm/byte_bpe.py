@@ -37,6 +37,8 @@ BUCKETS = 1 << 14
 LONG_BYTES = 128
 #: Documents that are handed on at once.
 BATCH = 500
+#: Texts of a bucket. Its words and chunks stand in a worker's memory several times over.
+TEXT_BYTES = 32 << 20
 #: Fixed value: the pattern for which a space begins a match, unless white space is on both its sides.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -177,7 +179,7 @@ def _asked(dealt: DataFrame, n: int, pattern: str) -> DataFrame:
     def out(splitter, bucket, found, chunks):
         for chunk in chunks:
             found.update(splitter.words(" " + chunk))
-        words = [w.encode() for w in found]
+        words = sorted(w.encode() for w in found)  # neighbours alike: smaller packs
         place = np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
         packs = ((k, [words[i] for i in of.tolist()]) for k, of in bucketed.sliced(place, n))
         return bucketed.batch_of([(k, bucket, textops.listed(some), None) for k, some in packs])
@@ -217,7 +219,7 @@ def _distinct(asked: DataFrame) -> DataFrame:
         yield from out(now, found)
 
     def out(place, found):
-        words = list(found)
+        words = sorted(found)
         for at in range(0, len(words), 10_000):
             some = pa.array(words[at : at + 10_000], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), place, dtype=np.int32)), some], ["slice", "word"])
@@ -240,9 +242,13 @@ def _table(folded: DataFrame, ranks) -> DataFrame:
     return folded.mapInArrow(pack, bucketed.PACKS)
 
 
-def _finder(_: int, table: list[tuple]):
-    known = {w: ids for keys, values in table for w, ids in zip(textops.unlisted(keys), textops.unlisted(values), strict=True)}
-    return lambda keys: textops.listed([known[w] for w in textops.unlisted(keys)])
+def _answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """The packs of one slice with the ids of their words."""
+    known: dict[bytes, bytes] = {}
+    for keys, values in zip(table["keys"], table["n"], strict=True):
+        known.update(zip(textops.unlisted(keys.as_buffer()), textops.unlisted(values.as_buffer()), strict=True))
+    ids = (textops.listed([known[w] for w in textops.unlisted(keys.as_buffer())]) for keys in asked["keys"])
+    return asked.set_column(asked.schema.get_field_index("n"), "n", pa.array(ids, pa.binary()))
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -253,12 +259,12 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "ids")]
     rows = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *others).alias("row"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n_buckets = bucketed.count(docs, size)
+    n_buckets = bucketed.count(docs, size, TEXT_BYTES)
     n_slices = bucketed.slices(n_buckets)
     dealt = bucketed.dealt(rows, n_buckets)
     asked = _asked(dealt, n_slices, pattern).repartition(n_buckets, "slice")
     table = _table(fold_words(_distinct(asked), ranks, most=LONG_BYTES), shared)
-    answers = bucketed.answered(table.union(asked), n_buckets, _finder)
+    answers = asked.groupBy("slice").cogroup(table.groupBy("slice")).applyInArrow(_answered, bucketed.PACKS)
 
     def encode(own: pa.Table, found: pa.Table) -> pa.Table:
         known: dict[str, bytes] = {}
