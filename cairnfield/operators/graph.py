@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
+from cairnfield.operators import order as ordered
 from cairnfield.operators.iterate import kept
 from cairnfield.operators.scalars import with_scalars
 from cairnfield.operators.spatial import near_segments
@@ -43,7 +44,7 @@ def road_risk(roads: DataFrame, buildings: DataFrame, radius: float = 125.0, low
     area = F.greatest(F.col("length") * (2 * radius / 1_000_000), F.lit(1e-6))
     dense = roads.join(hit, "road_id", "left").withColumn("density", F.coalesce("destroyed", F.lit(0.0)) / area).drop("destroyed")
     dense = kept(dense)  # used twice below, and the join behind it is the costly part
-    limits = dense.agg(F.percentile("density", F.lit(lower)).alias("__lo"), F.percentile("density", F.lit(upper)).alias("__hi"))
+    limits = ordered.quantiles(dense, {"__lo": (F.col("density"), lower), "__hi": (F.col("density"), upper)})
     return with_scalars(dense, limits).withColumn("estimated_risk", C.robust_scaled(F.col("density"), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 

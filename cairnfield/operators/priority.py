@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
+from cairnfield.operators import order
+from cairnfield.operators.iterate import kept
 from cairnfield.operators.scalars import with_scalars
 
 #: Default configuration.
@@ -29,9 +31,10 @@ def available_weights(weights: dict[str, float] | None = None, hazard: bool = Fa
 
 
 def _scaled(rows: DataFrame, raws: dict[str, Column], lower: float, upper: float) -> DataFrame:
-    """Replace raw columns by robust scores; all quantiles come from one pass."""
-    raw = rows.withColumns({f"__raw_{k}": v for k, v in raws.items()})
-    limits = raw.agg(*[F.percentile(F.coalesce(F.nanvl(F.col(f"__raw_{k}"), F.lit(0.0)), F.lit(0.0)), F.lit(q)).alias(f"__{s}_{k}") for k in raws for s, q in (("lo", lower), ("hi", upper))])
+    """Replace raw columns by robust scores between exact quantiles."""
+    raw = kept(rows.withColumns({f"__raw_{k}": v for k, v in raws.items()}))  # read three times below
+    finite = {k: F.coalesce(F.nanvl(F.col(f"__raw_{k}"), F.lit(0.0)), F.lit(0.0)) for k in raws}
+    limits = order.quantiles(raw, {f"__{s}_{k}": (finite[k], q) for k in raws for s, q in (("lo", lower), ("hi", upper))})
     scored = with_scalars(raw, limits).withColumns({k: C.robust_scaled(F.col(f"__raw_{k}"), F.col(f"__lo_{k}"), F.col(f"__hi_{k}")) for k in raws})
     return scored.drop(*[f"__{s}_{k}" for k in raws for s in ("raw", "lo", "hi")])
 
@@ -58,25 +61,14 @@ def weighted(weights: dict[str, float]) -> Column:
 
 
 def ranked(rows: DataFrame, score: str = "priority_score", key: str = "cell", out: str = "priority_rank", by: list[str] = (), places: int = 12) -> DataFrame:
-    """Rank by falling score (rounded to ``places``), ties in order of the key.
-
-    One group is numbered in slices of its score range (1,000 of them), shifted by the sizes of
-    the slices above, so that no group has to be sorted in one task.
-    """
-    s = F.round(F.col(score), places)
-    sliced = rows.withColumn("__slice", F.floor(F.greatest(F.least(1 - s, F.lit(1.0)), F.lit(0.0)) * 1000).cast("int"))
-    sizes = sliced.groupBy(*by, "__slice").agg(F.count("*").alias("__size"))
-    above = Window.partitionBy(*by, F.lit(0)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.withColumn("__above", F.coalesce(F.sum("__size").over(above), F.lit(0))).drop("__size")
-    order = Window.partitionBy(*by, "__slice").orderBy(s.desc(), F.col(key))
-    numbered = sliced.withColumn("__n", F.row_number().over(order)).join(shifts, [*by, "__slice"])
-    return numbered.withColumn(out, (F.col("__n") + F.col("__above")).cast("long")).drop("__slice", "__n", "__above")
+    """Rank by falling score (rounded to ``places``), ties in order of the key."""
+    return order.numbered(rows, [F.round(F.col(score), places).desc(), F.col(key).asc()], out, by)
 
 
 def banded(rows: DataFrame, score: str = "priority_score", quantiles: tuple[float, float, float] = BAND_QUANTILES, out: str = "relative_priority_band", places: int = 12) -> DataFrame:
     """Bands between exact quantiles of the score; equal scores are all CRITICAL."""
     s = F.round(F.col(score), places)
-    limits = rows.agg(*[F.percentile(s, F.lit(q)).alias(f"__q{i}") for i, q in enumerate(quantiles)])
+    limits = order.quantiles(rows, {f"__q{i}": (s, q) for i, q in enumerate(quantiles)})
     at = [F.round(F.col(f"__q{i}"), places) for i in range(3)]
     return with_scalars(rows, limits).withColumn(out, C.bands(s, *at)).drop("__q0", "__q1", "__q2")
 
@@ -111,8 +103,8 @@ def monte_carlo(cells: DataFrame, buildings: DataFrame, simulations: int, seed:
     severity = F.when(u > F.col("c2"), multiplier).when(u > F.col("c1"), 1.0).otherwise(0.0)
     sums = drawn.groupBy("sim", "cell").agg(F.sum(severity).alias("raw"))
     sims = cells.select("cell", "population_score", "accessibility_score", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
-    full = sims.join(sums, ["sim", "cell"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    limits = full.groupBy("sim").agg(F.percentile("raw", F.lit(lower)).alias("lo"), F.percentile("raw", F.lit(upper)).alias("hi"))
+    full = kept(sims.join(sums, ["sim", "cell"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))))  # the draws are made once
+    limits = order.quantiles(full, {"lo": (F.col("raw"), lower), "hi": (F.col("raw"), upper)}, ["sim"])
     scored = full.join(limits, "sim").withColumn("damage_score", C.robust_scaled(F.col("raw"), F.col("lo"), F.col("hi")))
     scored = scored.withColumn("score", weighted(weights)).select("sim", "cell", "score")
     return ranked(scored, "score", "cell", "rank", ["sim"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield.operators import order
 from cairnfield.operators.scalars import with_scalars
 
 
@@ -151,6 +152,6 @@ def stretch(rows: DataFrame, group: list[str], value: str, low: float = 0.02, hi
     """Display stretch of each group to [0, 1] between two exact quantiles."""
     from cairnfield.functions.columns import robust_scaled
 
-    q = rows.groupBy(*group).agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))
+    q = order.quantiles(rows, {"__lo": (F.col(value), low), "__hi": (F.col(value), high)}, group)
     joined = rows.join(q, group) if group else with_scalars(rows, q)
     return joined.withColumn("stretched", robust_scaled(F.col(value), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")

@@ -332,3 +332,31 @@ def test_distances_never_stop_short(spark):
     assert {r.node: r.cost for r in graph.distances(chain, start, "w", most_rounds=4).collect()} == {i: float(i) for i in range(5)}
     with pytest.raises(RuntimeError, match="3 rounds"):
         graph.distances(chain, start, "w", most_rounds=3)
+
+
+def test_quantiles_and_numbers_of_ties(spark):
+    from cairnfield.operators import order
+
+    rows = spark.range(30_000).selectExpr("id", "id % 3 AS g", "IF(id % 5 < 4, 0.0, sqrt(id)) AS v", "IF(id % 7 = 0, NULL, sin(id)) AS w").checkpoint()
+    wanted = {f"{c}{q}": (F.col(c), q) for c in "vw" for q in (0.0, 0.02, 0.5, 0.81, 0.98, 1.0)}
+    expected = [F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in wanted.items()]
+    assert order.quantiles(rows, wanted).first().asDict() == rows.agg(*expected).first().asDict()
+    by_group = {r["g"]: r.asDict() for r in order.quantiles(rows, wanted, ["g"]).collect()}
+    assert by_group == {r["g"]: r.asDict() for r in rows.groupBy("g").agg(*expected).collect()}
+    for few in (1, 2, 7, 174):
+        some = rows.where(F.col("id") % 100 < 3).limit(few)
+        assert order.quantiles(some, wanted).first().asDict() == some.agg(*expected).first().asDict()
+    assert set(order.quantiles(rows.limit(0), wanted).first()) == {None}
+    assert not order.quantiles(rows.limit(0), wanted, ["g"]).count()
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")  # else so few rows are one range
+    try:
+        ranges = order.numbered(rows, [F.col("v").desc(), F.col("id").asc()], "n")
+        by_value = sorted(rows.collect(), key=lambda r: (-r["v"], r["id"]))
+        assert {r["id"]: r["n"] for r in ranges.collect()} == {r["id"]: i for i, r in enumerate(by_value, 1)}
+        grouped = order.numbered(rows, [F.col("v").desc(), F.col("id").asc()], "n", ["g"])
+        counts = grouped.groupBy("g").agg(F.min("n"), F.max("n"), F.count_distinct("n"))
+        assert {tuple(r)[1:] for r in counts.collect()} == {(1, 10_000, 10_000)}
+    finally:
+        spark.conf.set(setting, before)
