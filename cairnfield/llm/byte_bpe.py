@@ -85,49 +85,53 @@ def literal_ranks(ranks: dict[bytes, int]) -> Column:
 
 
 def _rank(buckets: Column, piece: Column) -> Column:
-    return F.get(buckets, (F.crc32(piece) % BUCKETS).cast("int"))[F.hex(piece)]
+    return F.get(buckets, F.crc32(piece).bitwiseAND(BUCKETS - 1).cast("int"))[F.hex(piece)]
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once (a lambda's variable stands for it)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _let(value: Column, kind: str, body) -> Column:
+    """body, of type kind, of a value that is computed once (a lambda's variable stands for it).
+
+    Not an element of a transform: taking one derives the type of the whole body at each step.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, one: body(one))
 
 
 def fold_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word", most: int | None = None) -> DataFrame:
     """Add ids (array of int) to each row of a binary column, by higher-order functions only.
 
-    ``most``: longer words get null. The fold carries the pieces and the ranks of their pairs; a
-    step joins two pieces and looks up the two pairs that are new.
+    ``most``: longer words get null. The fold carries the pieces, between two nulls, and the ranks of
+    their pairs; a step joins two pieces and looks up the two pairs that are new.
     """
 
     def folded(whole: Column, buckets: Column) -> Column:
-        none = F.array().cast("array<int>")
+        none, state = F.array().cast("array<int>"), "struct<p: array<binary>, r: array<int>>"
+        rest = F.lit(1 << 30)  # all that follow
 
         def step(acc: Column, _: Column) -> Column:
             p, r = acc["p"], acc["r"]
 
             def merged(at: Column) -> Column:
                 def around(one: Column) -> Column:
-                    left = F.when(at > 1, F.array(_rank(buckets, F.concat(F.get(p, at - 2), one)))).otherwise(none)
-                    right = F.when(at < F.size(r), F.array(_rank(buckets, F.concat(one, F.get(p, at + 1))))).otherwise(none)
+                    new = F.array(_rank(buckets, F.concat(F.get(p, at - 2), one)), _rank(buckets, F.concat(one, F.get(p, at + 1))))
                     return F.struct(
-                        F.concat(F.slice(p, 1, at - 1), F.array(one), F.slice(p, at + 2, F.size(p))).alias("p"),
-                        F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
+                        F.concat(F.slice(p, 1, at - 1), F.array(one), F.slice(p, at + 2, rest)).alias("p"),
+                        F.concat(F.slice(r, 1, at - 2), new, F.slice(r, at + 2, rest)).alias("r"),
                     )
 
-                return F.when(at.isNull(), acc).otherwise(_let(F.concat(F.get(p, at - 1), F.get(p, at)), around))
+                return F.when(at.isNull(), acc).otherwise(_let(F.concat(F.get(p, at - 1), F.get(p, at)), state, around))
 
-            return _let(F.array_position(r, F.array_min(r)).cast("int"), merged)
+            return _let(F.array_position(r, F.array_min(r)).cast("int"), state, merged)
 
-        n = F.length(whole)
+        n, edge = F.length(whole), F.array(F.lit(None).cast("binary"))
         single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(whole, i, F.lit(1)))
         pairs = F.transform(F.sequence(F.lit(2), n), lambda i: _rank(buckets, F.substring(whole, i - 1, F.lit(2))))
-        first = F.struct(single.alias("p"), F.when(n > 1, pairs).otherwise(none).alias("r"))
-        pieces = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), first, step)["p"]
+        no_rank = F.array(F.lit(None).cast("int"))
+        first = F.struct(F.concat(edge, single, edge).alias("p"), F.concat(no_rank, F.when(n > 1, pairs).otherwise(none), no_rank).alias("r"))
+        pieces = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), first, step, lambda acc: F.slice(acc["p"], 2, F.size(acc["p"]) - 2))
         ids = F.when(n == 0, none).when(n > F.lit((1 << 31) - 1 if most is None else most), F.lit(None))
-        return _let(_rank(buckets, whole), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(ids.otherwise(F.transform(pieces, lambda p: _rank(buckets, p)))))
+        return _let(_rank(buckets, whole), "array<int>", lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(ids.otherwise(F.transform(pieces, lambda p: _rank(buckets, p)))))
 
-    return words.withColumn("ids", _let(literal_ranks(ranks), lambda buckets: folded(F.col(f"`{word}`"), buckets)))
+    return words.withColumn("ids", _let(literal_ranks(ranks), "array<int>", lambda buckets: folded(F.col(f"`{word}`"), buckets)))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -159,6 +163,19 @@ class Splitter:
         first, *rest = text.split(" ")
         return first, rest
 
+    def joined(self, chunks: set[str], most: int = 10_000):
+        """Texts with the words of the chunks: a space before each, and many in one text where that changes no match."""
+        some = []
+        for chunk in chunks:
+            if not chunk or chunk[0].isspace():
+                yield " " + chunk
+                continue
+            some.append(chunk)
+            if len(some) == most:
+                yield " " + " ".join(some)
+                some = []
+        yield "".join(" " + chunk for chunk in some)
+
 
 def _asked(dealt: DataFrame, n: int, pattern: str) -> DataFrame:
     """Packs of each bucket's different words."""
@@ -177,8 +194,8 @@ def _asked(dealt: DataFrame, n: int, pattern: str) -> DataFrame:
         yield out(splitter, now, found, chunks)
 
     def out(splitter, bucket, found, chunks):
-        for chunk in chunks:
-            found.update(splitter.words(" " + chunk))
+        for some in splitter.joined(chunks):
+            found.update(splitter.words(some))
         words = sorted(w.encode() for w in found)  # neighbours alike: smaller packs
         place = np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
         packs = ((k, [words[i] for i in of.tolist()]) for k, of in bucketed.sliced(place, n))
@@ -188,17 +205,27 @@ def _asked(dealt: DataFrame, n: int, pattern: str) -> DataFrame:
 
 
 class Coder(dict):
-    """Ids (as bytes) of chunks without the space before them, put together from those of words when first met."""
+    """Ids (as bytes) of chunks without the space before them.
+
+    A word that begins with a space is a chunk and stands here from the start; other chunks are
+    put together from their words when first met.
+    """
+
+    def __init__(self, splitter: Splitter):
+        self.splitter, self.known = splitter, {}
 
-    def __init__(self, splitter: Splitter, known: dict[str, bytes]):
-        self.splitter, self.known = splitter, known
+    def learn(self, word: str, ids: bytes) -> None:
+        if word[:1] == " ":
+            self[word[1:]] = ids
+        else:
+            self.known[word] = ids
 
     def __missing__(self, chunk: str) -> bytes:
         self[chunk] = ids = self.words(" " + chunk)
         return ids
 
     def words(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.splitter.words(text)))
+        return b"".join([self[w[1:]] if w[:1] == " " else self.known[w] for w in self.splitter.words(text)])
 
     def encode(self, text: str) -> bytes:
         first, rest = self.splitter.chunks(text)
@@ -267,11 +294,10 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     answers = asked.groupBy("slice").cogroup(table.groupBy("slice")).applyInArrow(_answered, bucketed.PACKS)
 
     def encode(own: pa.Table, found: pa.Table) -> pa.Table:
-        known: dict[str, bytes] = {}
+        coder, batches = Coder(Splitter(pattern)), []
         for keys, values in zip(found["keys"], found["n"], strict=True):
-            words = (w.decode() for w in textops.unlisted(keys.as_buffer()))
-            known.update(zip(words, textops.unlisted(values.as_buffer()), strict=True))
-        coder, batches = Coder(Splitter(pattern), known), []
+            for word, ids in zip(textops.unlisted(keys.as_buffer()), textops.unlisted(values.as_buffer()), strict=True):
+                coder.learn(word.decode(), ids)
         for batch in own.to_batches(max_chunksize=BATCH):
             coded = [coder.encode(body.decode()) for body in textops.unsqueezed(batch.column("body"))]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
