@@ -76,5 +76,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+#: crc32 of a text's bytes: ``crc_table`` has the 256 steps of a byte, ``crc(x)`` folds them.
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS steps)"""
+
+
+def crc(text: str) -> str:
+    """SQL for the unsigned crc32 of ``text``, where ``steps`` is at hand."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST(concat('0x', h) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(steps[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295)"
+
+
+def _op12() -> str:
+    from cairnfield.llm import sharding
+    from cairnfield.llm.queries import GROWN, SHARDS
+
+    def place(shards: int, out: str) -> str:
+        """Shards by three levels of least draws; the tree is a list of rows."""
+        leaves = sharding.planned(shards)
+        weights: dict[str, float] = {}
+        for x in leaves:
+            for node in (x.region, f"{x.region}/{x.rack}"):
+                weights[node] = weights.get(node, 0.0) + x.weight
+        rows = sorted({(1, "", x.region, weights[x.region], -1) for x in leaves})
+        rows += sorted({(2, x.region, f"{x.region}/{x.rack}", weights[f"{x.region}/{x.rack}"], -1) for x in leaves})
+        rows += [(3, f"{x.region}/{x.rack}", f"{x.region}/{x.rack}/{x.shard}", x.weight, x.shard) for x in leaves]
+        values = ", ".join(repr(r) for r in rows)
+        draw = f"-ln(CAST(concat('0x', substr(md5(concat(t.name, ':', k.name)), 1, 8)) AS BIGINT) / 4294967296.0 + {sharding.HALF!r}) / t.weight"
+
+        def level(n: int, above: str, parent: str) -> str:
+            return f"""{out}_{n} AS (
+  SELECT k.name, arg_min(t.name, {draw}) AS node, arg_min(t.shard, {draw}) AS shard
+  FROM {above} k JOIN {out}_tree t ON t.level = {n} AND t.parent = {parent} GROUP BY k.name)"""
+
+        return f"""{out}_tree(level, parent, name, weight, shard) AS (VALUES {values}),
+{level(1, "names", "''")},
+{level(2, f"{out}_1", "k.node")},
+{level(3, f"{out}_2", "k.node")}"""
+
+    return f"""
+WITH {CRC_TABLE},
+rows AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS name,
+    CAST(octet_length(encode(coalesce(text, ''))) + {sharding.ROW_BYTES} AS BIGINT) AS size,
+    CAST({crc("coalesce(text, '')")} AS BIGINT) AS text_crc32
+  FROM documents, crc_table),
+names AS (SELECT DISTINCT name FROM rows),
+{place(SHARDS, "now")},
+{place(GROWN, "later")},
+parts AS (
+  SELECT r.*, {crc("concat(name, ':', text_crc32)")} % {sharding.SLICES} AS part FROM rows r, crc_table)
+SELECT p.doc_id, size, text_crc32, 'key' AS law, CAST(n.shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY n.shard ORDER BY part, p.doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(l.shard AS INTEGER) AS grown_shard
+FROM parts p JOIN now_3 n ON n.name = p.name JOIN later_3 l ON l.name = p.name"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2(), "op3_quality_rules": OP3}
+    return {"op2_url_filter": _op2(), "op3_quality_rules": OP3, "op12_hash_tree": _op12()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import byte_bpe, jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, substring_dedup, url_filter
+from cairnfield.llm import byte_bpe, jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, sharding, substring_dedup, url_filter
 from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,8 @@ URL_RULES = [
 
 #: One fold in so many is held out; a document with at least this score is kept.
 FOLDS, LM_FOLDS, KEEP_FROM = 5, 10, 0.3
+#: Shards of op12, and with one more.
+SHARDS, GROWN = 40, 41
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +92,11 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shards(docs, sharding.planned(SHARDS), sharding.planned(GROWN))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -102,6 +109,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_packing": op9_packing,
         "op10_order_minhash": op10_order_minhash,
+        "op12_hash_tree": op12_hash_tree,
     }
 
 
