@@ -132,5 +132,46 @@ SELECT p.doc_id, size, text_crc32, 'key' AS law, CAST(n.shard AS INTEGER) AS sha
 FROM parts p JOIN now_3 n ON n.name = p.name JOIN later_3 l ON l.name = p.name"""
 
 
+def _op13() -> str:
+    from cairnfield.llm import spelling
+
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[{spelling.LETTERS}]+')) AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY id, run),
+hashed AS (SELECT run, n, {crc("concat(id, ':', run)")} AS h FROM counted, crc_table),
+lost AS (
+  SELECT n, CASE WHEN h % {spelling.DROP_ONE_IN} = 0
+    THEN concat(substring(run, 1, h % length(run)), substring(run, h % length(run) + 2)) ELSE run END AS word FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM lost WHERE length(word) >= {spelling.LEAST_LENGTH}
+  GROUP BY word HAVING sum(n) >= {spelling.LEAST_N}),
+cuts AS (
+  SELECT word, i, concat(substring(word, 1, i), substring(word, i + 2)) AS rest
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, c.rest FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT c.rest, c.word FROM cuts c JOIN words w ON c.rest = w.word),
+ranked AS (
+  SELECT p.word, p.other, w.n, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.other) AS r,
+    count(*) OVER (PARTITION BY p.word) AS n_near
+  FROM pairs p JOIN words w ON w.word = p.other),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+    CASE WHEN r.n >= {spelling.COMMONER} * w.n THEN r.other END AS form,
+    CASE WHEN r.n >= {spelling.COMMONER} * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+chain AS (
+  SELECT word, word AS root FROM formed
+  UNION SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed g ON g.word = c.root AND g.form IS NULL"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2(), "op3_quality_rules": OP3, "op12_hash_tree": _op12()}
+    return {"op2_url_filter": _op2(), "op3_quality_rules": OP3, "op12_hash_tree": _op12(), "op13_errata_trie": _op13()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import byte_bpe, jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, sharding, substring_dedup, url_filter
+from cairnfield.llm import byte_bpe, jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, sharding, spelling, substring_dedup, url_filter
 from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,10 @@ def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(docs, sharding.planned(SHARDS), sharding.planned(GROWN))
 
 
+def op13_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -110,6 +114,7 @@ def queries() -> dict[str, Query]:
         "op9_packing": op9_packing,
         "op10_order_minhash": op10_order_minhash,
         "op12_hash_tree": op12_hash_tree,
+        "op13_errata_trie": op13_errata_trie,
     }
 
 
