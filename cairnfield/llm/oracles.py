@@ -87,6 +87,26 @@ def crc(text: str) -> str:
     return f"xor(list_reduce({octets}, lambda c, b: xor(steps[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295)"
 
 
+OP11 = """
+WITH rows AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) IS NOT FALSE),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.id <> b.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score
+  FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 100 * n.score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id) <= 10"""
+
+
 def _op12() -> str:
     from cairnfield.llm import sharding
     from cairnfield.llm.queries import GROWN, SHARDS
@@ -174,4 +194,4 @@ FROM formed f JOIN chain c ON c.word = f.word JOIN formed g ON g.word = c.root A
 
 
 def sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2(), "op3_quality_rules": OP3, "op12_hash_tree": _op12(), "op13_errata_trie": _op13()}
+    return {"op2_url_filter": _op2(), "op3_quality_rules": OP3, "op11_dual_tree": OP11, "op12_hash_tree": _op12(), "op13_errata_trie": _op13()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import byte_bpe, jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, sharding, spelling, substring_dedup, url_filter
+from cairnfield.llm import byte_bpe, hard_negatives, jaccard_join, language_id, order_minhash, packing, ppm, quality_gam, quality_rules, sharding, spelling, substring_dedup, url_filter
 from cairnfield.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shards(docs, sharding.planned(SHARDS), sharding.planned(GROWN))
@@ -113,6 +119,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_packing": op9_packing,
         "op10_order_minhash": op10_order_minhash,
+        "op11_dual_tree": op11_dual_tree,
         "op12_hash_tree": op12_hash_tree,
         "op13_errata_trie": op13_errata_trie,
     }
