@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnfield.plans import catalogue_queries, file_queries, metric_queries, priority_queries, report_queries
+from cairnfield.plans import catalogue_queries, file_queries, geometry_queries, metric_queries, priority_queries, report_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (catalogue_queries, metric_queries, priority_queries, report_queries, file_queries)
+MODULES = (catalogue_queries, metric_queries, priority_queries, report_queries, file_queries, geometry_queries)
 
 
 def queries() -> dict[str, Query]:
