@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.sources import files
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); one below the warehouse where that is unset, as in tests."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the cluster's shared folder; cuts the lineage of a loop.
+    """The rows as a table in the cluster's shared folder.
 
-    The folder is that of spark.checkpoint.dir; where the setting is absent, as in tests, one
-    below the warehouse is used.
+    It cuts the lineage of a loop and survives lost executors, and unlike a checkpoint it has the size
+    of its own files: a checkpoint inherits an estimate that each join of a loop multiplies.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_base(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Delete what ``kept`` wrote, once nothing reads it any more; frames of other origin stay."""
+    path = getattr(df, "_kept_path", None)
+    if path is None:
+        return
+    try:
+        system, inner = files.store(path)
+    except (OSError, ValueError, ImportError):  # a store that only Spark reaches: the folder's owner clears it
+        return
+    system.delete_dir(inner)
 
 
 def same(before: DataFrame, after: DataFrame, value: str) -> bool:

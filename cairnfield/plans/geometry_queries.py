@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.plans.analogues import buildings, with_sql
+from cairnfield.operators import labelling
+from cairnfield.plans.analogues import buildings, mask, with_sql
+from cairnfield.plans.priority_queries import _CC
 from cairnfield.sources import geometry
 from cairnfield.streaming.metrics import shared_folder
 
@@ -44,12 +46,48 @@ def geometry_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("building_id", F.col("geometry.kind").alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (geometry_roundtrip, geometry_box)}
+def component_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the components of the label masks: parts, holes, corners, area and box."""
+    rows = labelling.polygonise(mask(spark, sf_dir), 40, affine=(0.0, 10.0, 0.0, 10.0))
+    g = F.col("geometry")
+    n = F.size(F.flatten(F.flatten(g["parts"]))).cast("long")
+    box = geometry.bbox(g)
+    return rows.select("tile_id", "component", "pixel_count", F.size(g["parts"]).cast("long").alias("n_parts"), "n_holes", n.alias("n_vertices"), F.round(geometry.area(g), 3).alias("area"), *[box[c].alias(c) for c in geometry.BOX])
+
+
+def component_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point inside of each component, and the component of the pixel that it lies in."""
+    pixels = mask(spark, sf_dir)
+    shapes = labelling.polygonise(pixels, 40).select("tile_id", "component", geometry.interior_point(F.col("geometry")).alias("p"))
+    at = shapes.select("tile_id", "component", F.floor("p.y").cast("int").alias("row"), F.floor("p.x").cast("int").alias("col"))
+    own = labelling.connected_components(pixels, width=40).withColumnRenamed("component", "found")
+    return at.join(own, ["tile_id", "row", "col"], "left").select("tile_id", "component", F.coalesce("found", F.lit(-1)).alias("found"))
+
+
+QUERIES = {f.__name__: f for f in (geometry_roundtrip, geometry_box, component_polygons, component_points)}
 
 _SHAPES = f"""{with_sql('buildings')}, shapes AS (
   SELECT building_id, x, y, CAST([1, 2, 3, 6][building_id % 4 + 1] AS INTEGER) AS kind, CAST([1, 3, 10, 10][building_id % 4 + 1] AS INTEGER) AS n,
     [0.0, 0.0, 375.0, 125.0][building_id % 4 + 1]::DOUBLE AS area, [0, 30, 20, 25][building_id % 4 + 1] AS w, [0, 40, 20, 25][building_id % 4 + 1] AS h FROM buildings)"""
+# Parts share sides. A part's holes follow from its corners, sides and pixels (Euler); its corners from the pixels around each.
+_PARTS = _CC + """,
+n4 AS (SELECT a.tile_id, a.pixel AS f, b.pixel AS t FROM px a JOIN px b ON a.tile_id = b.tile_id AND abs(a."row" - b."row") + abs(a.col - b.col) = 1),
+walk4(tile_id, pixel, label) USING KEY (tile_id, pixel) AS (SELECT tile_id, pixel, pixel FROM px UNION (
+  SELECT n4.tile_id, n4.t, min(w.label) FROM walk4 w JOIN n4 ON n4.tile_id = w.tile_id AND n4.f = w.pixel JOIN recurring.walk4 AS old ON old.tile_id = n4.tile_id AND old.pixel = n4.t WHERE w.label < old.label GROUP BY n4.tile_id, n4.t)),
+c4 AS (SELECT cc.*, w.label AS part FROM cc JOIN walk4 w ON w.tile_id = cc.tile_id AND w.pixel = "row" * 40 + col),
+corners AS (SELECT tile_id, component, part, "row" + dr AS vr, col + dc AS vc, count(*) AS n, count(DISTINCT "row") + count(DISTINCT col) AS spread FROM c4, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc) GROUP BY 1, 2, 3, 4, 5),
+sides AS (SELECT DISTINCT tile_id, part, 2 * "row" + 1 + dr AS sr, 2 * col + 1 + dc AS sc FROM c4, (VALUES (-1, 0), (0, 1), (1, 0), (0, -1)) d(dr, dc)),
+holes AS (
+  SELECT p.tile_id, p.component, p.part, 1 - (v.n - s.n + p.n) AS holes, v.turns
+  FROM (SELECT tile_id, component, part, count(*) AS n FROM c4 GROUP BY 1, 2, 3) p
+  JOIN (SELECT tile_id, part, count(*) AS n, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND spread = 4 THEN 2 ELSE 0 END) AS turns FROM corners GROUP BY 1, 2) v ON v.tile_id = p.tile_id AND v.part = p.part
+  JOIN (SELECT tile_id, part, count(*) AS n FROM sides GROUP BY 1, 2) s ON s.tile_id = p.tile_id AND s.part = p.part)"""
 ORACLES = {
+    "component_polygons": f"""{_PARTS}
+SELECT c.*, n_parts, n_holes, n_vertices FROM (
+  SELECT tile_id, component, count(*) AS pixel_count, count(*) * 100.0::DOUBLE AS area, min(col) * 10.0::DOUBLE AS xmin, min("row") * 10.0::DOUBLE AS ymin, (max(col) + 1) * 10.0::DOUBLE AS xmax, (max("row") + 1) * 10.0::DOUBLE AS ymax FROM cc GROUP BY 1, 2) c
+JOIN (SELECT tile_id, component, count(*) AS n_parts, CAST(sum(holes) AS BIGINT) AS n_holes, CAST(sum(turns + 1 + holes) AS BIGINT) AS n_vertices FROM holes GROUP BY 1, 2) h USING (tile_id, component)""",
+    "component_points": f"{_CC} SELECT DISTINCT tile_id, component, component AS found FROM cc",
     "geometry_roundtrip": f"{_SHAPES} SELECT building_id, kind, n, area, round(x, 4) AS xmin, round(y, 4) AS ymin, round(x + w, 4) AS xmax, round(y + h, 4) AS ymax, '{CRS}' AS crs FROM shapes",
     "geometry_box": f"{_SHAPES} SELECT building_id, kind FROM shapes WHERE x <= {WITHIN[2]} AND x + w >= {WITHIN[0]} AND y <= {WITHIN[3]} AND y + h >= {WITHIN[1]}",
 }

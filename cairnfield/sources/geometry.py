@@ -83,6 +83,37 @@ def area(geometry: Column) -> Column:
     return F.when(geometry["kind"].isin(POLYGON, POLYGONS), total).otherwise(F.when(geometry["kind"].isNotNull(), F.lit(0.0)))
 
 
+def interior_point(shape: Column) -> Column:
+    """A point inside of polygons: the middle of the widest piece of a line across them; null for other kinds.
+
+    The line runs level, half-way between two heights of vertices, as near to the middle of the box as such a pair lies.
+    """
+    rings = F.flatten(shape["parts"])
+    heights = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
+    n = F.size(heights)
+    middle = (F.element_at(heights, 1) + F.element_at(heights, -1)) / 2
+    lines = F.zip_with(F.slice(heights, F.lit(1), n - 1), F.slice(heights, F.lit(2), n - 1), lambda a, b: (a + b) / 2)
+    level = F.array_min(F.transform(lines, lambda y: F.struct(F.abs(y - middle).alias("off"), y.alias("y"))))["y"]
+
+    def pieces(y: Column) -> Column:
+        def crossings(ring: Column) -> Column:
+            m = F.size(ring) - 1
+            ends = F.zip_with(F.slice(ring, F.lit(1), m), F.slice(ring, F.lit(2), m), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            cut = F.filter(ends, lambda e: (e["a"]["y"] < y) != (e["b"]["y"] < y))
+            return F.transform(cut, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"]))
+
+        x = F.array_sort(F.flatten(F.transform(rings, crossings)))
+        return _let(x, lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda k: F.struct((F.get(v, 2 * k + 1) - F.get(v, 2 * k)).alias("wide"), (-F.get(v, 2 * k)).alias("first"), vertex((F.get(v, 2 * k) + F.get(v, 2 * k + 1)) / 2, y).alias("p"))))
+
+    inside = _let(level, lambda y: F.array_max(pieces(y))["p"])
+    return F.when(shape["kind"].isin(POLYGON, POLYGONS) & (n > 1), inside)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # the binary form
 
 

@@ -106,3 +106,94 @@ def test_reference_systems_must_agree(spark, tmp_path):
         G.require_same_crs(a, c)
     G.write_geometries(points(spark, 5).limit(0), str(tmp_path / "none"), "EPSG:4326")
     assert G.read_geometries(spark, str(tmp_path / "none"), (0.0, 0.0, 1.0, 1.0)).count() == 0
+
+
+# outlines of masks
+
+
+def flood(pixels: set, near) -> dict:
+    """The least pixel of each pixel's component."""
+    label = {}
+    for start in sorted(pixels):
+        if start in label:
+            continue
+        label[start], stack = start, [start]
+        while stack:
+            r, c = stack.pop()
+            for dr, dc in near:
+                q = (r + dr, c + dc)
+                if q in pixels and q not in label:
+                    label[q] = start
+                    stack.append(q)
+    return label
+
+
+FOUR = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+EIGHT = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
+
+
+def inside(shape, x: float, y: float) -> bool:
+    """Even or odd crossings to the left, over all rings."""
+    odd = False
+    for part in shape["parts"]:
+        for ring in part:
+            for a, b in zip(ring, ring[1:]):
+                if (a["y"] < y) != (b["y"] < y) and a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"]) < x:
+                    odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("block", [6, 64])
+def test_polygons_are_the_masks(spark, block):
+    from cairnfield.operators import labelling
+
+    rng = random.Random(block)
+    side, masks = 21, {}
+    for tile, density in enumerate((0.25, 0.5, 0.75)):
+        masks[tile] = {(r, c) for r in range(side) for c in range(side) if rng.random() < density}
+    masks[3] = {(r, c) for r in range(side) for c in range(side) if not (r % 4 == 1 and 0 < c < side - 1 and c % 3)}  # many holes
+    masks[4] = {(0, 0), (1, 1), (2, 2), (2, 0), (1, 3)}
+    mask = spark.createDataFrame([(t, r, c) for t, m in masks.items() for r, c in m] + [(4, 0, 0)] * 3, "tile_id long, row int, col int")
+    labels = {(r.tile_id, r.row, r.col): r.component for r in labelling.connected_components(mask, 8, 100, block).collect()}
+    want = {(t, *p): q[0] * 100 + q[1] for t, m in masks.items() for p, q in flood(m, EIGHT).items()}
+    assert labels == want
+    rows = labelling.polygonise(mask, 100, block).withColumn("area", G.area(F.col("geometry"))).withColumn("p", G.interior_point(F.col("geometry"))).collect()
+    assert {(r.tile_id, r.component) for r in rows} == {(k[0], v) for k, v in want.items()}
+    for r in rows:
+        own = {k[1:] for k, v in want.items() if (k[0], v) == (r.tile_id, r.component)}
+        assert r.pixel_count == len(own) == r.area
+        parts = len(set(flood(own, FOUR).values()))
+        outside = {(y, x) for y in range(-1, side + 1) for x in range(-1, side + 1)} - own
+        lone = flood(own, FOUR)  # around each part, what shares sides and isn't the outside is a hole
+        assert r.n_holes == sum(len(set(flood((own | outside) - {p for p in own if lone[p] == part}, FOUR).values())) - 1 for part in set(lone.values()))
+        assert len(r.geometry["parts"]) == parts and r.geometry["kind"] == (3 if parts == 1 else 6)
+        assert {(y, x) for y, x in own | outside if inside(r.geometry, x + 0.5, y + 0.5)} == own
+        for part in r.geometry["parts"]:
+            for ring in part:
+                assert ring[0] == ring[-1] and len(ring) >= 5
+                assert all((a["x"] == b["x"]) != (b["x"] == c["x"]) for a, b, c in zip(ring, ring[1:], ring[2:]))
+        assert (int(r.p.y), int(r.p.x)) in own and inside(r.geometry, r.p.x, r.p.y)
+
+
+def test_points_lie_inside_of_any_polygon(spark):
+    shapes = [
+        (3, [[[(0.0, 0.0), (10.0, 0.0), (10.0, 9.0), (5.0, 1.0), (0.0, 9.0), (0.0, 0.0)]]]),
+        (3, [[[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)], [(1.0, 1.0), (1.0, 8.0), (8.0, 8.0), (8.0, 1.0), (1.0, 1.0)]]]),
+        SHAPES[5],
+        SHAPES[1],
+        (3, []),
+        None,
+    ]
+    rows = frame(spark, shapes).withColumn("p", G.interior_point(F.col("geometry"))).orderBy("id").collect()
+    for r in rows[:3]:
+        assert inside(r.geometry, r.p.x, r.p.y)
+    assert [r.p for r in rows[3:]] == [None, None, None]
+
+
+def test_affine_and_empty_masks(spark):
+    from cairnfield.operators import labelling
+
+    mask = spark.createDataFrame([("t", 2, 3)], "tile_id string, row int, col int")
+    (r,) = labelling.polygonise(mask, affine=(500.0, 2.0, 900.0, -2.0)).collect()
+    assert plain(r.geometry)[0] == 3 and {tuple(p) for p in plain(r.geometry)[1][0][0]} == {(506.0, 896.0), (508.0, 896.0), (508.0, 894.0), (506.0, 894.0)}
+    assert labelling.polygonise(mask.limit(0)).count() == 0 and labelling.connected_components(mask.limit(0)).count() == 0
