@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
 from cairnfield.operators import order as ordered
 from cairnfield.operators.iterate import kept
+from cairnfield.operators.paths import distances
 from cairnfield.operators.scalars import with_scalars
 from cairnfield.operators.spatial import near_segments
 
 
+__all__ = ["accessibility", "distances", "edges", "length", "road_risk", "segments", "usable_lines"]
+
+
 def usable_lines(roads: DataFrame, coords: str = "coords") -> DataFrame:
     """Lines with at least two vertices and some length; ``coords`` is an array of (x, y)."""
     return roads.where(F.size(coords) >= 2).where(F.exists(F.col(coords), lambda p: (p["x"] != F.col(coords)[0]["x"]) | (p["y"] != F.col(coords)[0]["y"])))
@@ -60,28 +62,6 @@ def edges(risk_roads: DataFrame, multiplier: float = 4.0, order: str = "road_id"
     return rows.where("normal_cost > 0 AND u <> v").groupBy("u", "v").agg(best.alias("e")).select("u", "v", "e.*")
 
 
-def distances(graph: DataFrame, sources: DataFrame, cost: str, u: str = "u", v: str = "v", node: str = "node", most_rounds: int | None = None) -> DataFrame:
-    """Least cost from any source to each node that can be reached: (node, cost).
-
-    Rounds of relaxation; only nodes whose cost fell in the last round pass it on, so a round's
-    work is that of its frontier. Ends when no cost falls; a bound on the rounds that comes before
-    that is an error.
-    """
-    both = kept(graph.select(F.col(u).alias("a"), F.col(v).alias("b"), F.col(cost).alias("w")).union(graph.select(F.col(v), F.col(u), F.col(cost))))
-    known = kept(sources.select(F.col(node).alias("n")).distinct().withColumn("d", F.lit(0.0)))
-    frontier = known
-    for done in itertools.count():
-        step = frontier.join(both, F.col("n") == F.col("a")).groupBy(F.col("b").alias("n")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
-        better = step.join(known, "n", "left").where("d IS NULL OR new < d").select("n", F.col("new").alias("d"))
-        frontier = kept(better)
-        if not frontier.limit(1).count():
-            break
-        if most_rounds is not None and done >= most_rounds:
-            raise RuntimeError(f"Costs still fall after {most_rounds} rounds")
-        known = kept(known.union(frontier).groupBy("n").agg(F.min("d").alias("d")))
-    return known.select(F.col("n").alias(node), F.col("d").alias("cost"))
-
-
 #: The status of a cell.
 AT_RISK, ISOLATED = "estimated accessibility risk", "estimated isolation under current risk model"
 

@@ -148,8 +148,8 @@ def test_polygons_are_the_masks(spark, block):
     from cairnfield.operators import labelling
 
     rng = random.Random(block)
-    side, masks = 21, {}
-    for tile, density in enumerate((0.25, 0.5, 0.75)):
+    side, masks = 13, {}
+    for tile, density in enumerate((0.3, 0.5, 0.75)):
         masks[tile] = {(r, c) for r in range(side) for c in range(side) if rng.random() < density}
     masks[3] = {(r, c) for r in range(side) for c in range(side) if not (r % 4 == 1 and 0 < c < side - 1 and c % 3)}  # many holes
     masks[4] = {(0, 0), (1, 1), (2, 2), (2, 0), (1, 3)}

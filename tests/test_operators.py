@@ -329,9 +329,68 @@ def test_draws_and_ranges_are_the_references():
 def test_distances_never_stop_short(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "u long, v long, w double")
     start = spark.createDataFrame([(0,)], "node long")
-    assert {r.node: r.cost for r in graph.distances(chain, start, "w", most_rounds=4).collect()} == {i: float(i) for i in range(5)}
     with pytest.raises(RuntimeError, match="3 rounds"):
-        graph.distances(chain, start, "w", most_rounds=3)
+        graph.distances(chain, start, "w", most_rounds=3, block=1)
+    assert graph.distances(chain, start, "w", most_rounds=1).count() == 5  # one block
+
+
+def plain_distances(edges, sources):
+    import heapq
+
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    cost, queue = {}, [(0.0, s) for s in sources]
+    while queue:
+        d, n = heapq.heappop(queue)
+        if n not in cost:
+            cost[n] = d
+            for m, w in near.get(n, []):
+                heapq.heappush(queue, (d + w, m))
+    return cost
+
+
+@pytest.mark.parametrize("places", [True, False])
+def test_distances_over_blocks_match_a_plain_search(spark, places):
+    import random
+
+    rng = random.Random(9)
+    at = {i: (round(rng.random() * 100, 3), round(rng.random() * 100, 3)) for i in range(400)}
+    edges = []
+    for i in range(400):
+        for j in rng.sample(range(400), 12):
+            d = ((at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2) ** 0.5
+            if 0 < d < 14 or rng.random() < 0.002:
+                edges.append((i, j, float(int(d * 8 + 1))))
+    sources = [3, 77, 399, 1000]  # the last has no edges
+    at[1000] = (50.0, 50.0)
+    name = (lambda i: at[i]) if places else (lambda i: i)
+    kind = "struct<x: double, y: double>" if places else "long"
+    graph_ = spark.createDataFrame([(name(a), name(b), w) for a, b, w in edges] + [(name(5), None, 1.0), (name(5), name(6), None)], f"u {kind}, v {kind}, w double")
+    start = spark.createDataFrame([(name(s),) for s in sources * 2] + [(None,)], f"node {kind}")
+    want = {name(n): d for n, d in plain_distances(edges, sources).items()}
+    rows = graph.distances(graph_, start, "w", block=60 if places else 10_000).collect()
+    got = {(tuple(r.node) if places else r.node): r.cost for r in rows}
+    assert len(rows) == len(got) and got == want
+    if not places:
+        assert graph.distances(graph_, start.limit(0), "w").count() == 0
+        with pytest.raises(Exception, match="negative"):
+            graph.distances(graph_.withColumn("w", -F.col("w")), start, "w")
+
+
+def test_a_long_chain_is_written_about_once(spark, monkeypatch):
+    from cairnfield.operators import paths
+
+    written = []
+    monkeypatch.setattr(paths, "kept", lambda df, own=paths.kept: written.append(own(df)) or written[-1])
+    monkeypatch.setattr(paths, "released", lambda df: None)
+    chain = spark.range(10_000).selectExpr("id AS u", "id + 1 AS v", "1.0D AS w")
+    start = spark.createDataFrame([(4_000,)], "node long")
+    found = paths.distances(chain, start, "w", block=1_000)
+    assert found.count() == 10_001 and found.where("cost <> abs(node - 4000)").count() == 0
+    logs = [w for w in written if w.columns == ["block", "kind", "keys", "values"]][1:]  # without the edges
+    assert len(logs) < 12 and sum(r.n or 0 for w in logs for r in w.selectExpr("sum(length(values)) DIV 8 AS n").collect()) < 2.2 * 10_001
 
 
 def test_quantiles_and_numbers_of_ties(spark):
