@@ -51,9 +51,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 #: The steps before the model for which chunks may be tokenised on their own.
@@ -72,7 +70,9 @@ CHUNKED = {
 def is_chunked(path: str) -> bool:
     with open(path, encoding="utf-8") as file:
         found = json.load(file)
-    return all(found.get(k) == v for k, v in CHUNKED.items())
+    added = found.get("added_tokens") or []  # those that stand in a text as they are written stay within a chunk
+    plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and len(t["content"].split()) == 1 for t in added)
+    return plain and all(found.get(k) == v for k, v in CHUNKED.items())
 
 
 class WholeEncoder:
@@ -94,12 +94,14 @@ class ChunkEncoder:
     """Ids of texts through a table of chunks; ids are little-endian unsigned 32-bit.
 
     Printable ASCII is its own byte-level form, so such a chunk is lower-cased and cut here and
-    the tokenizer's model sees each of its pre-tokens once; other chunks take the whole tokenizer.
+    the tokenizer's model sees each of its pre-tokens once; other chunks, and those in which
+    an added token (``<|endoftext|>``) is written out, take the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.pre_tokens: dict[str, bytes] = {}
@@ -118,7 +120,7 @@ class ChunkEncoder:
         others = []
         for chunk in chunks:
             text = chunk.decode()
-            if text.isascii() and text.isprintable():
+            if text.isascii() and text.isprintable() and not any(t in text for t in self.added):
                 self.memo[chunk] = b"".join(map(self._pre_token, PRE_TOKEN.findall(text.lower())))
             else:
                 others.append((chunk, text))

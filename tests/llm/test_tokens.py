@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from cairnfield.llm import byte_bpe, packing
 
@@ -77,7 +78,9 @@ def test_packing(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
+    special = odd_docs.limit(1).withColumns({"doc_id": F.lit(77).cast("long"), "text": F.lit("end <|endoftext|> start a<|startoftext|><|EndOfText|>b")})
+    assert tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids == [49407]
+    odd_docs = odd_docs.union(special)
     rows = packing.pack_documents(odd_docs, WORDS, ids=True).collect()
     want = []
     for r in odd_docs.collect():
@@ -103,10 +106,9 @@ def test_chunks_need_no_context(tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     encode = packing.ChunkEncoder(WORDS)
     rng = random.Random(3)
-    alphabet = ["a", "B", "'s", "don't", "9", "!", "##", " ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "é", "é", "Σ", "İ", "漢", "🙂", "<|endoftext|>", "\x00"]
+    alphabet = ["a", "B", "'s", "don't", "9", "!", "##", " ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "é", "é", "Σ", "İ", "漢", "🙂", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "\x00"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(500)]
     for text, ids in zip(texts, encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
