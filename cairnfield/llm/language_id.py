@@ -21,16 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.llm import textops
 from cairnfield.llm.common import ship
 
-#: About so many rows are learned from.
-SAMPLE_ROWS = 6_000
-#: Most different values of ``lang`` that are learned.
-MOST_LANGUAGES = 1_000
+#: At most so many rows are learned from, or LEAST_ROWS of each language where those are more.
+SAMPLE_ROWS, LEAST_ROWS = 6_000, 4
+#: Classes up to which random codes are compared, as that takes a table of all pairs of classes.
+MOST_COMPARED = 2_000
 TRIGRAMS = 2048
 WIDTH = TRIGRAMS + 256
 UNDETERMINED = "und"
@@ -75,7 +75,7 @@ def vectors(texts: pa.Array):
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of +1 and -1: exhaustive up to five classes, else the best of 50 random codes."""
+    """n rows of +1 and -1: exhaustive up to five classes, else the best of 50 random codes, or the first of very many classes."""
     if n <= 1:
         return np.ones((n, 0))
     if n <= 5:
@@ -85,7 +85,10 @@ def codewords(n: int) -> np.ndarray:
     bits, best, most = 8 * int(np.ceil(np.log2(n))), None, -1
     for seed in range(50):
         code = np.where(np.random.default_rng(seed).random((n, bits)) < 0.5, -1.0, 1.0)
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        if n > MOST_COMPARED:
+            return code
+        same = (bits + code @ code.T) / 2
+        apart = int(bits - (same - bits * np.eye(n)).max())
         if apart > most and not (np.abs(code.sum(0)) == n).any():
             best, most = code, apart
     return best if best is not None else code
@@ -102,7 +105,7 @@ class Decoder:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its share of belief, and by how much the next one is farther."""
         out = x @ self.weights + self.bias
-        loss = np.stack([(np.logaddexp(0, -out * word) * self.trust).sum(1) for word in self.code], axis=1)
+        loss = (np.logaddexp(0, -out) * self.trust) @ (self.code > 0).T + (np.logaddexp(0, out) * self.trust) @ (self.code < 0).T
         best = loss.argmin(1)
         least = loss[np.arange(len(x)), best]
         belief = 1 / np.exp(least[:, None] - loss).sum(1)
@@ -127,36 +130,38 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Decoder:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Decoder:
-    """Learn from rows with a language and a letter; the sample has about as many rows of each language.
+    """Learn from rows with a language and a letter, about as many of each language; every language is learned.
 
-    Of more than MOST_LANGUAGES values of ``lang`` the most frequent ones are learned.
+    Rows that agree in id, text and language count once. Those of the smallest hashes are taken, so
+    the sample depends on the rows alone; texts are taken whole, however long.
     """
     ship(docs.sparkSession)
-    known = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    counts = {r["lang"]: r["count"] for r in common.collect()}
-    if not counts:
+    body = F.col(f"`{text}`")
+    known = docs.where(F.col(f"`{lang}`").isNotNull()).where(body.rlike(r"\p{L}"))
+    known = known.select(F.xxhash64(F.col(f"`{key}`"), body).alias("h"), body.alias("text"), F.col(f"`{lang}`").alias("lang"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    languages = counts.count()
+    if not languages:
         return Decoder()
-    share = F.lit(None).cast("double")
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == name, min(1.0, rows / (len(counts) * n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    few = known.where(draw < share).where(F.col("text").rlike(r"\p{L}")).select("key", "lang", "text")
+    each = max(LEAST_ROWS, -(-rows // languages))
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    drawn = known.select("lang", "h").join(counts, "lang").where(draw < 2.0 * each / F.col("n")).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    chosen = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")  # within the bound above
+    few = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def describe(batches):
         for batch in batches:
             for first, x in vectors(textops.as_strings(batch.column("text"))):
                 part = batch.slice(first, len(x))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["key", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["h", "lang", "x"])
 
-    key_type = few.schema["key"].dataType.simpleString()
-    got = few.mapInArrow(describe, f"key {key_type}, lang string, x binary").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
+    got = few.mapInArrow(describe, "h long, lang string, x binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     seen = got["lang"].to_pylist()
     languages = sorted(set(seen))
-    if not languages:
-        return Decoder()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32)
-    return fit(x, np.array([languages.index(v) for v in seen]), languages)
+    place = {v: i for i, v in enumerate(languages)}
+    return fit(x, np.array([place[v] for v in seen]), languages)
 
 
 def identify(docs: DataFrame, model: Decoder, text: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -214,8 +214,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, text: str
     """
     ship(docs.sparkSession)
     chosen = (
-        labels.where(F.col(label).isNotNull())
-        .select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
+        labels.where(F.col(f"`{label}`").isNotNull())
+        .select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").cast("int").alias("__label"))
+        .distinct()  # repeated rows don't fill the bound; an id with both labels is learned with both
         .orderBy(F.xxhash64("__key"), "__key", "__label")
         .limit(rows)
     )

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cairnfield.llm import language_id, ppm, quality_gam
 
@@ -64,6 +65,46 @@ def test_language_held_out_and_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language_id.identify(docs.limit(3), one).collect()} == {"aa"}
 
 
+def _sizes(monkeypatch, module) -> list[tuple[int, int]]:
+    """Rows and different rows of each call of the module's ``fit``."""
+    seen = []
+    own = module.fit
+    monkeypatch.setattr(module, "fit", lambda x, *more: seen.append((len(x), len(np.unique(x, axis=0)))) or own(x, *more))
+    return seen
+
+
+def test_language_samples_are_bounded_whatever_the_ids(spark, monkeypatch):
+    seen = _sizes(monkeypatch, language_id)
+    monkeypatch.setattr(language_id, "STEPS", 2)
+    texts = [(7, f"{'ab' * (i % 50)} {chr(97 + i % 26)}{chr(97 + i // 26)} of one id" if i < 600 else "the same row again", ["aa", "bb"][i % 2]) for i in range(10_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    language_id.train(docs, rows=200)
+    assert seen[0][0] == 200 and seen[0][1] >= 190
+    language_id.train(docs.where("text = 'the same row again'"), rows=200)
+    assert seen[1][0] == 2  # of each language once
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = _sizes(monkeypatch, language_id)
+    monkeypatch.setattr(language_id, "STEPS", 2)
+    rows = [(i, f"word{i} of number {i}", f"l{i % 1500:04d}") for i in range(4 * 1500)] + [(-1, None, "none"), (-2, "12", "digits")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, rows=100)
+    assert model.languages == [f"l{i:04d}" for i in range(1500)] and seen[0][0] == 6000
+    assert {r.lang_pred for r in language_id.identify(docs.limit(20), model).collect()} <= set(model.languages) | {"und"}
+
+
+def test_quality_labels_that_repeat_do_not_fill_the_bound(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality")
+    repeated = labels.where("doc_id = 5").crossJoin(spark.range(10_000).select(F.lit(1).alias("k"))).drop("k")
+    both = spark.createDataFrame([(8, 1), (8, 0)], "doc_id long, quality int")
+    x, y = quality_gam.labelled_features(docs, labels.union(repeated).union(both), "quality", rows=100)
+    assert len(x) == len(y) == 100
+    x, y = quality_gam.labelled_features(docs.where("doc_id = 8"), both.union(both), "quality", rows=100)
+    assert sorted(y) == [0.0, 1.0] and (x[0] == x[1]).all()
+
+
 def _brute(learned: list[bytes], text: bytes, order: int = 5) -> float:
     """PPM by its definition, with dictionaries and nothing of the module: 0xFE pads, 0xFF ends."""
     counts: dict[bytes, Counter] = {}
