@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.operators import order
+from cairnfield.operators.iterate import kept
 from cairnfield.operators.scalars import with_scalars
 
 
@@ -106,38 +107,91 @@ def near_segments(points: DataFrame, segments: DataFrame, radius: float, side: f
     return both.where(near).drop("__ix", "__iy")
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str = "node", side: float = 500.0, most_rings: int = 64) -> DataFrame:
-    """The nearest node of each point: (key, node, d2); ties go to the smaller (x, y).
+#: Squares of the next level along a side of a square, the deepest level, and nodes of a leaf square.
+SPLIT, DEEPEST, LEAF_NODES = 4, 12, 64
+#: Levels up to this one have at most 4,096 squares and come as broadcasts.
+COARSE = 3
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _index(v: Column, low: float, side: float, level: int) -> Column:
+    n = SPLIT**level
+    return F.least(F.floor((v - low) / (side / n)), F.lit(n - 1)).cast("long")
+
+
+def pyramid(nodes: DataFrame, most: int = LEAF_NODES) -> tuple[DataFrame, list[DataFrame]]:
+    """Nodes (__node, __x, __y) with the leaf square (ix, iy) that each is in, and the levels from the root down.
 
-    Nodes are binned in squares. Points look in the squares around their own, in rings that double;
-    a point is done as soon as its best node is nearer than the searched rings reach. Each pass is
-    an equi-join of the points that are still open.
+    A level has (ix, iy, children): the occupied squares of the next level with the tight boxes of their nodes.
+    Levels go on until no leaf square holds more than ``most`` nodes.
     """
-    nodes = nodes.select(F.col(node).alias("__node"), F.col("x").alias("__x"), F.col("y").alias("__y"))
-    if not nodes.limit(1).count():
+    n, *ends = nodes.agg(F.count("*"), F.min("__x"), F.min("__y"), F.max("__x"), F.max("__y")).first()
+    if not n:
         raise ValueError("Road graph is empty")
-    binned = nodes.withColumns({"__ix": F.floor(F.col("__x") / side).cast("long"), "__iy": F.floor(F.col("__y") / side).cast("long")})
-    open_points = points.select(key, "x", "y")
-    done: DataFrame | None = None
-    reach = 1
-    from cairnfield.operators.iterate import kept
-
-    while True:
-        around = F.sequence(F.lit(-reach), F.lit(reach))
-        cells = open_points.withColumns({"__cx": F.floor(F.col("x") / side).cast("long"), "__cy": F.floor(F.col("y") / side).cast("long")})
-        cells = cells.withColumn("__ix", F.explode(F.transform(around, lambda d: F.col("__cx") + d))).withColumn("__iy", F.explode(F.transform(around, lambda d: F.col("__cy") + d)))
-        d2 = (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x")) + (F.col("y") - F.col("__y")) * (F.col("y") - F.col("__y"))
-        best = cells.join(binned, ["__ix", "__iy"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "__x", "__y", "__node")).alias("b"))
-        # everything within reach * side of the point has been searched
-        sure = best.where(F.col("b.d2") <= (reach * side) ** 2).select(key, F.col("b.__node").alias(node), F.col("b.d2").alias("d2"))
-        sure = kept(sure)
-        done = sure if done is None else done.union(sure)
-        open_points = kept(open_points.join(sure.select(key), key, "left_anti"))
-        if not open_points.limit(1).count():
-            return done
-        if reach >= most_rings:  # far outliers: wider squares take over
-            return done.union(nearest(open_points, nodes.select(F.col("__node").alias(node), F.col("__x").alias("x"), F.col("__y").alias("y")), key, node, side * most_rings, most_rings))
-        reach *= 4
+    side = max(ends[2] - ends[0], ends[3] - ends[1], 1e-9)
+
+    def placed(level: int) -> DataFrame:
+        return nodes.withColumns({"ix": _index(F.col("__x"), ends[0], side, level), "iy": _index(F.col("__y"), ends[1], side, level)})
+
+    depth = 1
+    while n > most * SPLIT ** (2 * depth) and depth < DEEPEST:
+        depth += 1
+    while depth < DEEPEST and placed(depth).groupBy("ix", "iy").count().agg(F.max("count")).first()[0] > most:
+        depth += 1
+    leaves = kept(placed(depth))
+    boxes = leaves.groupBy("ix", "iy").agg(F.min("__x").alias("x0"), F.min("__y").alias("y0"), F.max("__x").alias("x1"), F.max("__y").alias("y1"))
+    levels: list[DataFrame] = []
+    for _ in range(depth):
+        up = [F.floor(F.col(c) / SPLIT).cast("long").alias(c) for c in ("ix", "iy")]
+        grown = [(F.min if c.endswith("0") else F.max)(c).alias(c) for c in CORNERS]
+        level = kept(boxes.groupBy(*up).agg(F.collect_list(F.struct("ix", "iy", *CORNERS)).alias("children"), *grown))  # 16 at most
+        levels.insert(0, level.select("ix", "iy", "children"))
+        boxes = level.select("ix", "iy", *CORNERS)
+    return leaves, levels
+
+
+def box_bounds(x: Column, y: Column, box: Column) -> tuple[Column, Column]:
+    """Squared distances: no node of a tight box is nearer than the first, and one is at most as far as the second."""
+    gap = lambda v, a, b: F.greatest(box[a] - v, v - box[b], F.lit(0.0))
+    dx, dy = gap(x, "x0", "x1"), gap(y, "y0", "y1")
+
+    def sides(v: Column, a: str, b: str) -> tuple[Column, Column]:  # the nearer side's and the farther side's distance
+        one, two = F.abs(v - box[a]), F.abs(v - box[b])
+        return F.least(one, two), F.greatest(one, two)
+
+    (nx, fx), (ny, fy) = sides(x, "x0", "x1"), sides(y, "y0", "y1")
+    return dx * dx + dy * dy, F.least(nx * nx + fy * fy, fx * fx + ny * ny)
+
+
+def candidates(points: DataFrame, levels: list[DataFrame], key: str) -> list[DataFrame]:
+    """Of every level, the squares that may hold the nearest node of each point (key, x, y): (key, x, y, ix, iy).
+
+    From the root down, a square goes as soon as its nearest edge is farther than another square's nodes can be. What
+    stays is a few squares around the nearest node, whatever the distance to it or the nodes elsewhere.
+    """
+    now = points.select(key, "x", "y", F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"))
+    found = []
+    for k, level in enumerate(levels):
+        low, high = box_bounds(F.col("x"), F.col("y"), F.col("c"))
+        split = now.join(F.broadcast(level) if k <= COARSE else level, ["ix", "iy"]).select(key, "x", "y", F.explode("children").alias("c"))
+        split = split.select(key, "x", "y", "c.ix", "c.iy", low.alias("low"), high.alias("high"))
+        now = split.withColumn("least", F.min("high").over(Window.partitionBy(key))).where("low <= least").select(key, "x", "y", "ix", "iy")
+        found.append(now)
+    return found
+
+
+def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str = "node", most: int = LEAF_NODES) -> DataFrame:
+    """The nearest node of each point: (key, node, d2); ties go to the smaller (x, y).
+
+    A pyramid of squares over the nodes is searched from coarse to fine; the few leaf squares that are left
+    for a point then meet their nodes in an equi-join. Points without coordinates have no row.
+    """
+    named = kept(nodes.select(F.col(node).alias("__node"), F.col("x").cast("double").alias("__x"), F.col("y").cast("double").alias("__y")))
+    leaves, levels = pyramid(named, most)
+    last = candidates(points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), levels, key)[-1]
+    d2 = (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x")) + (F.col("y") - F.col("__y")) * (F.col("y") - F.col("__y"))
+    best = last.join(leaves, ["ix", "iy"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "__x", "__y", "__node")).alias("b"))
+    return best.select(key, F.col("b.__node").alias(node), F.col("b.d2").alias("d2"))
 
 
 def mosaic(pixels: DataFrame, order: str, value: str = "value") -> DataFrame:

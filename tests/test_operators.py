@@ -238,12 +238,36 @@ def test_near_segments_match_brute_force(spark):
 def test_nearest_node_also_far_away(spark):
     nodes = frame(spark, "node string, x double, y double", ("b", 10.0, 0.0), ("a", -10.0, 0.0), ("far", 1e5, 1e5))
     pts = frame(spark, "k int, x double, y double", (1, 0.0, 0.0), (2, 9e4, 9e4), (3, -4e5, 0.0))
-    got = {r.k: r.node for r in spatial.nearest(pts, nodes, "k", side=100.0, most_rings=16).collect()}
+    got = {r.k: r.node for r in spatial.nearest(pts, nodes, "k").collect()}
     assert got == {1: "a", 2: "far", 3: "a"}
     with pytest.raises(ValueError):
         spatial.nearest(pts, nodes.limit(0), "k")
 
 
+@pytest.mark.parametrize("kind", ["spread", "clusters", "line"])
+def test_nearest_nodes_match_all_pairs_with_few_candidates(spark, kind):
+    import random
+
+    rng = random.Random(len(kind))
+    if kind == "spread":
+        at = [(rng.random() * 1e4, rng.random() * 1e4) for _ in range(1500)]
+    elif kind == "clusters":  # most nodes in a hundredth of the width, some far away, some in one place
+        at = [(5e3 + rng.gauss(0, 20), 1e3 + rng.gauss(0, 20)) for _ in range(1400)] + [(rng.random() * 1e6, rng.random() * 1e6) for _ in range(50)] + [(7.0, 7.0)] * 5
+    else:
+        at = [(float(i % 700), 3.0) for i in range(1400)]
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "node long, x double, y double")
+    asked = [(i, *rng.choice(at)) if i % 4 else (i, rng.random() * 2e4, rng.random() * 2e4) for i in range(200)] + [(900, -3e6, 5e5), (901, 5e3, 9e6), (902, None, 1.0)]
+    points = spark.createDataFrame(asked, "k long, x double, y double")
+    got = {r.k: (r.d2, at[r.node]) for r in spatial.nearest(points, nodes, "k", most=8).collect()}
+    want = {k: min(((x - a) * (x - a) + (y - b) * (y - b), (a, b)) for a, b in at) for k, x, y in asked if x is not None}
+    assert got == want
+    named = nodes.toDF("__node", "__x", "__y")
+    leaves, levels = spatial.pyramid(named, 8)
+    assert kind != "spread" or leaves.groupBy("ix", "iy").count().agg(F.max("count")).first()[0] <= 8
+    for level in spatial.candidates(points, levels, "k"):
+        assert level.groupBy("k").count().agg(F.max("count")).first()[0] <= 24
+
+
 def test_graph_keeps_shorter_edges_and_finds_paths(spark):
     roads = frame(spark, "road_id long, ax double, ay double, bx double, by double, length double, estimated_risk double",
         (0, 0.0, 0.0, 3.0, 0.0, 3.0, 0.0), (1, 3.0, 0.0, 0.0, 0.0, 3.0, 1.0), (2, 3.0, 0.0, 3.0, 4.0, 4.0, 0.5), (3, 9.0, 9.0, 9.0, 8.0, 1.0, 0.0), (4, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0))
