@@ -173,3 +173,28 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, samples: int, seed: int = 42, m
     gaps = scores.groupBy("draw").agg(F.sum(F.when(F.col("model") == 0, F.col(metric)).otherwise(-F.col(metric))).alias("gap"))
     low, high = (1 - level) / 2, (1 + level) / 2
     return gaps.agg(F.avg("gap").alias("mean"), F.percentile("gap", F.lit(low)).alias("lower"), F.percentile("gap", F.lit(high)).alias("upper"))
+
+
+def segmentation_objective(pixels: DataFrame, group: str, weights: dict[int, float] | None = None, gamma: float = 0.0, lovasz_weight: float = 1.0, classes: int = 4, target: str = "target", logits: str = "logits") -> DataFrame:
+    """(group, loss): weighted cross entropy, or its focal form, plus the weighted Lovasz term over probabilities.
+
+    A group whose pixels are all ignored has a loss of zero.
+    """
+    from cairnfield.functions.columns import softmax
+
+    entropy = cross_entropy(pixels, [group], weights, gamma, target, logits)
+    known = pixels.where(F.col(target).isNotNull()).select(group, F.col(target).alias("target"), softmax(F.col(logits)).alias("p"))
+    surface = lovasz(known, group, classes=classes)
+    rows = pixels.select(group).distinct().join(entropy, group, "left").join(surface, group, "left")
+    return rows.select(group, (F.coalesce("cross_entropy", F.lit(0.0)) + lovasz_weight * F.coalesce("lovasz", F.lit(0.0))).alias("loss"))
+
+
+def dual_head_objective(pixels: DataFrame, group: str, damage_weights: dict[int, float] | None = None, lovasz_weight: float = 1.0, of_location: float = 1.0, of_damage: float = 1.0, target: str = "target", location: str = "location", damage: str = "damage") -> DataFrame:
+    """(group, localization, damage, loss): both heads' objectives and their weighted sum.
+
+    ``location`` has two logits and ``damage`` three; a head without a labelled pixel adds nothing.
+    """
+    rows = head_targets(pixels, target)
+    a = segmentation_objective(rows, group, None, 0.0, lovasz_weight, 2, "location_target", location).withColumnRenamed("loss", "localization")
+    b = segmentation_objective(rows, group, damage_weights, 0.0, lovasz_weight, 3, "damage_target", damage).withColumnRenamed("loss", "damage")
+    return a.join(b, group).withColumn("loss", of_location * F.col("localization") + of_damage * F.col("damage"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import columns as C
 from cairnfield.operators import chunks, metrics
 from cairnfield.plans.analogues import _u, load
-from cairnfield.sources import blocks, bundles, files, raster
+from cairnfield.sources import artifacts, blocks, bundles, files, raster
 from cairnfield.streaming.metrics import shared_folder
 
 #: Pixels along a side of a tile of events, of its blocks, and bands.
@@ -110,7 +110,57 @@ def bundle_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tile_id", "row").agg(F.count("*").alias("n"), F.round(F.avg(own), 5).alias("mean_logit"))
 
 
-QUERIES = {f.__name__: f for f in (raster_block_moments, raster_window, bundle_confusion, bundle_metrics, bundle_pixels)}
+def _outputs(spark: SparkSession, sf_dir: str) -> str:
+    """Outputs of runs, one folder for each supplier: metrics that are valid, broken or empty, and masks that some lack."""
+    k = F.col("s_suppkey")
+    run = F.concat(F.lit("run_"), k.cast("string"))
+    body = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit('{"run": '), k.cast("string"))).otherwise(F.to_json(F.struct(k.alias("run"), F.col("s_acctbal").alias("score"))))
+    text = F.struct(F.concat(run, F.lit("/metrics.json")).alias("name"), body.cast("binary").alias("content"))
+    masks = F.struct(F.concat(run, F.lit("/masks/m.bin")).alias("name"), F.when(k % 4 == 1, F.lit("")).otherwise("mask").cast("binary").alias("content"))
+    each = F.when(k % 4 == 0, F.array(text)).otherwise(F.array(text, masks))
+    folder = shared_folder(spark)
+    files.write_files(load(spark, sf_dir, "supplier").select(F.explode(each).alias("f")).select("f.*"), folder)
+    return folder
+
+
+def artifact_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which outputs each run has: metrics and a folder of masks, neither of them empty."""
+    run = F.concat(F.lit("run_"), F.col("s_suppkey").cast("string"))
+    asked = load(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(run, F.lit("/metrics.json")), F.concat(run, F.lit("/masks")))).alias("artifact"))
+    found = artifacts.completeness(artifacts.listing(spark, _outputs(spark, sf_dir)), asked)
+    return found.select("artifact", "n_files", "complete")
+
+
+def json_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.json_files(spark, _outputs(spark, sf_dir)).select("name", "state")
+
+
+def root_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders by market segment: how many files each required one has."""
+    c = load(spark, sf_dir, "customer")
+    name = F.concat(F.lower("c_mktsegment"), F.lit("/"), (F.col("c_custkey") % 9).cast("string"), F.lit("/tile.txt"))
+    folder = shared_folder(spark)
+    files.write_files(c.select(name.alias("name")).distinct().withColumn("content", F.lit(b"x")), folder)
+    return artifacts.layout(artifacts.listing(spark, folder), ("automobile", "building", "pre-event"))
+
+
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of origin that rows lack, or that have no column at all."""
+    k = F.col("p_partkey")
+    rows = load(spark, sf_dir, "part").select(
+        k.alias("id"), F.when(k % 3 > 0, F.lit("2020")).alias("population_year"), F.when(k % 4 == 0, F.lit(" ")).otherwise(F.col("p_brand")).alias("population_source"), F.when(k % 5 == 0, F.lit("")).otherwise("v1").alias("population_version"), F.lit("open").alias("population_license")
+    )
+    return artifacts.missing_fields(rows).select("id", F.array_join("missing", ",").alias("missing"))
+
+
+def partition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a partition column, and the same without: which of their rows stay."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "test").when(F.col("o_orderkey") % 3 == 1, "train").alias("partition"))
+    some = artifacts.of_partition(o).select("o_orderkey", F.lit("with").alias("kind"))
+    return some.union(artifacts.of_partition(o.drop("partition")).select("o_orderkey", F.lit("without").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+QUERIES = {f.__name__: f for f in (raster_block_moments, raster_window, bundle_confusion, bundle_metrics, bundle_pixels, artifact_completeness, json_states, root_layout, provenance, partition_filter)}
 
 _BANDS = "bands AS (SELECT event_id // {a} AS tile, event_id % {a} // {s} AS r, event_id % {s} AS c, value, CAST(user_id AS DOUBLE) AS usr FROM events)".format(a=AREA, s=SIDE)
 _LOGITS = ", ".join(f"CAST(4 * {_u(f'z{c}', 'event_id')} AS FLOAT)" for c in range(CLASSES))
@@ -146,4 +196,10 @@ FROM (SELECT tile, CASE WHEN r >= {WINDOW[0]} AND c >= {WINDOW[1]} AND r < {WIND
   round(2.0::DOUBLE * sum(n) FILTER (WHERE target = pred AND target > 0) / greatest(sum(n) FILTER (WHERE target > 0) + sum(n) FILTER (WHERE pred > 0), 1.0::DOUBLE), 6) AS f1_localization, {_mean(2, range(1, CLASSES))} AS f1_damage
 FROM counts GROUP BY 1""",
     "bundle_pixels": f"""WITH {_PIXELS} SELECT tile_id, "row", count(*) AS n, round(avg(CAST(z[target + 1] AS DOUBLE)), 5) AS mean_logit FROM pixels GROUP BY 1, 2""",
+    "artifact_completeness": """SELECT 'run_' || s_suppkey || '/metrics.json' AS artifact, 1 AS n_files, s_suppkey % 5 <> 0 AS complete FROM supplier
+UNION ALL SELECT 'run_' || s_suppkey || '/masks', CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END, s_suppkey % 4 > 1 FROM supplier""",
+    "json_states": "SELECT 'run_' || s_suppkey || '/metrics.json' AS name, CASE s_suppkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid' ELSE 'valid' END AS state FROM supplier",
+    "root_layout": "SELECT f AS folder, count(DISTINCT c_custkey % 9) AS n_files, count(c_custkey) > 0 AS complete FROM (VALUES ('automobile'), ('building'), ('pre-event')) t(f) LEFT JOIN customer ON lower(c_mktsegment) = f GROUP BY 1",
+    "provenance": """SELECT p_partkey AS id, concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'population_year' END, CASE WHEN p_partkey % 4 = 0 THEN 'population_source' END, CASE WHEN p_partkey % 5 = 0 THEN 'population_version' END, 'population_download_date') AS missing FROM part""",
+    "partition_filter": "SELECT 'with' AS kind, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'without', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders",
 }

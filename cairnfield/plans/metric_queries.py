@@ -172,6 +172,18 @@ def dual_head_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k").select(*_r("localization", "damage"), F.round(F.col("localization") + F.col("damage"), 6).alias("total"))
 
 
+def segmentation_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One number by event: weighted cross entropy plus half of the Lovasz term."""
+    return metrics.segmentation_objective(pixels(spark, sf_dir), "event_id", WEIGHTS, lovasz_weight=0.5).select("event_id", *_r("loss"))
+
+
+def dual_head_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both heads by event, each with its Lovasz term, and their weighted sum."""
+    rows = pixels(spark, sf_dir).withColumns({"location": F.slice("logits", 1, 2), "damage": F.slice("logits", 2, 3)})
+    found = metrics.dual_head_objective(rows, "event_id", {0: 1.0, 1: 2.0, 2: 3.0}, 0.5, 1.0, 2.0)
+    return found.select("event_id", *_r("localization", "damage", "loss"))
+
+
 def class_frequencies_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth classes of each event with their share (an addition to the global histogram)."""
     counts = pixels(spark, sf_dir).groupBy("event_id", "target").agg(F.count("*").alias("n"))
@@ -190,7 +202,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.paired_bootstrap(*models, DRAWS, metric="accuracy").select(*_r("mean", "lower", "upper"))
 
 
-QUERIES = {f.__name__: f for f in (softmax_probs, entropy_severity, dual_heads, probability_validity, confusion_by_event, segmentation_metrics, building_f1, event_summary, disaster_lookup, ece_reliability, pixel_ece, building_scores, temperature_grid, temperature_fit, bootstrap_ci_event, bootstrap_ci_building, component_aggregate, component_probabilities, majority_class, building_rows, buildings_per_mask, lovasz_metric, segmentation_loss, dual_head_loss, class_frequencies_by_event, paired_bootstrap)}
+QUERIES = {f.__name__: f for f in (softmax_probs, entropy_severity, dual_heads, probability_validity, confusion_by_event, segmentation_metrics, building_f1, event_summary, disaster_lookup, ece_reliability, pixel_ece, building_scores, temperature_grid, temperature_fit, bootstrap_ci_event, bootstrap_ci_building, component_aggregate, component_probabilities, majority_class, building_rows, buildings_per_mask, lovasz_metric, segmentation_loss, dual_head_loss, segmentation_objective, dual_head_objective, class_frequencies_by_event, paired_bootstrap)}
 
 _P4 = f"p4 AS (SELECT vec_id, event_id, target, {softmax_sql('logits', 4, str(TEMPERATURE))} AS p FROM pixels)"
 _P3 = f"p3 AS (SELECT vec_id, event_id, target, {softmax_sql('logits', 3, str(TEMPERATURE))} AS p FROM scored_buildings)"
@@ -261,7 +273,28 @@ def _ce(values: str, n: int, target: str) -> str:
     return f"(ln({total}) - ({values}[{target} + 1] - list_max({values})))"
 
 
+def _lovasz_sql(name: str, source: str, p: str, target: str, classes: int) -> str:
+    """Common tables that end in ``name`` (event_id, v): the mean over present classes; ``source`` has the pixels that count."""
+    n = name
+    return f"""{n}_l AS (SELECT event_id, k AS cls, CASE WHEN {target} = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fg, {p}[k + 1] AS prob FROM {source}, range({classes}) t(k)),
+{n}_e AS (SELECT *, abs(fg - prob) AS err, sum(fg) OVER (PARTITION BY event_id, cls) AS total FROM {n}_l),
+{n}_c AS (SELECT *, sum(fg) OVER w AS seen, sum(1 - fg) OVER w AS others FROM {n}_e WINDOW w AS (PARTITION BY event_id, cls ORDER BY err DESC, fg DESC ROWS UNBOUNDED PRECEDING)),
+{n}_j AS (SELECT *, 1 - (total - seen) / greatest(total + others, 1) AS jac FROM {n}_c),
+{n}_d AS (SELECT event_id, cls, err, total, jac - coalesce(lag(jac) OVER (PARTITION BY event_id, cls ORDER BY err DESC, fg DESC, jac), 0) AS step FROM {n}_j),
+{n} AS (SELECT event_id, avg(loss) AS v FROM (SELECT event_id, cls, sum(err * step) AS loss FROM {n}_d WHERE total > 0 GROUP BY 1, 2) GROUP BY 1)"""
+
+
 ORACLES = {
+    "segmentation_objective": f"""{with_sql('pixels')}, l AS (SELECT *, {_WT} AS w, {_ce('logits', 4, 'target')} AS ce, {softmax_sql('logits', 4)} AS p FROM pixels),
+{_lovasz_sql('lz', 'l', 'p', 'target', 4)}
+SELECT l.event_id, round(sum(w * ce) / sum(w) + 0.5 * any_value(lz.v), 6) AS loss FROM l JOIN lz USING (event_id) GROUP BY 1""",
+    "dual_head_objective": f"""{with_sql('pixels')}, h AS (SELECT event_id, target, logits[1:2] AS a, logits[2:4] AS b, CAST(target > 0 AS INTEGER) AS loc, target - 1 AS dmg FROM pixels),
+s AS (SELECT *, {softmax_sql('a', 2)} AS pa, {softmax_sql('b', 3)} AS pb, {_ce('a', 2, 'loc')} AS ca FROM h), q AS (SELECT *, {_ce('b', 3, 'dmg')} AS cb FROM s WHERE target > 0),
+{_lovasz_sql('la', 's', 'pa', 'loc', 2)},
+{_lovasz_sql('lb', 'q', 'pb', 'dmg', 3)},
+x AS (SELECT event_id, avg(ca) + 0.5 * any_value(la.v) AS a FROM s JOIN la USING (event_id) GROUP BY 1),
+y AS (SELECT event_id, sum(target * cb) / sum(target) + 0.5 * any_value(lb.v) AS b FROM q JOIN lb USING (event_id) GROUP BY 1)
+SELECT x.event_id, round(a, 6) AS localization, round(coalesce(b, 0), 6) AS damage, round(a + 2.0 * coalesce(b, 0), 6) AS loss FROM x LEFT JOIN y USING (event_id)""",
     "segmentation_loss": f"""{with_sql('pixels')}, l AS (SELECT event_id, {_WT} AS w, {_ce('logits', 4, 'target')} AS ce FROM pixels)
 SELECT event_id, round(sum(w * ce) / sum(w), 6) AS cross_entropy, round(sum(w * ce * (1 - exp(-ce)) * (1 - exp(-ce))) / sum(w), 6) AS focal FROM l GROUP BY 1""",
     "dual_head_loss": f"""{with_sql('pixels')}, h AS (SELECT target, logits[1:2] AS a, logits[2:4] AS b FROM pixels),

@@ -129,8 +129,40 @@ def test_config(tmp_path, monkeypatch):
     monkeypatch.setenv("DATA_ROOT", "/mnt")
     assert config.load(str(path))["root"] == "/mnt"
     assert config.load(str(path), ["dataset.root=/x"])["root"] == "/x"
+    path.write_text("root: /a\ndataset: {root: '${oc.env:DATA_ROOT}'}\nnote: 'at ${oc.env:DATA_ROOT} here'\n")
+    assert config.load(str(path)) == {"root": "/mnt", "dataset": {"root": "/mnt"}, "note": "at ${oc.env:DATA_ROOT} here"}
     assert config.section(["train.lr=1", "seed=2", "model.depth=3"], "train") == ["lr=1", "seed=2"]
     with pytest.raises(ValueError):
         config.load(str(path), ["nothing"])
     with pytest.raises(ValueError):
         config.check_bbox(10, 0, 5, 1)
+
+
+def test_layout_artifacts_and_json(spark, tmp_path):
+    from cairnfield.sources import artifacts, files
+
+    root = tmp_path / "root"
+    assert artifacts.listing(spark, str(root)).count() == 0
+    rows = [("pre-event/deep/a.tif", b"1"), ("target/b.tif", b""), ("out/metadata.json", b'{"event_id": 1}'), ("out/bad.json", b"{"), ("out/blank.json", b" "), ("post-event.txt", b"x")]
+    files.write_files(spark.createDataFrame(rows, "name string, content binary"), str(root))
+    found = artifacts.listing(spark, f"file://{root}")
+    assert {(r.name, r.length) for r in found.collect()} == {(n, len(c)) for n, c in rows}
+    assert {(r.folder, r.n_files, r.complete) for r in artifacts.layout(found).collect()} == {("pre-event", 1, True), ("target", 1, True), ("post-event", 0, False)}
+    with pytest.raises(ValueError, match="post-event"):
+        artifacts.require_layout(spark, str(root))
+    artifacts.require_layout(spark, str(root), ("pre-event", "out"))
+    asked = spark.createDataFrame([(a,) for a in ("pre-event", "pre-event/deep/a.tif", "target", "target/b.tif", "out", "pre", "out/metadata.json")], "artifact string")
+    state = {r.artifact: r.complete for r in artifacts.completeness(found, asked).collect()}
+    assert state == {"pre-event": True, "pre-event/deep/a.tif": True, "target": False, "target/b.tif": False, "out": True, "pre": False, "out/metadata.json": True}
+    assert {r.name: r.state for r in artifacts.json_files(spark, str(root)).collect()} == {"out/metadata.json": "valid", "out/bad.json": "invalid", "out/blank.json": "missing"}
+
+
+def test_provenance_and_partitions(spark):
+    from cairnfield.sources import artifacts
+
+    rows = spark.createDataFrame([("2020", " ", "test"), ("2021", "x", "train")], "population_year string, population_source string, partition string")
+    assert [r.missing for r in artifacts.missing_fields(rows, ("population_year", "population_source", "other")).collect()] == [["population_source", "other"], ["other"]]
+    with pytest.raises(ValueError, match="population_source, population_version"):
+        artifacts.require_fields(rows)
+    artifacts.require_fields(rows, ("population_year",))
+    assert artifacts.of_partition(rows).count() == 1 and artifacts.of_partition(rows.drop("partition")).count() == 2
