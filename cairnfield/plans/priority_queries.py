@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
-from cairnfield.operators import graph, labelling, priority, spatial
+from cairnfield.operators import graph, labelling, priority, simulation, spatial
 from cairnfield.operators.iterate import kept
 from cairnfield.plans.analogues import CELL, buildings, junctions, load, mask, population, roads, sql_uniform, tiles, with_sql
 
@@ -88,8 +88,11 @@ def priority_with_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hazard_renormalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(h, n, round(w, 9)) for h in (False, True) for n, w in priority.available_weights(hazard=h).items()]
-    return spark.createDataFrame(rows, "hazard_available boolean, component string, weight double")
+    """Weights of each cell's components, which depend on whether the cell has a hazard."""
+    rows = _scorable(spark, sf_dir).select("cell", (F.col("cell") % 3 > 0).alias("hazard_available"))
+    of = {h: F.array(*[F.struct(F.lit(n).alias("component"), F.lit(round(w, 9)).alias("weight")) for n, w in priority.available_weights(hazard=h).items()]) for h in (False, True)}
+    each = F.explode(F.when(F.col("hazard_available"), of[True]).otherwise(of[False])).alias("w")
+    return rows.select("cell", "hazard_available", each).select("cell", "hazard_available", "w.component", "w.weight")
 
 
 def app_reweighting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +106,10 @@ def band_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("relative_priority_band").agg(F.count("*").alias("n_cells"), F.round(F.sum("population_total"), 4).alias("population"), F.round(F.avg("mean_expected_severity"), 6).alias("severity"), F.round(F.max("priority_score"), 6).alias("most"))
 
 
-def _draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def monte_carlo_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, grid = _grid(spark, sf_dir)
     cells = priority.components(_scorable(spark, sf_dir))
-    return priority.monte_carlo(cells, _placed(b, grid), SIMULATIONS), grid[2] * grid[3]
-
-
-def monte_carlo_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws, n = _draws(spark, sf_dir)
-    u = priority.uncertainty(draws, n)
+    u = simulation.uncertainty(cells, _placed(b, grid), SIMULATIONS)
     return u.select("cell", *_r(*[c for c in u.columns if c != "cell"]))
 
 
@@ -323,9 +321,8 @@ ORACLES = {
     "priority_score": f"{_P} SELECT cell_id, r AS priority_rank, round(score, 6) AS priority_score FROM pr",
     "priority_bands": f"{_P} SELECT cell_id, nb AS number_buildings, round(s_d, 6) AS damage_score, round(s_p, 6) AS population_score, round(s_a, 6) AS accessibility_score, round(score, 6) AS priority_score, r AS priority_rank, band AS relative_priority_band, false AS hazard_available FROM pr",
     "priority_with_hazard": f"{_S},\n{_scored_sql(_WH, 'ph')} SELECT cell_id, round(s_h, 6) AS hazard_score, round(score, 6) AS priority_score, r AS priority_rank, band AS relative_priority_band FROM ph",
-    "hazard_renormalise": """WITH w(component, w) AS (VALUES ('damage', 0.4::DOUBLE), ('population', 0.3::DOUBLE), ('accessibility', 0.2::DOUBLE), ('hazard', 0.1::DOUBLE))
-SELECT true AS hazard_available, component, round(w / (SELECT sum(w) FROM w), 9) AS weight FROM w
-UNION ALL SELECT false, component, round(w / (SELECT sum(w) FROM w WHERE component <> 'hazard'), 9) FROM w WHERE component <> 'hazard'""",
+    "hazard_renormalise": f"""{_G}, w(component, w) AS (VALUES ('damage', 0.4::DOUBLE), ('population', 0.3::DOUBLE), ('accessibility', 0.2::DOUBLE), ('hazard', 0.1::DOUBLE))
+SELECT cell, cell % 3 > 0 AS hazard_available, component, round(w / sum(w) OVER (PARTITION BY cell), 9) AS weight FROM grid JOIN w ON cell % 3 > 0 OR component <> 'hazard'""",
     "app_reweighting": f"""{_S},
 ap_0 AS (SELECT *, least(greatest(coalesce(hz * 1.5 - 0.2, 0), 0), 1) AS h FROM scores), ap_1 AS (SELECT * EXCLUDE (h), h, 0.2::DOUBLE * s_d + 0.2::DOUBLE * s_p + 0.2::DOUBLE * s_a + 0.4::DOUBLE * h AS score FROM ap_0)
 SELECT cell_id, round(h, 6) AS hazard_score, round(score, 6) AS priority_score, CASE WHEN round(score, 12) >= round((SELECT quantile_cont(round(score, 12), 0.9) FROM ap_1), 12) THEN 'CRITICAL' WHEN round(score, 12) >= round((SELECT quantile_cont(round(score, 12), 0.75) FROM ap_1), 12) THEN 'HIGH'

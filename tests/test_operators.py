@@ -350,6 +350,22 @@ def test_draws_and_ranges_are_the_references():
     assert priority.RANGES == {"damage": (0.25, 0.55), "population": (0.15, 0.40), "accessibility": (0.10, 0.30), "hazard": (0.0, 0.20)}
 
 
+@pytest.mark.parametrize("in_range", [7, 1_000_000])
+def test_simulated_vectors_match_simulated_rows(spark, in_range):
+    from cairnfield.operators import simulation
+
+    cells = priority.components(_cells(spark, 60)).withColumn("population_score", F.when(F.col("cell") < 30, 0.5).otherwise(F.col("population_score"))).withColumn("accessibility_score", F.lit(0.25))
+    b = spark.range(300).select(F.col("id").alias("building_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 45).alias("cell"), F.lit(0.5).alias("p_intact"), (F.col("id") % 3 / 10).alias("p_damaged"), F.lit(0.3).alias("p_destroyed"))
+    want = {r.cell: r for r in priority.uncertainty(priority.monte_carlo(cells, b, 12), 60).collect()}
+    got = {r.cell: r for r in simulation.uncertainty(cells, b, 12, in_range=in_range).collect()}
+    assert set(got) == set(want) == set(range(60))
+    for cell, r in got.items():
+        assert r.asDict() == pytest.approx(want[cell].asDict(), abs=1e-12)
+    assert simulation.uncertainty(cells.limit(0), b, 3).count() == 0
+    alone = simulation.uncertainty(cells, b.limit(0), 3).collect()
+    assert len(alone) == 60 and all(r.rank_p05 == r.rank_p95 for r in alone)
+
+
 def test_distances_never_stop_short(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "u long, v long, w double")
     start = spark.createDataFrame([(0,)], "node long")
