@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
+from cairnfield.functions.arrays import uniforms
+from cairnfield.operators.iterate import kept
+from cairnfield.sources.files import ship
 
 BINS = 15
 METRICS = ("ece", "nll", "brier", "macro_f1", "balanced_accuracy")
@@ -82,31 +87,119 @@ def fit_temperature(rows: DataFrame, target: str = "target", logits: str = "logi
     return best
 
 
-def bootstrap(rows: DataFrame, samples: int, key: str, seed: int = 42, target: str = "target", level: float = 0.95, classes: int = 3) -> DataFrame:
+#: Rows of a slice of a bootstrap, groups of draws that share a slice's work, and picks that one step deals to slices.
+IN_SLICE, DRAW_GROUPS, PICKS = 10_000, 8, 1_000_000
+
+
+def bootstrap(rows: DataFrame, samples: int, key: str, seed: int = 42, target: str = "target", level: float = 0.95, classes: int = 3, in_slice: int = IN_SLICE) -> DataFrame:
     """Percentile intervals of all METRICS with buildings drawn with replacement.
 
-    Draws are joined to numbered buildings, and each draw keeps sums only: of scores, of classes and
-    of the calibration bins.
+    Draws go down a tree: rows lie in slices by a hash of their key; each draw's picks are first counted by slice, in
+    proportion to the slices' rows, and then fall on places within a slice, where its rows are. So a row meets its
+    counts in place, and what is shuffled are the slices (once for each of DRAW_GROUPS) and sums by draw and slice.
     """
-    from cairnfield.operators.splits import hashed_rank
-
-    one = rows.withColumn("__all", F.lit(0))
-    numbered = hashed_rank(one, "__all", F.md5(F.col(key).cast("string")), key, "__place")
-    n = numbered.count()
-    slots = rows.sparkSession.range(samples * n).select((F.col("id") / max(n, 1)).cast("long").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
-    drawn = slots.withColumn("__place", F.floor(C.uniform(f"building{seed}", F.col("draw"), F.col("slot")) * n).cast("long") + 1)
-    picked = drawn.groupBy("draw", "__place").agg(F.count("*").alias("times"))
-    joined = picked.join(numbered, "__place")
-    scores = class_scores(joined, target, classes, ["draw"], F.col("times"))
-    hit = F.when(F.col("pred") == F.col(target), F.col("times")).otherwise(0)
-    bins = joined.groupBy("draw", bin_of(F.col("confidence")).alias("bin")).agg(F.sum(hit).alias("hits"), F.sum(F.col("times") * F.col("confidence")).alias("conf"), F.sum("times").alias("n"))
-    gaps = bins.groupBy("draw").agg((F.sum(F.abs(F.col("hits") - F.col("conf"))) / F.sum("n")).alias("ece"))
-    all_scores = scores.join(gaps, "draw")
-    long = all_scores.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*[F.col(m) for m in METRICS]))).alias("metric", "v"))
+    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "metric string, lower double, upper double")
+    slices = -(-n // in_slice)
+    text = F.col(key).cast("string")
+    t = F.col(target)
+    numbers = {"nll": C.nll(F.col("p"), t), "brier": C.brier(F.col("p"), t), "t": t, "pred": F.col("pred"), "bin": bin_of(F.col("confidence")), "confidence": F.col("confidence")}
+    names = list(numbers)
+    part = F.floor(C.uniform(f"slice{seed}", F.col(key)) * slices).cast("int")
+    placed = rows.select(part.alias("slice"), F.md5(text).alias("h"), text.alias("k"), *[v.cast("double").alias(c) for c, v in numbers.items()])
+
+    def pack(batches):
+        now, held = None, []
+
+        def done():
+            body = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(body)], pa.int64()), pa.array([body.tobytes()], pa.binary())], names=["slice", "n", "body"])
+
+        for batch in batches:
+            of = batch.column("slice").to_numpy()
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if of[a] != now and held:
+                    yield done()
+                    held = []
+                now = int(of[a])
+                held.append(values[a:b])
+        if held:
+            yield done()
+
+    packs = kept(placed.repartition(slices, "slice").sortWithinPartitions("slice", "h", "k").mapInArrow(pack, "slice int, n long, body binary"))
+    sizes = np.zeros(slices, dtype=np.int64)
+    for r in packs.select("slice", "n").collect():  # one for every ``in_slice`` rows
+        sizes[r.slice] = r.n
+    counts = _picks(spark, samples, n, sizes, seed)
+    group = (F.col("draw") % DRAW_GROUPS).cast("int")
+    by_slice = counts.groupBy("slice", group.alias("g")).agg(F.sort_array(F.collect_list(F.struct("draw", "c"))).alias("draws"))  # samples / DRAW_GROUPS each
+    width = 3 + 3 * classes + 3 * BINS
+
+    def add(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                body = np.frombuffer(r["body"]).reshape(r["n"], -1)
+                truth, pred, at = (body[:, i].astype(np.int64) for i in (2, 3, 4))
+                hit = pred == truth
+                draws, sums = [], []
+                for d in r["draws"]:
+                    place = np.floor(uniforms(f"place{seed}", f"{d['draw']}:{r['slice']}", d["c"]) * r["n"]).astype(np.int64)
+                    w = np.bincount(place, minlength=r["n"]).astype(np.float64)
+                    one = [[w.sum(), w @ body[:, 0], w @ body[:, 1]]]
+                    one += [np.bincount(x, y, classes) for x, y in ((truth, w * hit), (truth, w), (pred, w))]
+                    one += [np.bincount(at, y, BINS) for y in (w * hit, w * body[:, 5], w)]
+                    draws.append(d["draw"])
+                    sums.append(np.concatenate(one))
+                flat = np.concatenate(sums) if sums else np.empty(0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * width, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), lists], names=["draw", "x"])
+
+    parts = packs.join(by_slice, "slice").repartition(slices * DRAW_GROUPS, "slice", "g").mapInArrow(add, "draw long, x array<double>")
+    total = parts.groupBy("draw").agg(*[F.sum(F.get("x", i)).alias(f"x{i}") for i in range(width)])
+    x = [F.col(f"x{i}") for i in range(width)]
+    tp, truth, found = (x[3 + i * classes : 3 + (i + 1) * classes] for i in range(3))
+    hits, conf, _ = (x[3 + 3 * classes + i * BINS : 3 + 3 * classes + (i + 1) * BINS] for i in range(3))
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / F.greatest(b, F.lit(1e-300))).otherwise(0.0)
+
+    scores = {
+        "ece": sum((F.abs(a - b) for a, b in zip(hits, conf, strict=True)), F.lit(0.0)) / x[0],
+        "nll": x[1] / x[0],
+        "brier": x[2] / x[0],
+        "macro_f1": sum((ratio(2 * a, b + c) for a, b, c in zip(tp, truth, found, strict=True)), F.lit(0.0)) / classes,
+        "balanced_accuracy": sum((ratio(a, b) for a, b in zip(tp, truth, strict=True)), F.lit(0.0)) / classes,
+    }
+    long = total.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*[scores[m] for m in METRICS]))).alias("metric", "v"))
     low, high = (1 - level) / 2, (1 + level) / 2
     return long.groupBy("metric").agg(F.percentile("v", F.lit(low)).alias("lower"), F.percentile("v", F.lit(high)).alias("upper"))
 
 
+def _picks(spark, samples: int, n: int, sizes: np.ndarray, seed: int) -> DataFrame:
+    """(draw, slice, c): how many of each draw's n picks fall into each slice."""
+    if len(sizes) == 1:
+        return spark.range(samples).select(F.col("id").alias("draw"), F.lit(0).alias("slice"), F.lit(n).cast("long").alias("c"))
+    ends = np.cumsum(sizes)
+    steps = -(-n // PICKS)
+
+    def deal(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                draw, step = divmod(i, steps)
+                some = min(PICKS, n - step * PICKS)
+                at = np.floor(uniforms(f"pick{seed}", str(draw), some, step * PICKS) * n).astype(np.int64)
+                c = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(ends))
+                hit = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), draw), pa.int64()), pa.array(hit.astype(np.int32)), pa.array(c[hit], pa.int64())], names=["draw", "slice", "c"])
+
+    return spark.range(samples * steps).mapInArrow(deal, "draw long, slice int, c long").groupBy("draw", "slice").agg(F.sum("c").alias("c"))
+
+
 # components
 
 

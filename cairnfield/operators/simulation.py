@@ -8,7 +8,6 @@ where there are many cells), and get one back.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnfield.functions.arrays import uniforms
 from cairnfield.operators import priority
 from cairnfield.operators.iterate import kept
 from cairnfield.sources.files import ship
@@ -28,17 +28,6 @@ SAMPLE = 4_096
 PLACES = 12
 
 
-def uniforms(tag: str, key: str, n: int) -> np.ndarray:
-    """``columns.uniform`` of (tag, key, 0 .. n - 1)."""
-    start = hashlib.md5(f"{tag}:{key}:".encode(), usedforsecurity=False)
-    out = np.empty(n)
-    for i in range(n):
-        h = start.copy()
-        h.update(str(i).encode())
-        out[i] = int.from_bytes(h.digest()[:4], "big")
-    return out / (1 << 32)
-
-
 def _vectors(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([v.tobytes() for v in rows.values()], pa.binary())], names=["cell", "sums"])
 

@@ -115,9 +115,13 @@ def bootstrap_ci_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bootstrap_events(_confusion(spark, sf_dir), DRAWS).select("metric", "n_units", "available", *_r("lower", "upper"))
 
 
+#: Rows of a slice: few, so that small tables have several.
+IN_SLICE = 150
+
+
 def bootstrap_ci_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = calibration.scored(scored_buildings(spark, sf_dir), TEMPERATURE)
-    return calibration.bootstrap(rows, DRAWS, "vec_id").select("metric", *_r("lower", "upper"))
+    return calibration.bootstrap(rows, DRAWS, "vec_id", in_slice=IN_SLICE).select("metric", *_r("lower", "upper"))
 
 
 def component_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,10 +263,14 @@ def _scores_sql(source: str, by: str, w: str) -> str:
   ({f1}) / 3 AS macro_f1, ({rec}) / 3 AS balanced_accuracy FROM {source}{group}"""
 
 
-_BOOT = f"""places AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS place FROM s3),
-draws AS (SELECT d AS draw, CAST(floor({sql_uniform("'building42:' || d || ':' || s")} * (SELECT count(*) FROM s3)) AS BIGINT) + 1 AS place
-  FROM range({DRAWS}) t(d), range((SELECT count(*) FROM s3)) u(s)),
-picked AS (SELECT * FROM draws JOIN places USING (place))"""
+_BOOT = f"""whole AS (SELECT count(*) AS n, CAST(ceil(count(*) / {IN_SLICE}.0) AS BIGINT) AS slices FROM s3),
+places AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS place
+  FROM (SELECT s3.*, CAST(floor({sql_uniform("'slice42:' || vec_id")} * slices) AS BIGINT) AS slice FROM s3, whole)),
+slices AS (SELECT slice, count(*) AS size, sum(count(*)) OVER (ORDER BY slice) AS upto FROM places GROUP BY slice),
+picks AS (SELECT d, s, CAST(floor({sql_uniform("'pick42:' || d || ':' || s")} * n) AS BIGINT) AS spot FROM range({DRAWS}) t(d), range((SELECT n FROM whole)) u(s), whole),
+dealt AS (SELECT d, slice, size, row_number() OVER (PARTITION BY d, slice ORDER BY s) - 1 AS i FROM picks JOIN slices ON spot >= upto - size AND spot < upto),
+draws AS (SELECT d AS draw, slice, CAST(floor({sql_uniform("'place42:' || d || ':' || slice || ':' || i")} * size) AS BIGINT) AS place FROM dealt),
+picked AS (SELECT * FROM draws JOIN places USING (slice, place))"""
 
 _WT = "CASE target " + " ".join(f"WHEN {k} THEN {w}::DOUBLE" for k, w in WEIGHTS.items()) + " END"
 

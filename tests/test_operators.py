@@ -350,6 +350,24 @@ def test_draws_and_ranges_are_the_references():
     assert priority.RANGES == {"damage": (0.25, 0.55), "population": (0.15, 0.40), "accessibility": (0.10, 0.30), "hazard": (0.0, 0.20)}
 
 
+def test_bootstrap_draws_buildings_with_replacement(spark):
+    import numpy as np
+
+    rows = calibration.scored(spark.range(90).select("id", (F.col("id") % 3).alias("target"), F.array((F.col("id") % 5).cast("double"), (F.col("id") % 7).cast("double"), F.lit(2.0)).alias("logits")))
+    for in_slice in (1_000, 20):
+        got = {r.metric: (r.lower, r.upper) for r in calibration.bootstrap(rows, 300, "id", in_slice=in_slice).collect()}
+        assert set(got) == set(calibration.METRICS)
+        own = [(r.p, r.target) for r in rows.collect()]
+        rng = np.random.default_rng(0)
+        brier = np.array([sum((x - (k == t)) ** 2 for k, x in enumerate(p)) for p, t in own])
+        plain = np.percentile([brier[rng.integers(0, 90, 90)].mean() for _ in range(4000)], [2.5, 97.5])
+        assert got["brier"] == pytest.approx(tuple(plain), rel=0.06)
+        assert all(low <= high for low, high in got.values())
+    counts = calibration._picks(spark, 50, 90, np.array([10, 0, 55, 25]), 42).groupBy("draw").agg(F.sum("c").alias("n")).collect()
+    assert len(counts) == 50 and {r.n for r in counts} == {90}
+    assert calibration.bootstrap(rows.limit(0), 5, "id").count() == 0
+
+
 @pytest.mark.parametrize("in_range", [7, 1_000_000])
 def test_simulated_vectors_match_simulated_rows(spark, in_range):
     from cairnfield.operators import simulation
