@@ -33,14 +33,28 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
 
 
+def committed(batch: DataFrame, table: str, number: int, mode: str) -> None:
+    """One micro-batch of a result, by its number: a batch that is run again replaces itself.
+
+    A complete result is the whole table each time; the batches of an appended one are folders of their own.
+    """
+    batch.write.mode("overwrite").parquet(table if mode == "complete" else f"{table}/{number:012d}")
+
+
+def results(spark: SparkSession, table: str, schema) -> DataFrame:
+    """What all batches (or the last, complete one) left."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table)
+
+
 def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a streaming query over all that is there, and read what its last batch left (complete) or all batches (append)."""
     spark = result.sparkSession
     folder = shared_folder(spark)
-    write = "overwrite" if mode == "complete" else "append"
+    table = f"{folder}/table"
+    spark.createDataFrame([], result.schema).write.parquet(table if mode == "complete" else f"{table}/start")  # a stream may have no batch
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    writer.foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{folder}/table")).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{folder}/table")
+    writer.foreachBatch(lambda df, number: committed(df, table, number, mode)).start().awaitTermination()
+    return results(spark, table, result.schema)
 
 
 def confusion(rows: DataFrame) -> DataFrame:

@@ -166,3 +166,26 @@ def test_provenance_and_partitions(spark):
         artifacts.require_fields(rows)
     artifacts.require_fields(rows, ("population_year",))
     assert artifacts.of_partition(rows).count() == 1 and artifacts.of_partition(rows.drop("partition")).count() == 2
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
+    from cairnfield.streaming import metrics as streams
+
+    rows = spark.createDataFrame([(1,), (2,)], "v int")
+    for mode, want in (("append", [1, 2, 3]), ("complete", [3])):
+        table = str(tmp_path / mode)
+        for number, batch in ((0, rows), (0, rows), (1, rows.limit(1).selectExpr("3 AS v")), (1, rows.limit(1).selectExpr("3 AS v"))):
+            streams.committed(batch, table, number, mode)
+        assert sorted(r.v for r in streams.results(spark, table, "v int").collect()) == want
+
+
+def test_streams_append_each_batch_once(spark, tmp_path):
+    from cairnfield.streaming import metrics as streams
+
+    for k in range(3):
+        spark.createDataFrame([(k, 10.0 * k)], "event_id long, value double").write.parquet(str(tmp_path / "in" / str(k)))
+    files = spark.readStream.schema("event_id long, value double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert sorted(r.event_id for r in streams.drained(files, "append").collect()) == [0, 1, 2]
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema("event_id long").parquet(str(tmp_path / "none"))
+    assert streams.drained(empty, "append").count() == 0
