@@ -81,18 +81,11 @@ def segment_distance_squared(px: Column, py: Column, ax: Column, ay: Column, bx:
     return ex * ex + ey * ey
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius: float, side: float | None = None) -> DataFrame:
-    """Pairs of a point (x, y) and a segment (ax, ay, bx, by) that are at most ``radius`` apart.
-
-    Space is cut into squares. A segment is listed in the squares that its buffer touches, column
-    by column, so the list grows with its length and not with its bounding box; a point is in one
-    square. The join is an equi-join on squares, then the exact distance decides.
-    """
-    side = max(side or 4 * radius, 2 * radius)
-    cut = {"__ix": F.floor(F.col("x") / side).cast("long"), "__iy": F.floor(F.col("y") / side).cast("long")}
-    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+def listed(segments: DataFrame, radius: float, side: float, ends: tuple[str, str, str, str] = ("ax", "ay", "bx", "by")) -> DataFrame:
+    """Segments with __ix and __iy of every square that they come within ``radius`` of, column by column."""
+    ax, ay, bx, by = (F.col(c) for c in ends)
     left, right = F.least(ax, bx) - radius, F.greatest(ax, bx) + radius
-    listed = segments.withColumn("__ix", F.explode(F.sequence(F.floor(left / side).cast("long"), F.floor(right / side).cast("long"))))
+    out = segments.withColumn("__ix", F.explode(F.sequence(F.floor(left / side).cast("long"), F.floor(right / side).cast("long"))))
     # where the line is while it crosses this column, widened by the radius
     slope = F.try_divide(by - ay, bx - ax)
     x_low = F.least(F.greatest(F.col("__ix") * side - radius, F.least(ax, bx)), F.greatest(ax, bx))
@@ -101,12 +94,75 @@ def near_segments(points: DataFrame, segments: DataFrame, radius: float, side: f
     y2 = F.when(slope.isNull(), F.greatest(ay, by)).otherwise(ay + slope * (x_high - ax))
     first = F.floor((F.least(y1, y2) - radius) / side - 1e-9).cast("long")
     last = F.floor((F.greatest(y1, y2) + radius) / side + 1e-9).cast("long")
-    listed = listed.withColumn("__iy", F.explode(F.sequence(first, last)))
-    both = points.withColumns(cut).join(listed, ["__ix", "__iy"])
-    near = segment_distance_squared(F.col("x"), F.col("y"), ax, ay, bx, by) <= radius * radius
+    return out.withColumn("__iy", F.explode(F.sequence(first, last)))
+
+
+def near_segments(points: DataFrame, segments: DataFrame, radius: float, side: float | None = None) -> DataFrame:
+    """Pairs of a point (x, y) and a segment (ax, ay, bx, by) that are at most ``radius`` apart.
+
+    Space is cut into squares. A segment is listed in the squares that its buffer touches, column
+    by column, so the list grows with its length and not with its bounding box; a point is in one
+    square. The join is an equi-join on squares, then the exact distance decides.
+    """
+    side = max(side or 4 * radius, 2 * radius)
+    cut = {"__ix": F.floor(F.col("x") / side).cast("long"), "__iy": F.floor(F.col("y") / side).cast("long")}
+    both = points.withColumns(cut).join(listed(segments, radius, side), ["__ix", "__iy"])
+    near = segment_distance_squared(F.col("x"), F.col("y"), *(F.col(c) for c in ("ax", "ay", "bx", "by"))) <= radius * radius
     return both.where(near).drop("__ix", "__iy")
 
 
+def segments_cross(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Whether two segments (ax, ay, bx, by) cross within both; those that only touch are left to their distance."""
+
+    def turn(px: Column, py: Column, s: tuple[Column, ...]) -> Column:
+        return F.signum((s[2] - s[0]) * (py - s[1]) - (s[3] - s[1]) * (px - s[0]))
+
+    return (turn(b[0], b[1], a) * turn(b[2], b[3], a) < 0) & (turn(a[0], a[1], b) * turn(a[2], a[3], b) < 0)
+
+
+def contains(shape: Column, x: Column, y: Column) -> Column:
+    """Whether a place lies inside of polygons, by the crossings to its left over all rings; what lies on an edge may count either way."""
+
+    def crossings(ring: Column) -> Column:
+        m = F.greatest(F.size(ring) - 1, F.lit(0))
+        sides = F.zip_with(F.slice(ring, F.lit(1), m), F.slice(ring, F.lit(2), m), lambda a, b: ((a["y"] < y) != (b["y"] < y)) & (a["x"] + (y - a["y"]) * F.coalesce(F.try_divide(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0)) < x))
+        return F.size(F.filter(sides, lambda hit: hit))
+
+    return F.aggregate(F.flatten(shape["parts"]), F.lit(0), lambda n, ring: n + crossings(ring)) % 2 == 1
+
+
+def near_polygons(polygons: DataFrame, segments: DataFrame, radius: float, key: str, road: str, shape: str = "geometry", side: float | None = None) -> DataFrame:
+    """Different pairs (key, road) of polygons and segments (ax, ay, bx, by) that are at most ``radius`` apart.
+
+    The polygons' edges and the segments' buffers are listed in squares and met in an equi-join, then the exact distance
+    of edge and segment decides. A segment that lies whole within a polygon is near to it however far the edges are:
+    its first end is looked up among the polygons whose boxes touch its square.
+    """
+    side = max(side or 4 * radius, 2 * radius)
+    g = F.col(shape)
+    rings = polygons.select(F.col(key), F.explode(F.flatten(g["parts"])).alias("r"))
+    m = F.greatest(F.size("r") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("r", F.lit(1), m).alias("a"), F.slice("r", F.lit(2), m).alias("b"))
+    edges = rings.select(key, F.explode(pairs).alias("e")).select(key, *[F.col(f"e.{p}.{c}").alias(f"e{p}{c}") for p in "ab" for c in "xy"])
+    own, other = tuple(F.col(f"e{p}{c}") for p in "ab" for c in "xy"), tuple(F.col(f"{p}{c}") for p in "ab" for c in "xy")
+    named = segments.select(road, "ax", "ay", "bx", "by")
+    both = listed(edges, 0.0, side, ("eax", "eay", "ebx", "eby")).join(listed(named, radius, side), ["__ix", "__iy"])
+    least = F.least(*[segment_distance_squared(x, y, *s) for (x, y), s in (((own[0], own[1]), other), ((own[2], own[3]), other), ((other[0], other[1]), own), ((other[2], other[3]), own))])
+    close = both.where((least <= radius * radius) | segments_cross(own, other)).select(key, road)
+
+    at = F.flatten(F.flatten(g["parts"]))
+    box = {c: F.transform(at, _entry(c)) for c in "xy"}
+    squares = polygons.where(F.size(at) > 0).select(key, g.alias("__shape"), *[F.floor(f(box[c]) / side).cast("long").alias(f"{n}{c}") for n, f in (("__lo", F.array_min), ("__hi", F.array_max)) for c in "xy"])
+    squares = squares.withColumn("__ix", F.explode(F.sequence("__lox", "__hix"))).withColumn("__iy", F.explode(F.sequence("__loy", "__hiy")))
+    starts = named.withColumns({"__ix": F.floor(F.col("ax") / side).cast("long"), "__iy": F.floor(F.col("ay") / side).cast("long")})
+    within = squares.join(starts, ["__ix", "__iy"]).where(contains(F.col("__shape"), F.col("ax"), F.col("ay"))).select(key, road)
+    return close.union(within).distinct()
+
+
+def _entry(name: str):
+    return lambda p: p[name]
+
+
 #: Squares of the next level along a side of a square, the deepest level, and nodes of a leaf square.
 SPLIT, DEEPEST, LEAF_NODES = 4, 12, 64
 #: Levels up to this one have at most 4,096 squares and come as broadcasts.

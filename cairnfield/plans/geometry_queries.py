@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.operators import labelling
-from cairnfield.plans.analogues import buildings, mask, with_sql
+from cairnfield.operators import labelling, spatial
+from cairnfield.plans.analogues import buildings, mask, roads, with_sql
 from cairnfield.plans.priority_queries import _CC
 from cairnfield.sources import geometry
 from cairnfield.streaming.metrics import shared_folder
@@ -64,7 +64,21 @@ def component_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.join(own, ["tile_id", "row", "col"], "left").select("tile_id", "component", F.coalesce("found", F.lit(-1)).alias("found"))
 
 
-QUERIES = {f.__name__: f for f in (geometry_roundtrip, geometry_box, component_polygons, component_points)}
+def road_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected destroyed buildings whose outline, an angle with a court in it, comes within RADIUS of each road."""
+    x, y = F.col("x"), F.col("y")
+    ring = lambda places: F.array(*[geometry.vertex(x + dx, y + dy) for dx, dy in places])
+    shapes = buildings(spark, sf_dir).select("building_id", "p_destroyed", geometry.polygon(F.array(*[ring(r) for r in OUTLINE])).alias("geometry"))
+    pairs = spatial.near_polygons(shapes.select("building_id", "geometry"), roads(spark, sf_dir), RADIUS, "building_id", "road_id")
+    found = pairs.join(shapes.select("building_id", "p_destroyed"), "building_id")
+    return found.groupBy("road_id").agg(F.count("*").alias("n"), F.round(F.sum("p_destroyed"), 6).alias("destroyed"))
+
+
+#: Distance of the road query, and the rings of its buildings.
+RADIUS = 40.0
+OUTLINE = (((0, 0), (300, 0), (300, 120), (120, 120), (120, 260), (0, 260), (0, 0)), ((20, 20), (20, 100), (110, 100), (110, 20), (20, 20)))
+
+QUERIES = {f.__name__: f for f in (road_polygons, geometry_roundtrip, geometry_box, component_polygons, component_points)}
 
 _SHAPES = f"""{with_sql('buildings')}, shapes AS (
   SELECT building_id, x, y, CAST([1, 2, 3, 6][building_id % 4 + 1] AS INTEGER) AS kind, CAST([1, 3, 10, 10][building_id % 4 + 1] AS INTEGER) AS n,
@@ -82,7 +96,32 @@ holes AS (
   FROM (SELECT tile_id, component, part, count(*) AS n FROM c4 GROUP BY 1, 2, 3) p
   JOIN (SELECT tile_id, part, count(*) AS n, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND spread = 4 THEN 2 ELSE 0 END) AS turns FROM corners GROUP BY 1, 2) v ON v.tile_id = p.tile_id AND v.part = p.part
   JOIN (SELECT tile_id, part, count(*) AS n FROM sides GROUP BY 1, 2) s ON s.tile_id = p.tile_id AND s.part = p.part)"""
+_EDGES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for ring in OUTLINE for a, b in zip(ring, ring[1:]))
+
+
+def _d2(px: str, py: str, s: str) -> str:
+    ax, ay, bx, by = (f"{s}{c}" for c in ("ax", "ay", "bx", "by"))
+    t = f"least(greatest(coalesce((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}), 0), 0), 0), 1)"
+    return f"(pow({px} - ({ax} + {t} * ({bx} - {ax})), 2) + pow({py} - ({ay} + {t} * ({by} - {ay})), 2))"
+
+
+def _turn(px: str, py: str, s: str) -> str:
+    return f"sign(({s}bx - {s}ax) * ({py} - {s}ay) - ({s}by - {s}ay) * ({px} - {s}ax))"
+
+
+_ROAD_POLYGONS = f"""{with_sql('buildings', 'junctions', 'roads')},
+ends AS (SELECT road_id, ax AS rax, ay AS ray, bx AS rbx, "by" AS rby FROM roads),
+outline(dax, day, dbx, dby) AS (VALUES {_EDGES}),
+sides AS (SELECT building_id, x + dax AS eax, y + day AS eay, x + dbx AS ebx, y + dby AS eby FROM buildings, outline),
+pairs AS (
+  SELECT DISTINCT building_id, road_id FROM sides, ends
+  WHERE least(rax, rbx) - {RADIUS} <= greatest(eax, ebx) AND greatest(rax, rbx) + {RADIUS} >= least(eax, ebx) AND least(ray, rby) - {RADIUS} <= greatest(eay, eby) AND greatest(ray, rby) + {RADIUS} >= least(eay, eby)
+    AND (least({_d2('eax', 'eay', 'r')}, {_d2('ebx', 'eby', 'r')}, {_d2('rax', 'ray', 'e')}, {_d2('rbx', 'rby', 'e')}) <= {RADIUS * RADIUS}
+      OR ({_turn('eax', 'eay', 'r')} * {_turn('ebx', 'eby', 'r')} < 0 AND {_turn('rax', 'ray', 'e')} * {_turn('rbx', 'rby', 'e')} < 0))
+  UNION
+  SELECT building_id, road_id FROM buildings, ends WHERE rax > x AND ray > y AND ((rax < x + 300 AND ray < y + 120) OR (rax < x + 120 AND ray < y + 260)) AND NOT (rax > x + 20 AND rax < x + 110 AND ray > y + 20 AND ray < y + 100))"""
 ORACLES = {
+    "road_polygons": f"{_ROAD_POLYGONS} SELECT road_id, count(*) AS n, round(sum(p_destroyed), 6) AS destroyed FROM pairs JOIN buildings USING (building_id) GROUP BY 1",
     "component_polygons": f"""{_PARTS}
 SELECT c.*, n_parts, n_holes, n_vertices FROM (
   SELECT tile_id, component, count(*) AS pixel_count, count(*) * 100.0::DOUBLE AS area, min(col) * 10.0::DOUBLE AS xmin, min("row") * 10.0::DOUBLE AS ymin, (max(col) + 1) * 10.0::DOUBLE AS xmax, (max("row") + 1) * 10.0::DOUBLE AS ymax FROM cc GROUP BY 1, 2) c

@@ -197,3 +197,44 @@ def test_affine_and_empty_masks(spark):
     (r,) = labelling.polygonise(mask, affine=(500.0, 2.0, 900.0, -2.0)).collect()
     assert plain(r.geometry)[0] == 3 and {tuple(p) for p in plain(r.geometry)[1][0][0]} == {(506.0, 896.0), (508.0, 896.0), (508.0, 894.0), (506.0, 894.0)}
     assert labelling.polygonise(mask.limit(0)).count() == 0 and labelling.connected_components(mask.limit(0)).count() == 0
+
+
+# roads and polygons
+
+
+def apart(s, t) -> float:
+    """Distance of two segments ((x, y), (x, y)), from its definition."""
+
+    def to(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        k = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
+        return ((p[0] - a[0] - k * dx) ** 2 + (p[1] - a[1] - k * dy) ** 2) ** 0.5
+
+    side = lambda p, a, b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    if side(t[0], *s) * side(t[1], *s) < 0 and side(s[0], *t) * side(s[1], *t) < 0:
+        return 0.0
+    return min(to(t[0], *s), to(t[1], *s), to(s[0], *t), to(s[1], *t))
+
+
+def test_roads_near_concave_polygons_with_holes(spark):
+    from cairnfield.operators import spatial
+
+    rng = random.Random(4)
+    outer = [(0, 0), (60, 0), (60, 50), (45, 50), (45, 10), (15, 10), (15, 50), (0, 50), (0, 0)]  # a U
+    hole = [(3, 12), (3, 40), (12, 40), (12, 12), (3, 12)]
+    shapes = {}
+    for i in range(60):
+        x, y, k = rng.uniform(-500, 500), rng.uniform(-500, 500), rng.choice([1.0, 1.0, 6.0])
+        shapes[i] = (3, [[[(x + k * a, y + k * b) for a, b in ring] for ring in (outer, hole)]])
+    roads = [(j, *(rng.uniform(-600, 600) for _ in range(2)), *(rng.uniform(-60, 60) for _ in range(2))) for j in range(150)]
+    roads = [(j, x, y, x + dx, y + dy) for j, x, y, dx, dy in roads] + [(900, 0.0, 0.0, 0.0, 0.0), (901, -900.0, -900.0, 900.0, 900.0)]
+    got = spatial.near_polygons(frame(spark, [shapes[i] for i in range(60)]), spark.createDataFrame(roads, "road int, ax double, ay double, bx double, by double"), 9.0, "id", "road").collect()
+    want = set()
+    for i, (_, parts) in shapes.items():
+        sides = [pair for ring in parts[0] for pair in zip(ring, ring[1:])]
+        shape = {"parts": [[[{"x": p[0], "y": p[1]} for p in ring] for ring in part] for part in parts]}
+        for j, ax, ay, bx, by in roads:
+            if inside(shape, ax, ay) or min(apart(e, ((ax, ay), (bx, by))) for e in sides) <= 9.0:
+                want.add((i, j))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert any(inside({"parts": [[[{"x": p[0], "y": p[1]} for p in ring] for ring in shapes[i][1][0]]]}, *next((r[1], r[2]) for r in roads if r[0] == j)) for i, j in want)
