@@ -224,6 +224,15 @@ def _u(name: str) -> str:
 
 
 ORACLES = {
+    "greedy_coverage": f"""WITH RECURSIVE counts AS (SELECT o_custkey AS tile_id, count(*) FILTER (WHERE o_orderstatus = 'F') AS c0, count(*) FILTER (WHERE o_orderstatus = 'O') AS c1, count(*) FILTER (WHERE o_orderstatus = 'P') AS c2 FROM orders GROUP BY 1),
+pick(place, tile_id, t0, t1, t2, chosen) AS (
+  SELECT CAST(-1 AS INTEGER), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT * FROM (
+    SELECT p.place + 1, c.tile_id, p.t0 + c.c0, p.t1 + c.c1, p.t2 + c.c2, list_append(p.chosen, c.tile_id)
+    FROM pick p, counts c WHERE p.place < {COVERAGE_TILES} - 1 AND NOT list_contains(p.chosen, c.tile_id)
+    ORDER BY least(p.t0 + c.c0, p.t1 + c.c1, p.t2 + c.c2) DESC, floor((ln(1.0::DOUBLE + p.t0 + c.c0) + ln(1.0::DOUBLE + p.t1 + c.c1) + ln(1.0::DOUBLE + p.t2 + c.c2)) * 1000000) DESC, c.c0 + c.c1 + c.c2 DESC, c.tile_id DESC LIMIT 1))
+SELECT place, tile_id FROM pick WHERE place >= 0""",
     "tile_alignment": """SELECT coalesce(o.k, l.k) AS tile_id, CASE WHEN o.k IS NULL THEN 'pre' ELSE 'post' END AS missing
 FROM (SELECT DISTINCT o_orderkey AS k FROM orders) o FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON o.k = l.k
 WHERE o.k IS NULL OR l.k IS NULL""",

@@ -108,7 +108,7 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted temperature and its mean nll: fitted on even ids, scored on odd ones."""
     rows = scored_buildings(spark, sf_dir)
     t = calibration.fit_temperature(rows.where("vec_id % 2 = 0"))
-    return calibration.class_scores(calibration.scored(rows.where("vec_id % 2 = 1"), t)).select(F.lit(t).alias("temperature"), "nll")
+    return calibration.class_scores(calibration.scored(rows.where("vec_id % 2 = 1"), t)).select(F.round(F.lit(t), 6).alias("temperature"), *_r("nll"))
 
 
 def bootstrap_ci_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +292,20 @@ def _lovasz_sql(name: str, source: str, p: str, target: str, classes: int) -> st
 {n} AS (SELECT event_id, avg(loss) AS v FROM (SELECT event_id, cls, sum(err * step) AS loss FROM {n}_d WHERE total > 0 GROUP BY 1, 2) GROUP BY 1)"""
 
 
+def _fit_sql(rounds: int = 4, points: int = 25) -> str:
+    """Common tables up to ``best``: each round's grid lies around the last one's best temperature."""
+    low, high = "ln(0.05::DOUBLE)", "ln(20.0::DOUBLE)"
+    out = [f"even AS (SELECT * FROM scored_buildings WHERE vec_id % 2 = 0), f0 AS (SELECT {low} AS low, {high} AS high)"]
+    for k in range(1, rounds + 1):
+        out.append(f"g{k} AS (SELECT exp(low + i * ((high - low) / {points - 1})) AS t, (high - low) / {points - 1} AS step FROM f{k - 1}, range({points}) r(i))")
+        out.append(f"e{k} AS (SELECT t, any_value(step) AS step, avg(-ln(greatest(({softmax_sql('logits', 3, 't')})[target + 1], 1e-12))) AS nll FROM g{k}, even GROUP BY t)")
+        out.append(f"b{k} AS (SELECT arg_min(t, nll) AS best, any_value(step) AS step FROM e{k}), f{k} AS (SELECT greatest({low}, ln(best) - step) AS low, least({high}, ln(best) + step) AS high FROM b{k})")
+    return ",\n".join(out) + f", best AS (SELECT best FROM b{rounds})"
+
+
 ORACLES = {
+    "temperature_fit": f"""{with_sql('scored_buildings')}, {_fit_sql()}
+SELECT round(best, 6) AS temperature, round(avg(-ln(greatest(({softmax_sql('logits', 3, 'best')})[target + 1], 1e-12))), 6) AS nll FROM scored_buildings, best WHERE vec_id % 2 = 1 GROUP BY best""",
     "segmentation_objective": f"""{with_sql('pixels')}, l AS (SELECT *, {_WT} AS w, {_ce('logits', 4, 'target')} AS ce, {softmax_sql('logits', 4)} AS p FROM pixels),
 {_lovasz_sql('lz', 'l', 'p', 'target', 4)}
 SELECT l.event_id, round(sum(w * ce) / sum(w) + 0.5 * any_value(lz.v), 6) AS loss FROM l JOIN lz USING (event_id) GROUP BY 1""",

@@ -23,7 +23,7 @@ from cairnfield.llm.queries import FOLDS, KEEP_FROM
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: SQL can express no stage of this pipeline as a whole; it is tested against brute force.
+#: SQL can express no stage of this pipeline as a whole; it is tested on small sets made by hand.
 ORACLE_SQL: str | None = None
 
 
