@@ -29,6 +29,8 @@ from cairnfield.llm.common import ship
 
 #: At most so many rows are learned from, or LEAST_ROWS of each language where those are more.
 SAMPLE_ROWS, LEAST_ROWS = 6_000, 4
+#: Parts of a language's rows that meet its count apart from one another.
+SALTS = 64
 #: Classes up to which random codes are compared, as that takes a table of all pairs of classes.
 MOST_COMPARED = 2_000
 TRIGRAMS = 2048
@@ -145,7 +147,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         return Decoder()
     each = max(LEAST_ROWS, -(-rows // languages))
     draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.select("lang", "h").join(counts, "lang").where(draw < 2.0 * each / F.col("n")).select("lang", "h").distinct()
+    salt = F.pmod("h", F.lit(SALTS)).alias("salt")  # a frequent language meets its count in many tasks
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drawn = known.select("lang", "h", salt).join(salted, ["lang", "salt"]).where(draw < 2.0 * each / F.col("n")).select("lang", "h").distinct()
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     chosen = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")  # within the bound above
     few = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
