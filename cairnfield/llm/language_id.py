@@ -149,7 +149,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     salt = F.pmod("h", F.lit(SALTS)).alias("salt")  # a frequent language meets its count in many tasks
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    drawn = known.select("lang", "h", salt).join(salted, ["lang", "salt"]).where(draw < 2.0 * each / F.col("n")).select("lang", "h").distinct()
+    once = known.select("lang", "h", salt).distinct()  # repeated rows go before they are dealt
+    drawn = once.join(salted, ["lang", "salt"]).where(draw < 2.0 * each / F.col("n")).select("lang", "h")
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     chosen = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).drop("k")  # within the bound above
     few = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
