@@ -4,8 +4,9 @@
 step by step, joins the leftmost pair of lowest rank; the ranks come from a literal map, held in
 buckets because Spark searches one map from end to end. Every distinct word of the corpus is
 folded once. Documents are dealt into buckets, each of which asks for its different words once;
-the ids come back to the bucket, where its texts are put together from them. ``decode`` joins the
-binary pieces of the ids, from a literal array, with higher-order functions only.
+the ids come back to the bucket, where its texts are put together from them. There too the ids are
+decoded, by joining their binary pieces, and hashed, so that no array of ids has to leave the
+task; ``decode`` does the same to a column of ids with higher-order functions only.
 
 The fold copies its array at each step, so a word costs the square of its length. Words of more
 than ``LONG_BYTES`` take the same merges in the same order from a heap.
@@ -18,6 +19,7 @@ table gives no rows; columns with the name of a result are replaced, others stay
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import zlib
@@ -278,12 +280,39 @@ def _answered(asked: pa.Table, table: pa.Table) -> pa.Table:
     return asked.set_column(asked.schema.get_field_index("n"), "n", pa.array(ids, pa.binary()))
 
 
-def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The rows with ``ids`` (array of int) in place of their text."""
+class Digests:
+    """What is told of a text's ids: their number, the hash of their decimals, the hash of what they decode to."""
+
+    SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            self.pieces[rank] = piece
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+
+    def decoded(self, ids: list[int]) -> bytes:
+        """The pieces of the ids one after the other."""
+        return b"".join(map(self.pieces.__getitem__, ids))
+
+    def of(self, coded: list[bytes]) -> list[pa.Array]:
+        rows = []
+        for some in coded:
+            ids = np.frombuffer(some, dtype=np.uint32).tolist()
+            decimal = ",".join(map(self.decimals.__getitem__, ids)).encode()
+            rows.append((len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        return [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+
+
+def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", digests: bool = False) -> DataFrame:
+    """The rows with ``ids`` (array of int), or with the columns of ``Digests``, in place of their text."""
+    results = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
     ship(docs.sparkSession)
     ranks = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "ids")]
+    kept = [c for c in docs.columns if c not in (text, *results)]
+    others = [F.col(f"`{c}`") for c in kept]
     rows = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *others).alias("row"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_buckets = bucketed.count(docs, size, TEXT_BYTES)
@@ -295,19 +324,23 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     def encode(own: pa.Table, found: pa.Table) -> pa.Table:
         coder, batches = Coder(Splitter(pattern)), []
+        digest = Digests(shared.value) if digests else None
         for keys, values in zip(found["keys"], found["n"], strict=True):
             for word, ids in zip(textops.unlisted(keys.as_buffer()), textops.unlisted(values.as_buffer()), strict=True):
                 coder.learn(word.decode(), ids)
         for batch in own.to_batches(max_chunksize=BATCH):
             coded = [coder.encode(body.decode()) for body in textops.unsqueezed(batch.column("body"))]
-            ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))
-            batches.append(pa.RecordBatch.from_arrays([batch.column("row"), ids], ["row", "ids"]))
+            if digests:
+                columns = digest.of(coded)
+            else:
+                ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)))]
+            batches.append(pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", *results]))
         return pa.Table.from_batches(batches)
 
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, {Digests.SCHEMA if digests else 'ids array<int>'}"
     coded = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(encode, schema)
-    return coded.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in (text, "ids")], "ids")
+    return coded.select(*[F.col(f"row.`{c}`") for c in kept], *results)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
@@ -315,7 +348,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
 
     The text itself is not carried along.
     """
+    if not ids:
+        names = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+        return encode_ids(docs.select(*[F.col(f"`{c}`") for c in {**dict.fromkeys(names), text: None}]), path, pattern, text, digests=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
     rows = encode_ids(docs, path, pattern, text).withColumn("decoded", decode(F.col("ids"), read_ranks(path)))
-    rows = rows.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(decimal, 256), "decoded_sha256": F.sha2("decoded", 256)})
-    return rows if ids else rows.drop("ids", "decoded")
+    return rows.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(decimal, 256), "decoded_sha256": F.sha2("decoded", 256)})
