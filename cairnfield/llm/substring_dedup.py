@@ -19,8 +19,8 @@ Counts are pre-aggregated before they are shuffled, and rows come back through j
 large partitions Spark splits, so a passage that a third of the documents share is no hot task.
 
 Defined results: a null text has no words; a text shorter than a window keeps all its words;
-repeated rows count as different occurrences, so they lose what they share; an empty table gives
-no rows; columns of the input other than id and text are not read, unless they are carried.
+repeated rows count as different occurrences, so they lose what they share, and each has the
+factors of a single row, which refer to the row itself; an empty table gives no rows; columns of the input other than id and text are not read, unless they are carried.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def block_table(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) ->
                 columns = [_signed(anchor), _signed(block), batch.column("doc_id").take(of), batch.column("check").take(of), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "block", "doc_id", "check", "start", "n"])
 
-    return rows.mapInArrow(parse, "anchor long, block long, doc_id long, check int, start int, n int")
+    return rows.mapInArrow(parse, "anchor long, block long, doc_id long, check long, start int, n int")
 
 
 def _other(*names: str) -> list[Column]:
@@ -164,7 +164,7 @@ def _windows(asked: DataFrame, window: int) -> DataFrame:
                 columns = [flat.field("anchor").take(pa.array(block)), _signed(parsed.run(begin, begin + window)), batch.column("doc_id").take(text), batch.column("check").take(text), pa.array(at.astype(np.int32)), flat.field("known").take(pa.array(block))]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "w", "doc_id", "check", "start", "known"])
 
-    return asked.mapInArrow(look, "anchor long, w long, doc_id long, check int, start int, known boolean")
+    return asked.mapInArrow(look, "anchor long, w long, doc_id long, check long, start int, known boolean")
 
 
 def duplicate_ranges(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
@@ -187,16 +187,18 @@ def duplicate_ranges(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORD
     windows = _windows(rows.join(asked, ["doc_id", "check"]), window)
     again = windows.groupBy("anchor", "w").agg(*_places(), F.max("known").alias("known")).where("count > 1 OR known")
     single = _referred(windows.where("NOT known"), again, ["anchor", "w"], "inner")
+    # a set: rows that are equal find the same ranges, and each would get those of all
     found = factors.union(single.select("doc_id", "check", "start", F.lit(1).alias("n"), "ref_id", "ref_start"))
-    return found.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n", "ref_id", "ref_start")).alias("ranges"))
+    return found.groupBy("doc_id", "check").agg(F.collect_set(F.struct("start", "n", "ref_id", "ref_start")).alias("ranges"))
 
 
 def parse(start: np.ndarray, n: np.ndarray, ref_id: np.ndarray, ref_start: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
     """Factors of one document, left to right: start, words, reference, position there.
 
     Ranges of known windows that follow each other become one factor while the reference goes on.
+    No two different ranges have the same start.
     """
-    by = np.argsort(start, kind="stable")
+    _, by = np.unique(start, return_index=True)
     start, n, ref_id, ref_start = start[by], n[by], ref_id[by], ref_start[by]
     fresh = np.ones(len(start), dtype=bool)
     fresh[1:] = (start[1:] != start[:-1] + n[:-1]) | (ref_id[1:] != ref_id[:-1]) | (ref_start[1:] != ref_start[:-1] + n[:-1])
@@ -219,7 +221,7 @@ def _keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     """doc_id, check and text; neither part of a row's key is ever null, so that each join deals
     the texts out alike and they share one exchange."""
     body, known = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{key}`").cast("long")
-    return docs.select(F.coalesce(known, F.lit(NO_ID)).alias("doc_id"), F.hash(known, body).alias("check"), body.alias("text"), *more)
+    return docs.select(F.coalesce(known, F.lit(NO_ID)).alias("doc_id"), F.xxhash64(known, body).alias("check"), body.alias("text"), *more)
 
 
 def factors(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:

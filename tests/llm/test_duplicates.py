@@ -106,6 +106,22 @@ def test_factors_of_copies_are_whole_documents(spark):
     assert all(r.ref_id != r.doc_id for r in substring_dedup.factors(docs).collect())
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_repeated_rows_have_the_factors_of_two(spark, key):
+    rng = random.Random(8)
+    long, other = ([f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(2))
+    found = []
+    for copies in (2, 500):
+        texts = [" ".join(long)] * copies + [" ".join(other[:50] + long[100:200]), " ".join(other)]
+        docs = spark.createDataFrame(list(zip([*[key] * copies, 8, 9], texts, strict=True)), "doc_id long, text string")
+        got = substring_dedup.dedup(docs).collect()
+        assert Counter((r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(_kept(texts, substring_dedup.WINDOW))
+        found.append({(r.doc_id, r.n_factors) for r in got})
+        ranges = substring_dedup.duplicate_ranges(substring_dedup._keyed(docs, "doc_id", "text"))
+        assert ranges.selectExpr("max(size(ranges)) AS n").first()["n"] <= 400
+    assert found[0] == found[1] and len(found[0]) == 3 and max(n for _, n in found[0]) <= 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.v: r.label for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
