@@ -71,6 +71,10 @@ def test_texts_round_trip(spark, odd_docs, no_docs, library):
         assert r.ids == ids and r.n_tokens == len(ids) and bytes(r.decoded) == text.encode() and r.bucket == r.doc_id
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    in_tasks = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    names = ["doc_id", "copy", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {*in_tasks.columns} == {*docs.columns, *names} - {"text", "ids"}
+    assert Counter(in_tasks.select(names).collect()) == Counter(tuple(r[c] for c in names) for r in got)
     assert byte_bpe.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
