@@ -10,7 +10,7 @@ from cairnfield.operators import order as ordered
 from cairnfield.operators.iterate import kept
 from cairnfield.operators.paths import distances
 from cairnfield.operators.scalars import with_scalars
-from cairnfield.operators.spatial import near_segments
+from cairnfield.operators.spatial import near_sums
 
 
 __all__ = ["accessibility", "distances", "edges", "length", "road_risk", "segments", "usable_lines"]
@@ -41,8 +41,8 @@ def road_risk(roads: DataFrame, buildings: DataFrame, radius: float = 125.0, low
     estimated_risk: the density between two exact quantiles of all roads.
     """
     roads = roads.withColumn("length", length(*[F.col(c) for c in ("ax", "ay", "bx", "by")])).where("length > 0")
-    pairs = near_segments(buildings.select("x", "y", "p_destroyed"), roads.select("road_id", "ax", "ay", "bx", "by"), radius)
-    hit = pairs.groupBy("road_id").agg(F.sum("p_destroyed").alias("destroyed"))
+    found = near_sums(buildings.select("x", "y", "p_destroyed"), roads.select("road_id", "ax", "ay", "bx", "by"), radius, "road_id", "p_destroyed")
+    hit = found.select("road_id", F.col("total").alias("destroyed"))
     area = F.greatest(F.col("length") * (2 * radius / 1_000_000), F.lit(1e-6))
     dense = roads.join(hit, "road_id", "left").withColumn("density", F.coalesce("destroyed", F.lit(0.0)) / area).drop("destroyed")
     dense = kept(dense)  # used twice below, and the join behind it is the costly part

@@ -235,6 +235,38 @@ def test_near_segments_match_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("unit", [20, 300, 50_000])
+def test_sums_near_segments_match_all_pairs_and_make_none(spark, monkeypatch, unit):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    spread, dense = rng.uniform(-2_000, 2_000, (900, 2)), rng.normal(500, 20, (600, 2))
+    xy = np.concatenate([spread, dense, np.full((100, 2), 510.0), [[9e4, -7e4]]])
+    value = rng.uniform(0, 1, len(xy))
+    ends = rng.uniform(-2_500, 2_500, (60, 4))
+    ends[:4, 2:] = ends[:4, :2]  # without length
+    ends[4:8, 2] = ends[4:8, 0]  # upright
+    points = spark.createDataFrame([(*map(float, p), float(v)) for p, v in zip(xy, value, strict=True)] + [(None, 1.0, 1.0), (1.0, 1.0, None)], "x double, y double, v double")
+    segments = spark.createDataFrame([(f"s{i}", *map(float, e)) for i, e in enumerate(ends)], "s string, ax double, ay double, bx double, by double")
+    got = {r.s: (r.n, r.total) for r in spatial.near_sums(points, segments, 125.0, "s", "v", unit).collect()}
+    xy, value = np.concatenate([xy, [[1.0, 1.0]]]), np.append(value, 0.0)
+    for i, (ax, ay, bx, by) in enumerate(ends):
+        square = (bx - ax) ** 2 + (by - ay) ** 2
+        t = np.clip(((xy[:, 0] - ax) * (bx - ax) + (xy[:, 1] - ay) * (by - ay)) / (square or 1.0), 0, 1)
+        hit = (xy[:, 0] - ax - t * (bx - ax)) ** 2 + (xy[:, 1] - ay - t * (by - ay)) ** 2 <= 125.0**2
+        n, total = got.pop(f"s{i}", (0, 0.0))
+        assert n == hit.sum() and abs(total - value[hit].sum()) < 1e-9
+    assert not got
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs of buildings and roads were made")
+
+    monkeypatch.setattr(spatial, "near_segments", pairs)
+    monkeypatch.setattr(graph, "near_segments", pairs, raising=False)
+    roads = segments.withColumn("road_id", F.expr("CAST(substr(s, 2) AS BIGINT)")).drop("s")
+    assert graph.road_risk(roads, points.withColumnRenamed("v", "p_destroyed")).count() == 56
+
+
 def test_nearest_node_also_far_away(spark):
     nodes = frame(spark, "node string, x double, y double", ("b", 10.0, 0.0), ("a", -10.0, 0.0), ("far", 1e5, 1e5))
     pts = frame(spark, "k int, x double, y double", (1, 0.0, 0.0), (2, 9e4, 9e4), (3, -4e5, 0.0))
