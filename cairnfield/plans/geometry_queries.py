@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.operators import labelling, spatial
+from cairnfield.operators.iterate import kept
 from cairnfield.plans.analogues import buildings, mask, roads, with_sql
 from cairnfield.plans.priority_queries import _CC
 from cairnfield.sources import geometry
@@ -68,10 +69,10 @@ def road_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected destroyed buildings whose outline, an angle with a court in it, comes within RADIUS of each road."""
     x, y = F.col("x"), F.col("y")
     ring = lambda places: F.array(*[geometry.vertex(x + dx, y + dy) for dx, dy in places])
-    shapes = buildings(spark, sf_dir).select("building_id", "p_destroyed", geometry.polygon(F.array(*[ring(r) for r in OUTLINE])).alias("geometry"))
-    pairs = spatial.near_polygons(shapes.select("building_id", "geometry"), roads(spark, sf_dir), RADIUS, "building_id", "road_id")
-    found = pairs.join(shapes.select("building_id", "p_destroyed"), "building_id")
-    return found.groupBy("road_id").agg(F.count("*").alias("n"), F.round(F.sum("p_destroyed"), 6).alias("destroyed"))
+    places = kept(buildings(spark, sf_dir).select("building_id", "x", "y", "p_destroyed"))  # every corner refers to the drawn place
+    shapes = places.select("building_id", "p_destroyed", geometry.polygon(F.array(*[ring(r) for r in OUTLINE])).alias("geometry"))
+    found = spatial.near_polygon_sums(shapes, roads(spark, sf_dir), RADIUS, "road_id", "p_destroyed")
+    return found.select("road_id", "n", F.round("total", 6).alias("destroyed"))
 
 
 #: Distance of the road query, and the rings of its buildings.

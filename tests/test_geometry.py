@@ -238,3 +238,20 @@ def test_roads_near_concave_polygons_with_holes(spark):
                 want.add((i, j))
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert any(inside({"parts": [[[{"x": p[0], "y": p[1]} for p in ring] for ring in shapes[i][1][0]]]}, *next((r[1], r[2]) for r in roads if r[0] == j)) for i, j in want)
+    # the same as sums, without pairs; one polygon is far larger, and many lie in few places
+    for unit in (7, 50_000):
+        valued = frame(spark, [shapes[i] for i in range(60)]).withColumn("value", 1 + F.col("id") / 64)
+        sums = spatial.near_polygon_sums(valued, spark.createDataFrame(roads, "road int, ax double, ay double, bx double, by double"), 9.0, "road", "value", unit=unit)
+        of = {j: [1 + i / 64 for i, k in want if k == j] for j in {k for _, k in want}}
+        assert {r.road: (r.n, r.total) for r in sums.collect()} == {j: (len(v), sum(v)) for j, v in of.items()}
+
+
+def test_road_polygons_makes_no_pairs(spark, monkeypatch):
+    from cairnfield.operators import spatial
+    from cairnfield.plans import geometry_queries
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs of buildings and roads were made")
+
+    monkeypatch.setattr(spatial, "near_polygons", pairs)
+    assert geometry_queries.road_polygons(spark, "/root/testdata/sf0.001").count()
