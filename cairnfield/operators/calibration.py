@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions import columns as C
-from cairnfield.functions.arrays import uniforms
+from cairnfield.functions.arrays import uniform_rows, uniforms
 from cairnfield.operators.iterate import kept
 from cairnfield.sources.files import ship
 
@@ -89,6 +89,8 @@ def fit_temperature(rows: DataFrame, target: str = "target", logits: str = "logi
 
 #: Rows of a slice of a bootstrap, groups of draws that share a slice's work, and picks that one step deals to slices.
 IN_SLICE, DRAW_GROUPS, PICKS = 10_000, 8, 1_000_000
+#: Picks of a slice, or its rows by draws, that are in work at once.
+SUMMED = 1 << 20
 
 
 def bootstrap(rows: DataFrame, samples: int, key: str, seed: int = 42, target: str = "target", level: float = 0.95, classes: int = 3, in_slice: int = IN_SLICE) -> DataFrame:
@@ -145,18 +147,22 @@ def bootstrap(rows: DataFrame, samples: int, key: str, seed: int = 42, target: s
             for r in batch.to_pylist():
                 body = np.frombuffer(r["body"]).reshape(r["n"], -1)
                 truth, pred, at = (body[:, i].astype(np.int64) for i in (2, 3, 4))
-                hit = pred == truth
-                draws, sums = [], []
-                for d in r["draws"]:
-                    place = np.floor(uniforms(f"place{seed}", f"{d['draw']}:{r['slice']}", d["c"]) * r["n"]).astype(np.int64)
-                    w = np.bincount(place, minlength=r["n"]).astype(np.float64)
-                    one = [[w.sum(), w @ body[:, 0], w @ body[:, 1]]]
-                    one += [np.bincount(x, y, classes) for x, y in ((truth, w * hit), (truth, w), (pred, w))]
-                    one += [np.bincount(at, y, BINS) for y in (w * hit, w * body[:, 5], w)]
-                    draws.append(d["draw"])
-                    sums.append(np.concatenate(one))
-                flat = np.concatenate(sums) if sums else np.empty(0)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * width, pa.int32()), pa.array(flat))
+                hit = (pred == truth)[:, None]
+                of = lambda x, k: (x[:, None] == np.arange(k)).astype(np.float64)
+                one = np.ones((r["n"], 1))
+                each = np.hstack([one, body[:, :2], hit * of(truth, classes), of(truth, classes), of(pred, classes), hit * of(at, BINS), body[:, [5]] * of(at, BINS), of(at, BINS)])
+                draws, c = [d["draw"] for d in r["draws"]], np.array([d["c"] for d in r["draws"]])
+                sums = []
+                step = max(1, SUMMED // max(r["n"], int(c.max())))
+                for first in range(0, len(draws), step):
+                    some, own = c[first : first + step], draws[first : first + step]
+                    u = uniform_rows(f"place{seed}", [f"{d}:{r['slice']}" for d in own], int(some.max()))
+                    drawn = np.arange(u.shape[1]) < some[:, None]
+                    place = np.floor(u * r["n"]).astype(np.int64) + np.arange(len(own))[:, None] * r["n"]
+                    w = np.bincount(place[drawn], minlength=len(own) * r["n"]).reshape(len(own), -1)
+                    sums.append(w.astype(np.float64) @ each)
+                flat = np.concatenate(sums).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(draws) + 1) * width, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), lists], names=["draw", "x"])
 
     parts = packs.join(by_slice, "slice").repartition(slices * DRAW_GROUPS, "slice", "g").mapInArrow(add, "draw long, x array<double>")

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnfield.functions.arrays import uniforms
+from cairnfield.functions.arrays import uniform_rows
 from cairnfield.operators import priority
 from cairnfield.operators.iterate import kept
 from cairnfield.sources.files import ship
 
 #: Cells of a chunk, of the vectors that a task sums before it hands them on, and of a range of ranks, about.
 CHUNK, HELD, RANGE = 4_096, 4_096, 1_000_000
+#: Buildings whose draws are made at once.
+DRAWN = 512
 #: Cells of the sample that cuts the ranges.
 SAMPLE = 4_096
 PLACES = 12
@@ -41,13 +43,17 @@ def cell_vectors(buildings: DataFrame, simulations: int, seed: int, multiplier:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for cell, b, c1, c2 in zip(*(batch.column(c).to_pylist() for c in ("cell", "b", "c1", "c2")), strict=True):
-                u = uniforms(f"mc{seed}", b, simulations)
-                severity = np.where(u > (np.inf if c2 is None else c2), multiplier, np.where(u > (np.inf if c1 is None else c1), 1.0, 0.0))
-                if cell in held:
-                    held[cell] += severity
-                else:
-                    held[cell] = severity
+            cells, names = batch.column("cell").to_pylist(), batch.column("b").to_pylist()
+            c1, c2 = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("c1", "c2"))  # a null is no limit, as NaN
+            for first in range(0, len(cells), DRAWN):
+                rows = slice(first, first + DRAWN)
+                u = uniform_rows(f"mc{seed}", names[rows], simulations)
+                severity = np.where(u > c2[rows], multiplier, np.where(u > c1[rows], 1.0, 0.0))
+                for cell, one in zip(cells[rows], severity, strict=True):
+                    if cell in held:
+                        held[cell] += one
+                    else:
+                        held[cell] = one.copy()
             if len(held) > HELD:
                 yield _vectors(held)
                 held = {}

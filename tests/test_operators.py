@@ -348,6 +348,25 @@ def test_weights_renormalise():
         priority.available_weights({"damage": -1, "population": 2})
 
 
+def test_draws_by_rows_are_the_digests(monkeypatch):
+    import hashlib
+
+    from cairnfield.functions import arrays
+
+    keys = ["7", "80", "81", "x" * 60, "ä", "", "123456789012345678901234567890123456789012"]
+    for tag, n, first in (("mc42", 1_200, 0), ("place42", 20_000, 95), ("t", 3, 9)):
+        got = arrays.uniform_rows(tag, keys, n, first)
+        for row, k in zip(got, keys, strict=True):
+            for i in (0, 1, n // 2, n - 2, n - 1, *range(min(n, 60))):
+                assert row[i] == int(hashlib.md5(f"{tag}:{k}:{first + i}".encode()).hexdigest()[:8], 16) / 2**32
+
+    def one(*_, **__):
+        raise AssertionError("digests are made one by one")
+
+    monkeypatch.setattr(arrays.hashlib, "md5", one)
+    assert arrays.uniform_rows("mc42", [str(i) for i in range(100, 200)], 500).shape == (100, 500)
+
+
 def test_simulations_repeat_and_agree_with_certainty(spark):
     cells = priority.components(_cells(spark))
     b = spark.range(200).select(F.col("id").alias("building_id"), (F.col("id") % 40).alias("cell"), F.lit(0.0).alias("p_intact"), F.lit(0.0).alias("p_damaged"), F.lit(2.0).alias("p_destroyed"))
