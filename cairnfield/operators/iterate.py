@@ -42,6 +42,12 @@ def released(df: DataFrame) -> None:
     system.delete_dir(inner)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows for a join whose sides are both dealt by key: a side that grows with the input is not sent whole
+    through the driver to every executor, however small its files are."""
+    return df.hint("merge")
+
+
 def same(before: DataFrame, after: DataFrame, value: str) -> bool:
     """Whether values that only fall have stopped falling: their sums agree."""
     total = F.sum(F.col(value).cast("decimal(38,6)"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnfield.operators.iterate import kept, released, same
+from cairnfield.operators.iterate import dealt, kept, released, same
 from cairnfield.sources import geometry
 from cairnfield.sources.files import ship
 
@@ -82,7 +82,7 @@ def _labelled(mask: DataFrame, connectivity: int, width: int, side: int) -> Data
     steps = ((0, 1), (1, 0), (1, 1), (1, -1))[: 4 if connectivity == 8 else 2]
     ahead = F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in steps])
     out = border.select("tile_id", "by", "bx", F.col("label").alias("a"), F.explode(ahead).alias("to")).where((F.floor(F.col("to.row") / side) != F.col("by")) | (F.floor(F.col("to.col") / side) != F.col("bx")))
-    edges = out.select("tile_id", "a", "to.row", "to.col").join(border.select("tile_id", "row", "col", F.col("label").alias("b")), ["tile_id", "row", "col"]).select("tile_id", "a", "b").distinct()
+    edges = out.select("tile_id", "a", "to.row", "to.col").join(dealt(border.select("tile_id", "row", "col", F.col("label").alias("b"))), ["tile_id", "row", "col"]).select("tile_id", "a", "b").distinct()
 
     top = _contracted(edges)
     place = F.floor(F.col("label") / width) % side * side + F.col("label") % width % side
@@ -102,7 +102,7 @@ def _labelled(mask: DataFrame, connectivity: int, width: int, side: int) -> Data
             out.append(label)
         return _lists(out, pa.int64())
 
-    joined = blocks.join(moved, ["tile_id", "by", "bx"], "left")
+    joined = blocks.join(dealt(moved), ["tile_id", "by", "bx"], "left")
     return joined.select("tile_id", "by", "bx", "cells", settled("roots", "by", "bx", F.col("moved.root"), F.col("moved.top")).alias("components"))
 
 
@@ -115,10 +115,10 @@ def _contracted(edges: DataFrame) -> DataFrame:
     now = kept(both.groupBy("tile_id", F.col("a").alias("label")).agg(F.min("b").alias("b")).select("tile_id", "label", F.least("label", "b").alias("top")))
     while True:
         near = now.select("tile_id", F.col("label").alias("b"), F.col("top").alias("near"))
-        least = both.join(near, ["tile_id", "b"]).groupBy("tile_id", F.col("a").alias("label")).agg(F.min("near").alias("near"))
-        lower = now.join(least, ["tile_id", "label"]).select("tile_id", "label", F.least("top", "near").alias("top"))
+        least = both.join(dealt(near), ["tile_id", "b"]).groupBy("tile_id", F.col("a").alias("label")).agg(F.min("near").alias("near"))
+        lower = now.join(dealt(least), ["tile_id", "label"]).select("tile_id", "label", F.least("top", "near").alias("top"))
         above = lower.select("tile_id", F.col("label").alias("top"), F.col("top").alias("above"))
-        after = kept(lower.join(above, ["tile_id", "top"]).select("tile_id", "label", F.col("above").alias("top")))
+        after = kept(lower.join(dealt(above), ["tile_id", "top"]).select("tile_id", "label", F.col("above").alias("top")))
         done = same(now, after, "top")
         released(now)
         now = after
@@ -210,14 +210,14 @@ def rings(mask: DataFrame, width: int = 1 << 20, block: int = BLOCK) -> DataFram
     key = ["tile_id", "part"]
     after = s.select(*key, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("id").alias("next"), F.col("way").alias("turn"))
     inward = F.col("turn") == (F.col("way") + 3) % 4
-    nexts = s.join(after, [*key, "x2", "y2"]).groupBy("tile_id", "id").agg(F.max_by("next", F.when(inward, 1).otherwise(0)).alias("next"))
+    nexts = s.join(dealt(after), [*key, "x2", "y2"]).groupBy("tile_id", "id").agg(F.max_by("next", F.when(inward, 1).otherwise(0)).alias("next"))
 
     jumps = kept(nexts.withColumn("least", F.least("id", "next")))
     while True:  # the least corner among the next 2, 4, 16, ...
         further = jumps
         for _ in range(2):
             to = further.select("tile_id", F.col("id").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"))
-            further = further.join(to, ["tile_id", "next"]).select("tile_id", "id", F.col("next2").alias("next"), F.least("least", "least2").alias("least"))
+            further = further.join(dealt(to), ["tile_id", "next"]).select("tile_id", "id", F.col("next2").alias("next"), F.least("least", "least2").alias("least"))
         further = kept(further)
         done = same(jumps, further, "least")
         released(jumps)
@@ -225,17 +225,17 @@ def rings(mask: DataFrame, width: int = 1 << 20, block: int = BLOCK) -> DataFram
         if done:
             break
     # steps to the end of each ring, which is cut before its least corner
-    begin = kept(nexts.join(jumps.select("tile_id", "id", "least"), ["tile_id", "id"]))
+    begin = kept(nexts.join(dealt(jumps.select("tile_id", "id", "least")), ["tile_id", "id"]))
     released(jumps)
     steps = begin.select("tile_id", "id", "least", F.when(F.col("next") != F.col("least"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("least"), 1).otherwise(0).cast("long").alias("left"))
     while steps.where("next IS NOT NULL").limit(1).count():
         before = steps
         for _ in range(2):
             to = steps.select("tile_id", F.col("id").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"))
-            steps = steps.join(to, ["tile_id", "next"], "left").select("tile_id", "id", "least", F.col("next2").alias("next"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"))
+            steps = steps.join(dealt(to), ["tile_id", "next"], "left").select("tile_id", "id", "least", F.col("next2").alias("next"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"))
         steps = kept(steps)
         released(before)
-    placed = steps.join(s, ["tile_id", "id"])
+    placed = steps.join(dealt(s), ["tile_id", "id"])
     corner = F.struct((-F.col("left")).alias("k"), geometry.vertex(F.col("x"), F.col("y")).alias("p"))
     cross = (F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2
     closed = placed.groupBy("tile_id", "part", F.col("least").alias("ring")).agg(F.sum(cross).alias("area"), F.sort_array(F.collect_list(corner)).alias("all"))
@@ -256,13 +256,13 @@ def polygonise(mask: DataFrame, width: int = 1 << 20, block: int = BLOCK, affine
     ring = F.struct((F.col("area") < 0).alias("hole"), "ring", F.transform("vertices", at).alias("v"))
     parts = rings(pixels, width, block).groupBy("tile_id", "part").agg(F.sort_array(F.collect_list(ring)).alias("rings"))
     first = whole.select("tile_id", (F.col("row").cast("long") * width + F.col("col")).alias("part"), "component")
-    owned = parts.join(first, ["tile_id", "part"])
+    owned = parts.join(dealt(first), ["tile_id", "part"])
     one = F.struct("part", F.transform("rings", lambda r: r["v"]).alias("rings"), (F.size("rings") - 1).cast("long").alias("holes"))
     found = owned.groupBy("tile_id", "component").agg(F.sort_array(F.collect_list(one)).alias("parts"), F.sum(F.size("rings") - 1).alias("n_holes"))
     size = whole.groupBy("tile_id", "component").agg(F.count("*").alias("pixel_count"))
     kind = F.when(F.size("parts") == 1, geometry.POLYGON).otherwise(geometry.POLYGONS)
     shape = F.struct(kind.alias("kind"), F.transform("parts", lambda p: p["rings"]).alias("parts")).cast(geometry.GEOMETRY)
-    return found.join(size, ["tile_id", "component"]).select("tile_id", "component", "pixel_count", "n_holes", shape.alias("geometry"))
+    return found.join(dealt(size), ["tile_id", "component"]).select("tile_id", "component", "pixel_count", "n_holes", shape.alias("geometry"))
 
 
 def component_boxes(components: DataFrame, size: float = 1.0) -> DataFrame:

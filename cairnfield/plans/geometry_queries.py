@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.operators import labelling, spatial
-from cairnfield.operators.iterate import kept
+from cairnfield.operators.iterate import dealt, kept
 from cairnfield.plans.analogues import buildings, mask, roads, with_sql
 from cairnfield.plans.priority_queries import _CC
 from cairnfield.sources import geometry
@@ -62,7 +62,7 @@ def component_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = labelling.polygonise(pixels, 40).select("tile_id", "component", geometry.interior_point(F.col("geometry")).alias("p"))
     at = shapes.select("tile_id", "component", F.floor("p.y").cast("int").alias("row"), F.floor("p.x").cast("int").alias("col"))
     own = labelling.connected_components(pixels, width=40).withColumnRenamed("component", "found")
-    return at.join(own, ["tile_id", "row", "col"], "left").select("tile_id", "component", F.coalesce("found", F.lit(-1)).alias("found"))
+    return at.join(dealt(own), ["tile_id", "row", "col"], "left").select("tile_id", "component", F.coalesce("found", F.lit(-1)).alias("found"))
 
 
 def road_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,20 @@ def test_road_polygons_makes_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(spatial, "near_polygons", pairs)
     assert geometry_queries.road_polygons(spark, "/root/testdata/sf0.001").count()
+
+
+def test_no_table_of_the_outlines_is_broadcast(spark, monkeypatch):
+    """Rounds of the labelling and of the rings, and the join behind them: what they write comes from shuffles."""
+    from cairnfield.operators import iterate, labelling
+    from cairnfield.plans import geometry_queries
+
+    plans = []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return iterate.kept(df)
+
+    monkeypatch.setattr(labelling, "kept", watched)
+    found = geometry_queries.component_points(spark, "/root/testdata/sf0.001")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
