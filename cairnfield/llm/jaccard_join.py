@@ -48,6 +48,8 @@ BLOCK, BLOCK_SHINGLES = 400, 400_000
 NO_ID = -(1 << 63)
 #: Columns of an incidence matrix that are multiplied at once.
 COLUMNS = 8192
+#: Bits of the map of rows whose texts are compared: 2 MB in bitmaps of MAP_BITS, whatever the corpus.
+SLOTS, MAP_BITS = 1 << 24, 1 << 15
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(1, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -179,6 +181,21 @@ def _groups(batches, key: list[str]):
         yield pa.Table.from_batches(held)
 
 
+def _texts_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen rows with their texts; few texts move that are not chosen.
+
+    A bounded map of bits tells most rows that are not chosen, without an error for those that are;
+    the join behind it is exact. It is a shuffle at any size, as ``chosen`` grows with the corpus.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "check"), F.lit(SLOTS))
+    part, bit = F.shiftright(slot, 15).alias("part"), slot.bitwiseAND(MAP_BITS - 1).cast("long").alias("bit")
+    maps = chosen.select(part, bit).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.col("bit").bitwiseAND(7).cast("int") + 1)) > 0
+    found = rows.select("*", part, bit).join(F.broadcast(maps), "part").where(marked)
+    return found.select("doc_id", "check", "text").join(chosen.hint("merge"), ["doc_id", "check"])
+
+
 def _pairs(own: np.ndarray, x: int, y: int):
     """Index pairs of a block: within one chunk, or between its two chunks, in slices of rows."""
     n = len(own)
@@ -331,7 +348,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     groups = candidates.groupBy("label").agg(chunks.alias("chunks")).select(F.col("label").bitwiseXOR(F.lit(1)).alias("other"), "chunks")
     labelled = candidates.withColumn("other", F.col("label").bitwiseXOR(F.lit(1))).join(groups, "other")
     chosen = written(labelled.select("rep", "label", "chunks", "at.doc_id", "at.check"), "groups")
-    found = written(_verified(_blocks(rows.join(chosen, ["doc_id", "check"]), "label", ["text"]), threshold), "links")
+    found = written(_verified(_blocks(_texts_of(rows, chosen), "label", ["text"]), threshold), "links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
     linked = connected(found.where("b IS NOT NULL")).select(F.col("v").alias("rep"), F.col("label").bitwiseXOR(F.lit(1)).alias("other"))
     tops = linked.join(reps.select("rep", "at"), "rep").groupBy("other").agg(F.min("at").alias("top"))

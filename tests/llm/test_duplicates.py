@@ -193,6 +193,33 @@ def test_jaccard_join_of_ids_with_several_texts_and_of_none(spark, monkeypatch):
     assert found == Counter([(1, 1, 2, 2, 1, True), (7, 1, 2, 2, 1, False), (2, 2, 1, 2, 1, False), (None, None, 1, 2, 1, False), (1, 1, 1, 0, 1, True), (None, None, 1, 0, None, True)])
 
 
+def test_texts_that_are_not_compared_do_not_move(spark, monkeypatch):
+    near = " ".join(f"n{j}" for j in range(60))
+    docs = spark.createDataFrame([(i, f"{near} {i}" if i < 20 else " ".join(f"w{i}-{j}" for j in range(12))) for i in range(400)], "doc_id long, text string")
+    seen = []
+    blocks = jaccard_join._blocks
+
+    def kept(members, group, payload):
+        if payload == ["text"]:
+            seen.append(members)
+        return blocks(members, group, payload)
+
+    monkeypatch.setattr(jaccard_join, "_blocks", kept)
+    whole = {tuple(r) for r in jaccard_join.near_duplicates(docs).collect()}
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    # texts meet the chosen rows in a shuffle at any size, and only those that the bounded map lets through
+    assert any("SortMergeJoin [doc_id" in line for line in plan.split("\n"))
+    assert any("BroadcastHashJoin [part" in line for line in plan.split("\n"))
+    monkeypatch.setattr(jaccard_join, "SLOTS", 4)  # most rows share a bit
+    assert {tuple(r) for r in jaccard_join.near_duplicates(docs).collect()} == whole
+    chosen = spark.createDataFrame([(3, 5), (7, 9), (None, 1)], "doc_id long, check long")
+    rows = spark.createDataFrame([(i, i + 2, f"t{i}") for i in range(3000)] + [(3, 5, "t3"), (3, 6, "x")], "doc_id long, check long, text string")
+    monkeypatch.setattr(jaccard_join, "SLOTS", 1 << 24)
+    got = jaccard_join._texts_of(rows, chosen)
+    assert sorted((r.doc_id, r.check, r.text) for r in got.collect()) == [(3, 5, "t3"), (3, 5, "t3"), (7, 9, "t7")]
+    assert len(whole) == 400 and sum(r[4] == 19 for r in whole) == 20  # n_links
+
+
 def test_signatures_of_large_sets_differ():
     rng = np.random.default_rng(3)
     hashes = rng.integers(0, 1 << 63, 800_000).astype(np.uint64)
