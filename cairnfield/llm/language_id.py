@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,18 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Decoder:
     return Decoder(languages, code, w, b, trust / trust.mean() if len(trust) else trust)
 
 
+def _in_order(got: pa.Table) -> tuple[np.ndarray, list[str]]:
+    """The vectors and languages of the sample by hash and language; a batch at once is copied into their place."""
+    order = pc.sort_indices(got, sort_keys=[("h", "ascending"), ("lang", "ascending")]).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    x, first = np.empty((len(order), WIDTH), dtype=np.float32), 0
+    for batch in got.select(["x"]).to_batches(max_chunksize=500):
+        x[place[first : first + len(batch)]] = np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float16).reshape(-1, WIDTH)
+        first += len(batch)
+    return x, got["lang"].take(pa.array(order)).to_pylist()
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Decoder:
     """Learn from rows with a language and a letter, about as many of each language; every language is learned.
 
@@ -161,10 +174,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 part = batch.slice(first, len(x))
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["h", "lang", "x"])
 
-    got = few.mapInArrow(describe, "h long, lang string, x binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
-    seen = got["lang"].to_pylist()
+    x, seen = _in_order(few.mapInArrow(describe, "h long, lang string, x binary").toArrow())
+    pa.default_memory_pool().release_unused()  # else the driver keeps the sample's memory in each training
     languages = sorted(set(seen))
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32)
     place = {v: i for i, v in enumerate(languages)}
     return fit(x, np.array([place[v] for v in seen]), languages)
 

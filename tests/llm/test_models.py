@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,37 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert {r.lang_pred for r in language_id.identify(docs.limit(20), model).collect()} <= set(model.languages) | {"und"}
 
 
+def test_the_sample_of_languages_is_put_in_order_a_batch_at_once():
+    rng = np.random.default_rng(5)
+    n = 4000
+    rows = rng.random((n, language_id.WIDTH)).astype(np.float16)
+    h, lang = rng.integers(0, 50, n), rng.permutation(n)
+    got = pa.table({"h": h, "lang": [f"{v:05d}" for v in lang], "x": pa.array([r.tobytes() for r in rows], pa.binary())})
+    tracemalloc.start()
+    x, seen = language_id._in_order(got)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.lexsort([lang, h])
+    assert (x == rows[order].astype(np.float32)).all() and seen == [f"{lang[i]:05d}" for i in order]
+    assert most < 1.3 * x.nbytes  # joined as a whole it is 1.5 times
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="needs Linux")
+def test_training_leaves_no_sample_in_the_driver(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(20)), "xy"[i % 2]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def resident() -> float:
+        lines = Path("/proc/self/smaps_rollup").read_text().splitlines()
+        return sum(int(line.split()[1]) for line in lines if line.startswith("Pss_Anon")) / 1024
+
+    language_id.train(docs)
+    left = resident()
+    pa.default_memory_pool().release_unused()
+    assert left - resident() < 20  # MB; the sample is 28
+
+
 def test_quality_labels_that_repeat_do_not_fill_the_bound(spark):
     docs = spark.range(300).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
     labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality")
