@@ -117,9 +117,11 @@ def _other(*names: str) -> list[Column]:
     return [F.col(c).bitwiseXOR(F.lit(1)).alias(f"__{c}") for c in names]
 
 
-def _semi(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+def _semi(rows: DataFrame, keys: DataFrame, names: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among the keys. If no key is repeated, ``inner`` does the same, and isn't
+    moved below a grouping of the rows, as Spark does with a semi join."""
     marked = rows.select("*", *_other(*names))
-    return marked.join(keys.select(*_other(*names)), [f"__{c}" for c in names], "left_semi").select(*rows.columns)
+    return marked.join(keys.select(*_other(*names)), [f"__{c}" for c in names], how).select(*rows.columns)
 
 
 def _order() -> Column:
@@ -180,7 +182,9 @@ def duplicate_ranges(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORD
     open_blocks = parsed.where(~known)
     order = _order()
     first = [F.min_by(c, order).alias(c) for c in ("doc_id", "check", "start", "n")]
-    indexed = _semi(parsed.where(known), open_blocks.select("anchor").distinct(), ["anchor"]).groupBy("anchor", "block").agg(*first)
+    # grouped before the join: a text of one repeated word pair has the same block a thousand times
+    copies = parsed.where(known).groupBy("anchor", "block").agg(*first)
+    indexed = _semi(copies, open_blocks.select("anchor").distinct(), ["anchor"], "inner")
     names = ["doc_id", "check", "start", "n", "anchor"]
     looked = open_blocks.select(*names, F.lit(False).alias("known")).union(indexed.select(*names, F.lit(True).alias("known")))
     asked = looked.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n", "anchor", "known")).alias("ranges"))

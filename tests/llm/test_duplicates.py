@@ -122,6 +122,32 @@ def test_repeated_rows_have_the_factors_of_two(spark, key):
     assert found[0] == found[1] and len(found[0]) == 3 and max(n for _, n in found[0]) <= 3
 
 
+def _anchor_rows(plan) -> int:
+    """Rows that the joins on an anchor alone have made in an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _anchor_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _anchor_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in kind and "__anchor" in plan.leftKeys().toString() and plan.leftKeys().size() == 1 else 0
+    under = plan.children()
+    return own + sum(_anchor_rows(under.apply(i)) for i in range(under.size()))
+
+
+def test_copies_of_a_block_do_not_pass_the_join_with_open_anchors(spark):
+    made = []
+    for n in (5, 20):
+        texts = [" ".join(["very", "common"] * 150 + [f"end{d}-{i}" for i in range(50)]) for d in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        ranges = substring_dedup.duplicate_ranges(substring_dedup._keyed(docs, "doc_id", "text"))
+        assert len(ranges.collect()) == n
+        made.append(_anchor_rows(ranges._jdf.queryExecution().executedPlan()))
+        got = substring_dedup.dedup(docs).collect()
+        assert Counter((r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(_kept(texts, substring_dedup.WINDOW))
+    # one copy of each different block, however many texts and places have it
+    assert 0 < made[0] == made[1] < 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.v: r.label for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
