@@ -209,14 +209,24 @@ def _picks(spark, samples: int, n: int, sizes: np.ndarray, seed: int) -> DataFra
 # components
 
 
-def component_means(pixels: DataFrame, key: list[str], values: str, n: int, renormalise: bool = False) -> DataFrame:
+def component_means(pixels: DataFrame, key: list[str], values: str, n: int, renormalise: bool = False, order: list[str] | None = None) -> DataFrame:
     """pixel_count and the mean array of each component; means of probabilities are renormalised on demand.
 
     Calibration averages logits, inference averages probabilities: both are this operator.
+    ``order``: columns in whose order a component's values are added. Without it the last bits of a mean
+    depend on how the rows were dealt, and so does the class of a component whose means tie.
     """
-    means = F.array(*[F.avg(F.get(values, i)) for i in range(n)])
     out = C.renormalised(F.col("mean")) if renormalise else F.col("mean")
-    return pixels.groupBy(*key).agg(F.count("*").alias("pixel_count"), means.alias("mean")).withColumn("mean", out)
+    if order is None:
+        means = F.array(*[F.avg(F.get(values, i)) for i in range(n)])
+        return pixels.groupBy(*key).agg(F.count("*").alias("pixel_count"), means.alias("mean")).withColumn("mean", out)
+    so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = F.array(*[F.sum(F.get(values, i)).over(so_far) for i in range(n)])
+    known = F.array(*[F.count(F.get(values, i)).over(so_far) for i in range(n)])
+    running = pixels.select(*key, F.struct(F.count("*").over(so_far).alias("pixel_count"), sums.alias("sums"), known.alias("known")).alias("all"))
+    last = running.groupBy(*key).agg(F.max("all").alias("all"))  # the count comes first in it
+    means = F.array(*[F.try_divide(F.col("all.sums")[i], F.col("all.known")[i]) for i in range(n)])
+    return last.select(*key, F.col("all.pixel_count").alias("pixel_count"), means.alias("mean")).withColumn("mean", out)
 
 
 def majority_class(pixels: DataFrame, key: list[str], label: str = "label") -> DataFrame:

@@ -105,10 +105,15 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.floor(key / 1600).cast("long").alias("tile_id"), (F.floor(key / 40) % 40).cast("int").alias("row"), (key % 40).cast("int").alias("col"), F.lit(1).alias("label"))
 
 
-def component_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of components: line items of an order, their class from flag and status, and logits."""
+def component_pixels(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
+    """Pixels of components: line items of an order, their class from flag and status, and logits.
+
+    ``place``: with file and row, the order in which the table holds them.
+    """
     cls = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_linestatus") == "F", 1).otherwise(2)
-    return load(spark, sf_dir, "lineitem").select(
+    more = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if place else []
+    return widened(table(spark, sf_dir, "lineitem").select("*", *more)).select(
+        *["file", "row"][: len(more)],
         F.col("l_orderkey").alias("component"),
         cls.alias("label"),
         F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50).alias("logits"),

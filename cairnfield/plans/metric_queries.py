@@ -141,8 +141,8 @@ def majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def building_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation rows of buildings, from mean logits and the majority class."""
-    px = component_pixels(spark, sf_dir)
-    m = calibration.component_means(px, ["component"], "logits", 3).join(calibration.majority_class(px, ["component"]), "component")
+    px = component_pixels(spark, sf_dir, place=True)
+    m = calibration.component_means(px, ["component"], "logits", 3, order=["file", "row"]).join(calibration.majority_class(px, ["component"]), "component")
     rows = calibration.building_rows(m.withColumns({"event_id": F.col("component") % 8, "tile_id": F.col("component") % 100}), 1.0)
     return rows.select("building_id", "pixel_count", "target_class_id", "predicted_class", *_r("expected_severity", "predictive_entropy"))
 

@@ -51,6 +51,25 @@ def test_query(spark, db, name):
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
 
 
+def test_classes_of_tied_means_are_those_of_rows_in_their_order(spark, tmp_path):
+    """An order's rows lie in several files; the SQL adds them in the table's order on one thread."""
+    import duckdb
+
+    from cairnfield.plans import registry
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    rows.repartition(4, "l_partkey", "l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["building_rows"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["building_rows"])
+    assert [d[0] for d in want.description] == got.columns
+    wanted, seen = {r[0]: r for r in want.fetchall()}, {r.building_id: tuple(r) for r in got.collect()}
+    assert len(wanted) == len(seen) == 14_743
+    assert sum(seen[k] != r for k, r in wanted.items()) == 0
+
+
 def test_entry_is_the_flagship(spark):
     import __spark_entry__
 
