@@ -246,6 +246,88 @@ def test_roads_near_concave_polygons_with_holes(spark):
         assert {r.road: (r.n, r.total) for r in sums.collect()} == {j: (len(v), sum(v)) for j, v in of.items()}
 
 
+def outline(rings):
+    """Sides of rings (4 x m) from the middle of their box, and how far they reach from there."""
+    import numpy as np
+
+    sides = np.array([[*a, *b] for r in rings for a, b in zip(r, r[1:])], dtype=float).T
+    mid = (sides[:2].min(axis=1) + sides[:2].max(axis=1)) / 2
+    sides -= np.tile(mid, 2)[:, None]
+    return sides, float(np.hypot(*sides[:2]).max()) + 2e-6
+
+
+SQUARE = [(0, 0), (30, 0), (30, 30), (0, 30), (0, 0)]
+FAR_TRIANGLE = [(200, 0), (240, 0), (240, 30), (200, 0)]
+
+
+@pytest.mark.parametrize("radius", [40.0, 0.5])
+@pytest.mark.parametrize("rings", ["angle with a court", [SQUARE, FAR_TRIANGLE], "points"])
+def test_sums_near_long_and_short_roads_by_brute_force(rings, radius):
+    import numpy as np
+
+    from cairnfield.operators import spatial
+    from cairnfield.plans.geometry_queries import OUTLINE
+
+    rng = np.random.default_rng(5)
+    x, y, value = rng.uniform(0, 3_000, 2_500), rng.uniform(0, 3_000, 2_500), rng.uniform(0, 1, 2_500)
+    begin, turn, length = rng.uniform(-300, 3_300, (2, 160)), rng.uniform(0, 7, 160), 5_000 * rng.uniform(0, 1, 160) ** 2
+    turn[:40], length[0] = np.round(turn[:40]) * np.pi / 2, 0.0
+    roads = np.concatenate([begin, begin + length * np.stack([np.cos(turn), np.sin(turn)])])
+    if rings == "points":
+        tree, own = spatial.Squares(x, y, value), None
+    else:
+        shape, spread = outline(OUTLINE if isinstance(rings, str) else rings)
+        own = np.repeat(shape[:, None, :], len(x), axis=1)
+        tree = spatial.Shapes(x, y, value, own, spread)
+    n, total = tree.near(roads, radius)
+    for j in range(roads.shape[1]):
+        road = np.repeat(roads[:, [j]], len(x), axis=1)
+        d2 = spatial._segment_d2(x, y, road) if own is None else spatial._outline_d2(own + np.stack([x, y] * 2)[:, :, None], road)
+        hit = d2 <= radius * radius
+        assert n[j] == hit.sum() and total[j] == pytest.approx(value[hit].sum(), rel=1e-12, abs=1e-9)
+
+
+def test_outlines_are_compared_around_the_ends_of_roads_only(monkeypatch):
+    """A road of four times the length meets four times the polygons, but compares no more of their sides."""
+    import numpy as np
+
+    from cairnfield.operators import spatial
+    from cairnfield.plans.geometry_queries import OUTLINE
+
+    rng = np.random.default_rng(6)
+    shape, spread = outline(OUTLINE)
+    x, y = rng.uniform(0, 10_000, (2, 30_000))
+    tree = spatial.Shapes(x, y, np.ones(len(x)), np.broadcast_to(shape[:, None, :], (4, len(x), shape.shape[1])), spread)
+    seen = []
+
+    def counted(f, places):
+        return lambda *a: (seen.append(places(*a)), f(*a))[1]
+
+    monkeypatch.setattr(spatial, "_outline_d2", counted(spatial._outline_d2, lambda e, s: s.shape[1]))
+    monkeypatch.setattr(spatial.Shapes, "past", counted(getattr(spatial.Shapes, "past", None), lambda _, x, *__: len(x)), raising=False)
+    work, met = [], []
+    for length in (2_000.0, 8_000.0):
+        turn = rng.uniform(0, np.pi, 100)
+        half = np.stack([np.cos(turn), np.sin(turn)]) * length / 2
+        n, _ = tree.near(np.concatenate([5_000 - half, 5_000 + half]), 40.0)
+        met.append(n.sum())
+        work.append(sum(seen))
+        seen.clear()
+    assert met[1] > 3 * met[0] and work[1] < 1.5 * work[0]
+
+
+def test_outlines_are_read_from_nested_lists():
+    import pyarrow as pa
+
+    from cairnfield.operators import spatial
+
+    ring = lambda *at: [{"x": float(a), "y": float(b)} for a, b in at]
+    parts = pa.array([[[ring((0, 0), (1, 0), (0, 1), (0, 0)), ring((5, 5), (6, 6))], [ring((7, 8), (9, 9))]], None, [], [[ring((3, 3))], [ring((1, 2), (3, 4))]]])
+    size, sides = spatial.outline_sides(parts)
+    assert size.tolist() == [20, 0, 0, 4]
+    assert sides.reshape(-1, 4).tolist() == [[0, 0, 1, 0], [1, 0, 0, 1], [0, 1, 0, 0], [5, 5, 6, 6], [7, 8, 9, 9], [1, 2, 3, 4]]
+
+
 def test_road_polygons_makes_no_pairs(spark, monkeypatch):
     from cairnfield.operators import spatial
     from cairnfield.plans import geometry_queries
